@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 
 _MODULES = (
     "q_sources", "q_clean", "q_joins", "q_profile", "q_order", "q_scalars",
-    "q_encode", "q_models", "q_impute", "q_synth", "q_insight",
+    "q_encode", "q_distance", "q_models", "q_impute", "q_synth", "q_insight",
 )
 
 

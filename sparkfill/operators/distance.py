@@ -173,13 +173,16 @@ def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric:
     cand = cand.withColumn("c_mask", mask())
     full = (1 << len(feats)) - 1
     # per query pattern: ranges over its candidate set (few distinct patterns)
-    pats = q.select("q_mask").distinct()
-    pats = broadcast_checked(pats)
+    # ranges per query pattern (and per value of ``same``): few distinct keys, each over its candidates
+    pk = ["q_mask"] + (["q_" + same] if same else [])
+    pats = broadcast_checked(q.select(*pk).distinct())
     ok = (F.col("c_mask").bitwiseAND(F.lit(full) - F.col("q_mask")) == 0)
+    if same:
+        ok = ok & (F.col(same) == F.col("q_" + same))
     if num:
-        rng = cand.join(pats, ok).groupBy("q_mask").agg(
+        rng = cand.join(pats, ok).groupBy(*pk).agg(
             *[F.min(c).alias("mn_" + c) for c in num], *[F.max(c).alias("mx_" + c) for c in num])
-        q = q.join(rng, "q_mask", "left")
+        q = q.join(rng, pk, "left")
     cond = (F.col("c_mask").bitwiseAND(F.lit(full) - F.col("q_mask")) == 0)
     if same:
         cond = cond & (F.col(same) == F.col("q_" + same))

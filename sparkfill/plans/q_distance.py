@@ -65,11 +65,12 @@ KNN_CAT = ["district", "seg", "prio", "flag"]
 N_QUERIES = 60
 
 
-def _knn_sql():
-    feats = KNN_CAT + KNN_NUM
+def knn_sql_ctes(target, feats, numeric, n_queries=N_QUERIES, seed="knnq", same=None, name="pairs", qname="q",
+                 query_where=None):
+    """DuckDB brute force of the Gower k-NN query (same arithmetic order as the Spark operator)."""
     total = "0.0"
     for c in feats:
-        if c in KNN_NUM:
+        if c in numeric:
             r = f"(greatest(max(c.{c}) OVER w, q.{c}) - least(min(c.{c}) OVER w, q.{c}))"
             t = f"CASE WHEN {r} > 0 THEN abs(c.{c} - q.{c}) / {r} ELSE 0.0 END"
         else:
@@ -77,18 +78,26 @@ def _knn_sql():
         total = f"({total} + CASE WHEN q.{c} IS NOT NULL THEN {t} ELSE 0.0 END)"
     used = " + ".join(f"(q.{c} IS NOT NULL)::int" for c in feats)
     cond = " AND ".join(f"(q.{c} IS NULL OR c.{c} IS NOT NULL)" for c in feats)
-    return with_rec(
-        """SELECT n.query AS row_id, round(sum_near, 6) AS sum_near, n_near, round(sum_far, 6) AS sum_far, n_far FROM
-  (SELECT query, sum(weight) AS sum_near, count(*) AS n_near FROM pairs WHERE rn_near <= 10 GROUP BY query) n JOIN
-  (SELECT query, sum(weight) AS sum_far, count(*) AS n_far FROM pairs WHERE rn_far <= 10 GROUP BY query) f USING (query)""",
-        f"""q AS (SELECT * FROM rec WHERE weight IS NULL
-  QUALIFY row_number() OVER (ORDER BY {sql_order_key('knnq', 'row_id')}, row_id) <= {N_QUERIES})""",
-        "c AS (SELECT * FROM rec WHERE weight IS NOT NULL)",
-        f"""d AS (SELECT q.row_id AS query, c.row_id AS cand, c.weight,
+    if same:
+        cond += f" AND c.{same} = q.{same}"
+    qw = query_where or f"{target} IS NULL"
+    return [
+        f"""{qname} AS (SELECT * FROM rec WHERE {qw}
+  QUALIFY row_number() OVER (ORDER BY {sql_order_key(seed, 'row_id')}, row_id) <= {n_queries})""",
+        f"""{name}_d AS (SELECT q.row_id AS query, c.row_id AS cand, c.{target} AS tv,
     CASE WHEN ({used}) > 0 THEN {total} / ({used}) ELSE 0.0 END AS dist
-    FROM q JOIN c ON {cond} WINDOW w AS (PARTITION BY q.row_id))""",
-        """pairs AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, cand) AS rn_near,
-    row_number() OVER (PARTITION BY query ORDER BY dist DESC, cand) AS rn_far FROM d)""")
+    FROM {qname} q JOIN rec c ON c.{target} IS NOT NULL AND {cond} WINDOW w AS (PARTITION BY q.row_id))""",
+        f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, cand) AS rn_near,
+    row_number() OVER (PARTITION BY query ORDER BY dist DESC, cand) AS rn_far FROM {name}_d)""",
+        f"""{name} AS (SELECT n.query AS row_id, sum_near, n_near, sum_far, n_far FROM
+  (SELECT query, sum(tv) AS sum_near, count(*) AS n_near FROM {name}_r WHERE rn_near <= 10 GROUP BY query) n JOIN
+  (SELECT query, sum(tv) AS sum_far, count(*) AS n_far FROM {name}_r WHERE rn_far <= 10 GROUP BY query) f USING (query))""",
+    ]
+
+
+def _knn_sql():
+    return with_rec("SELECT row_id, round(sum_near, 6) AS sum_near, n_near, round(sum_far, 6) AS sum_far, n_far FROM kn",
+                    *knn_sql_ctes("weight", KNN_CAT + KNN_NUM, KNN_NUM, name="kn"))
 
 
 @query("gower_knn_join", _knn_sql())

@@ -84,7 +84,7 @@ def em_impute(df: DataFrame, cols: Sequence[str], max_rounds: int = 100, tol: fl
         n, s, S = _moments(base.withColumns(exprs), cols)
         new_mu = s / n
         new_sigma = (S + cc) / n - np.outer(new_mu, new_mu)
-        delta = np.max(np.abs(new_mu - mu))
+        delta = max(np.max(np.abs(new_mu - mu)), np.max(np.abs(new_sigma - sigma)) / max(np.max(np.abs(sigma)), 1e-12))
         mu, sigma = new_mu, new_sigma
         if delta < tol:
             break

@@ -42,11 +42,12 @@ def elbow_k(curve: DataFrame, k_col: str = "k", y_col: str = "inertia", offset:
                F.min_by("y", "i").alias("y0"), F.max_by("y", "i").alias("ylast"))
     c = c.crossJoin(F.broadcast(st))
     rng = F.col("ymax") - F.col("ymin")
-    ny = (F.col("y") - F.col("ymin")) / rng
-    n0 = (F.col("y0") - F.col("ymin")) / rng
-    nl = (F.col("ylast") - F.col("ymin")) / rng
+    safe = F.when(rng > 0, rng)            # flat curve: null instead of a division by zero
+    ny = (F.col("y") - F.col("ymin")) / safe
+    n0 = (F.col("y0") - F.col("ymin")) / safe
+    nl = (F.col("ylast") - F.col("ymin")) / safe
     dx, dy = F.col("m").cast("double"), nl - n0
-    dist = F.abs(F.col("i") * dy - (ny - n0) * dx) / F.sqrt(dx * dx + dy * dy)
+    dist = F.abs(F.col("i") * dy - (ny - n0) * dx) / F.when(dx * dx + dy * dy > 0, F.sqrt(dx * dx + dy * dy))
     c = c.withColumn("ny", ny).withColumn("dist", dist)
     best = c.agg(F.min_by(F.struct("i", "k"), F.struct((-F.col("dist")).alias("d"), F.col("i"))).alias("b"),
                  F.first(rng).alias("rng"))

@@ -206,3 +206,18 @@ def test_plans_have_no_cartesian_products(spark):
     for key in ["impute_nearest_code", "score_mae", "numeric_summary", "impute_by_cluster"]:
         plan = qs[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, key
+
+
+def test_fill_stream_applies_batch_constants(spark, tmp_path):
+    from sparkfill.streaming import fill_stream
+    from sparkfill.session import shared_path
+    src = shared_path(spark, "stream_src")
+    rows = [(1, 1.0), (2, None), (3, 3.0)]
+    df = spark.createDataFrame(rows, "row_id bigint, a double")
+    df.write.parquet(src)
+    s = fill_stream(spark, df, src, ["a"])
+    q = s.writeStream.format("memory").queryName("filled_stream").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["row_id"], r["a"]) for r in spark.sql("SELECT * FROM filled_stream").collect())
+    assert got == [(1, 1.0), (2, 2.0), (3, 3.0)]

@@ -107,6 +107,16 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs: Sequence[f
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     base = df if g else df.withColumn("__g", F.lit(0))
     base = base.select(*gk, F.col(value_col).cast("double").alias("__x"))
+    if _few_distinct(base, gk):
+        # the built-in exact percentile keeps one (value -> count) map per group: bounded here
+        arr = F.percentile("__x", [float(p) for p in probs])
+        res = base.groupBy(*gk).agg(arr.alias("__q")).select(
+            *gk, *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
+        if not g:
+            res = res.drop("__g")
+            res = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names]) \
+                .unionByName(res).agg(*[F.max(n).alias(n) for n in names])
+        return res
     cnt = distinct_counts(base, gk, "__x", "__n")
     cum = cumulative(cnt, gk, "__x", "__n")
     totals = cnt.groupBy(*gk).agg(F.sum("__n").alias("__tot"))
@@ -137,5 +147,15 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs: Sequence[f
     return res
 
 
+EXACT_PERCENTILE_DISTINCT = 100_000
+
+
+def _few_distinct(base: DataFrame, gk: list[str]) -> bool:
+    """True when every group has at most EXACT_PERCENTILE_DISTINCT distinct values
+    (HyperLogLog estimate with a 2x margin), so an exact in-memory percentile is safe."""
+    est = base.groupBy(*gk).agg(F.approx_count_distinct("__x", 0.02).alias("__d")).agg(F.max("__d")).first()[0]
+    return (est or 0) * 2 <= EXACT_PERCENTILE_DISTINCT
+
+
 def quantile_expr_cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]

@@ -28,11 +28,17 @@ def test_exact_quantiles_match_linear_interpolation(spark):
     vals = [float(x) for x in [5, 1, 1, 9, 3, 3, 3, 7, 2, 8, 10, 4]]
     df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(vals)], "g int, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    q = {r["g"]: r for r in exact_quantiles(df, "g", "x", probs).collect()}
-    for g in (0, 1):
-        arr = np.array([v for i, v in enumerate(vals) if i % 2 == g])
-        for i, p in enumerate(probs):
-            assert math.isclose(q[g][f"q{i}"], float(np.quantile(arr, p)), rel_tol=1e-12)
+    import sparkfill.functions.ordered as O
+    for limit in (O.EXACT_PERCENTILE_DISTINCT, 0):        # built-in path, then the bucketed path
+        old, O.EXACT_PERCENTILE_DISTINCT = O.EXACT_PERCENTILE_DISTINCT, limit
+        try:
+            q = {r["g"]: r for r in exact_quantiles(df, "g", "x", probs).collect()}
+        finally:
+            O.EXACT_PERCENTILE_DISTINCT = old
+        for g in (0, 1):
+            arr = np.array([v for i, v in enumerate(vals) if i % 2 == g])
+            for i, p in enumerate(probs):
+                assert math.isclose(q[g][f"q{i}"], float(np.quantile(arr, p)), rel_tol=1e-12)
 
 
 def test_dense_codes_are_alphabetical(spark):

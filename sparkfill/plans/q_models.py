@@ -215,3 +215,11 @@ def q_impute_selected(spark, sf):
     sel, _ = select.select_elasticnet(obs, "row_id", "weight", KF)
     out = strategies.impute_selected(obs, "row_id", "weight", sel, "mean")
     return round_doubles(out.select("row_id", "weight"))
+
+
+@query("tree_attribution")
+def q_tree_attribution(spark, sf):
+    from sparkfill.operators.attribution import tree_attribution
+    lab = _stack_train(spark, sf)
+    m = stack.fit_stacker(lab, FEATS3, "truth", categorical=False)
+    return round_doubles(tree_attribution(m, lab, lab, FEATS3, "truth", "row_id"))

@@ -227,3 +227,17 @@ def test_fill_stream_applies_batch_constants(spark, tmp_path):
     q.stop()
     got = sorted((r["row_id"], r["a"]) for r in spark.sql("SELECT * FROM filled_stream").collect())
     assert got == [(1, 1.0), (2, 2.0), (3, 3.0)]
+
+
+def test_tree_attribution_sums_to_prediction(spark):
+    import random
+    from sparkfill.operators import stack
+    from sparkfill.operators.attribution import tree_attribution
+    random.seed(5)
+    rows = [(i, random.random(), random.random(), 0.0) for i in range(500)]
+    rows = [(i, a, b, 3 * a + (b > 0.5) + random.random() * 0.1) for i, a, b, _ in rows]
+    df = spark.createDataFrame(rows, "row_id bigint, a double, b double, y double")
+    m = stack.fit_stacker(df, ["a", "b"], "y", categorical=False)
+    out = tree_attribution(m, df, df, ["a", "b"], "y", "row_id")
+    bad = out.where(F.abs(F.col("base") + F.col("attr_a") + F.col("attr_b") - F.col("pred")) > 1e-9).count()
+    assert out.count() == 500 and bad == 0

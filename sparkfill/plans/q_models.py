@@ -223,3 +223,12 @@ def q_tree_attribution(spark, sf):
     lab = _stack_train(spark, sf)
     m = stack.fit_stacker(lab, FEATS3, "truth", categorical=False)
     return round_doubles(tree_attribution(m, lab, lab, FEATS3, "truth", "row_id"))
+
+
+@query("impute_mice")
+def q_impute_mice(spark, sf):
+    """ice repeated with seeded residual draws, averaged (registry name ``mice``)."""
+    obs = _obs(spark, sf).select("row_id", *CH)
+    out = registry.impute_table(obs, CH, "mice", {"key": "row_id", "categorical": ("area", "flag", "district"),
+                                                  "max_rounds": 2, "imputations": 5})
+    return round_doubles(out.select("row_id", "area", "flag", "weight"))

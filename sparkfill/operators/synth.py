@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from sparkfill.functions.hashing import normal, u
 from sparkfill.functions.ordered import exact_quantiles
-from sparkfill.session import broadcast_checked
+from sparkfill.session import broadcast_checked, row_count_at_most
+
+MAX_CATEGORIES = 10_000   # category shares of the twin are literals: bounded and checked
 
 # ---- fixed values of the parametric birth-record generator (must equal the reference) ----
 # continuous columns: mean and standard deviation
@@ -149,7 +151,10 @@ def fit_twin(real: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
                    *[F.stddev_samp(c).alias(f"s_{c}") for c in numeric]).first() if numeric else None
     params = {"numeric": {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in numeric}, "categorical": {}}
     for c in categorical:
-        vc = real.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()
+        vc_df = real.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        if not row_count_at_most(vc_df, MAX_CATEGORIES):
+            raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories; treat it as numeric")
+        vc = vc_df.collect()
         tot = sum(r["n"] for r in vc)
         vals = sorted((r[c], r["n"] / tot) for r in vc)
         params["categorical"][c] = ([v for v, _ in vals], [p for _, p in vals])

@@ -147,7 +147,9 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, probs: Sequence[f
     return res
 
 
-EXACT_PERCENTILE_DISTINCT = 100_000
+# a group's exact-percentile state is one (value -> count) map: about 16 bytes per distinct value,
+# so groups estimated below half this bound stay well under 16 MB; larger ones take the bucketed path
+EXACT_PERCENTILE_DISTINCT = 1_000_000
 
 
 def _few_distinct(base: DataFrame, gk: list[str]) -> bool:

@@ -262,5 +262,6 @@ def k_distance(df: DataFrame, key: str, vec: str, k: int, block: str, queries: D
                            F.lit(0.0), lambda acc, x: acc + x))
     p = p.select("q", "c", d.alias("dist"))
     w = Window.partitionBy("q").orderBy("dist", "c")
-    return p.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == k) \
-        .select(F.col("q").alias(key), F.col("dist").alias("k_dist"))
+    # "<= k" lets Spark keep only k rows per query in each map task before the shuffle
+    top = p.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    return top.where(F.col("__rn") == k).select(F.col("q").alias(key), F.col("dist").alias("k_dist"))

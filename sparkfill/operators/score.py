@@ -38,11 +38,16 @@ def score_class(df: DataFrame, truth: str, pred: str, group_cols: Sequence[str]
     predicted (or no true) rows has precision (recall) 0."""
     g = list(group_cols)
     cm = confusion(df, truth, pred, g)
-    tp = cm.where(F.col("t") == F.col("p")).groupBy(*g, F.col("t").alias("cls")).agg(F.sum("n").alias("tp"))
-    pc = cm.groupBy(*g, F.col("p").alias("cls")).agg(F.sum("n").alias("npred"))
-    tc = cm.groupBy(*g, F.col("t").alias("cls")).agg(F.sum("n").alias("ntrue"))
-    per = (pc.join(tc, g + ["cls"], "full").join(tp, g + ["cls"], "left")
-             .fillna(0, ["tp", "npred", "ntrue"]))
+    # each confusion cell counts once for its true class and once for its predicted class:
+    # one pass and one grouped aggregate give tp, npred and ntrue for every class
+    cells = cm.select(*g, F.explode(F.array(
+        F.struct(F.col("t").alias("cls"), F.col("n").alias("ntrue"),
+                 F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
+                 F.lit(0).cast("bigint").alias("npred")),
+        F.struct(F.col("p").alias("cls"), F.lit(0).cast("bigint").alias("ntrue"),
+                 F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("npred")))).alias("c"))
+    per = cells.groupBy(*g, F.col("c.cls").alias("cls")).agg(
+        F.sum("c.tp").alias("tp"), F.sum("c.npred").alias("npred"), F.sum("c.ntrue").alias("ntrue"))
     per = per.withColumn("prec", F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)) \
              .withColumn("rec", F.when(F.col("ntrue") > 0, F.col("tp") / F.col("ntrue")).otherwise(0.0)) \
              .withColumn("f1", F.when(F.col("prec") + F.col("rec") > 0,

@@ -42,7 +42,8 @@ def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.csv",
     return out
 
 
-def detect_metadata(df: DataFrame, key: str | None = None, max_categories: int = 30) -> DataFrame:
+def detect_metadata(df: DataFrame, key: str | None = None, max_categories: int = 30,
+                    exact: bool = True) -> DataFrame:
     """Semantic type per column (A3): (column, sdtype, n_rows, n_null, n_distinct).
 
     id = the key column; categorical = string, or numeric with at most ``max_categories``
@@ -50,9 +51,14 @@ def detect_metadata(df: DataFrame, key: str | None = None, max_categories: int =
     Distinct counts come from one shuffle of (column, value) pairs, not one job per column."""
     cols = df.columns
     types = dict(df.dtypes)
-    lv = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    nd = lv.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.lit(1).alias("one")) \
-        .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    if exact:
+        lv = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+        nd = lv.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.lit(1).alias("one")) \
+            .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    else:
+        # HyperLogLog sketches for every column in one aggregate (no shuffle of distinct values)
+        one = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
+        nd = one.unpivot([], cols, "column", "n_distinct")
     cnt = df.agg(F.count(F.lit(1)).alias("n_rows"),
                  *[F.count(F.col(c)).alias(c) for c in cols])
     present = cnt.unpivot(["n_rows"], cols, "column", "n_present")

@@ -241,3 +241,12 @@ def test_tree_attribution_sums_to_prediction(spark):
     out = tree_attribution(m, df, df, ["a", "b"], "y", "row_id")
     bad = out.where(F.abs(F.col("base") + F.col("attr_a") + F.col("attr_b") - F.col("pred")) > 1e-9).count()
     assert out.count() == 500 and bad == 0
+
+
+def test_detect_metadata_approx_agrees_on_small_table(spark):
+    from sparkfill.sources import files
+    df = spark.createDataFrame([(i, i % 3, f"s{i % 2}") for i in range(100)], "row_id bigint, a int, s string")
+    ex = {r["column"]: (r["sdtype"], r["n_distinct"]) for r in files.detect_metadata(df, "row_id").collect()}
+    ap = {r["column"]: (r["sdtype"], r["n_distinct"]) for r in files.detect_metadata(df, "row_id", exact=False).collect()}
+    assert ex == {"row_id": ("id", 100), "a": ("categorical", 3), "s": ("categorical", 2)}
+    assert {c: v[0] for c, v in ap.items()} == {c: v[0] for c, v in ex.items()}

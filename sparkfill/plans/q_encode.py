@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sparkfill.functions.scalars import round_doubles
 from sparkfill.operators import clean, encode
 from sparkfill.plans.catalog import query

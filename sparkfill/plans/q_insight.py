@@ -14,10 +14,9 @@ from sparkfill.operators.insight import (share_item_template, stat_item_template
                                          tpl_category_pair, tpl_numeric_by_category, tpl_numeric_pair)
 from sparkfill.plans.catalog import query
 from sparkfill.plans.q_distance import knn_sql_ctes
-from sparkfill.plans.records import ROLES, missing_view, records, truth_view, with_rec
+from sparkfill.plans.records import ROLES, missing_view, records, with_rec
 from sparkfill.session import shared_path
 from sparkfill.sources import files
-from sparkfill.functions.template import Template, lit, raw
 
 CONT = {"acct", "n_items", "qty", "price", "site", "weight"}
 STATS_FILTER = "weight BETWEEN 400 AND 8000"
@@ -391,5 +390,3 @@ def q_sample_pairs_sink(spark, sf):
 def q_parse_answers(spark, sf):
     return prompt.parse_answers(_scored(spark, sf)).select("row_id", "value", "reasoning", "valid")
 
-
-_ = (Template, lit, raw, truth_view)

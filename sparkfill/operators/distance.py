@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfill.functions.hashing import hash32
 from sparkfill.session import broadcast_checked, row_count_at_most
 
 N_BUCKETS = 64
@@ -200,11 +201,25 @@ def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric:
         used = used + present.cast("int")
     pairs = pairs.select(F.col("q_" + key).alias("query"), F.col(key).alias("cand"), target,
                          F.when(used > 0, total / used).otherwise(F.lit(0.0)).alias("dist"))
+    # Exact pruning before the sort: the k-th smallest (largest) distance within a 1/16 subset
+    # of the candidates bounds the true k-th smallest (largest), so pairs outside the bound
+    # can never reach the top k. The bound table has one row per query (bounded, broadcast).
+    sub = pairs.where(F.pmod(hash32("knn.subset", F.col("cand")), F.lit(16)) == 0)
+    wn = Window.partitionBy("query").orderBy(F.col("dist").asc(), F.col("cand").asc())
+    wf = Window.partitionBy("query").orderBy(F.col("dist").desc(), F.col("cand").asc())
+    bn = sub.withColumn("__rn", F.row_number().over(wn)).where(F.col("__rn") <= k).groupBy("query").agg(
+        F.max("dist").alias("__tn"), F.count(F.lit(1)).alias("__cn"))
+    bf = sub.withColumn("__rn", F.row_number().over(wf)).where(F.col("__rn") <= k).groupBy("query").agg(
+        F.min("dist").alias("__tf"), F.count(F.lit(1)).alias("__cf"))
+    bounds = F.broadcast(bn.join(bf, "query", "full"))
+    pairs = pairs.join(bounds, "query", "left")
+    near_pairs = pairs.where((F.coalesce(F.col("__cn"), F.lit(0)) < k) | (F.col("dist") <= F.col("__tn")))
+    far_pairs = pairs.where((F.coalesce(F.col("__cf"), F.lit(0)) < k) | (F.col("dist") >= F.col("__tf")))
     w_near = Window.partitionBy("query").orderBy(F.col("dist").asc(), F.col("cand").asc())
     w_far = Window.partitionBy("query").orderBy(F.col("dist").desc(), F.col("cand").asc())
-    near = pairs.withColumn("__rn", F.row_number().over(w_near)).where(F.col("__rn") <= k) \
+    near = near_pairs.withColumn("__rn", F.row_number().over(w_near)).where(F.col("__rn") <= k) \
         .groupBy("query").agg(F.sum(target).alias("sum_near"), F.count(F.lit(1)).alias("n_near"))
-    far = pairs.withColumn("__rn", F.row_number().over(w_far)).where(F.col("__rn") <= k) \
+    far = far_pairs.withColumn("__rn", F.row_number().over(w_far)).where(F.col("__rn") <= k) \
         .groupBy("query").agg(F.sum(target).alias("sum_far"), F.count(F.lit(1)).alias("n_far"))
     return near.join(far, "query", "full").withColumnRenamed("query", key)
 

@@ -250,3 +250,30 @@ def test_detect_metadata_approx_agrees_on_small_table(spark):
     ap = {r["column"]: (r["sdtype"], r["n_distinct"]) for r in files.detect_metadata(df, "row_id", exact=False).collect()}
     assert ex == {"row_id": ("id", 100), "a": ("categorical", 3), "s": ("categorical", 2)}
     assert {c: v[0] for c, v in ap.items()} == {c: v[0] for c, v in ex.items()}
+
+
+def test_gower_knn_pruning_matches_brute_force(spark):
+    import random
+    random.seed(11)
+    rows = [(i, random.random() * 10, random.choice(["a", "b", None]), float(random.randint(0, 1)))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id bigint, x double, c string, t double")
+    qs = [r for r in rows if r[0] % 37 == 0]
+    q = df.where(F.col("row_id") % 37 == 0)
+    got = {r["row_id"]: (r["sum_near"], r["sum_far"]) for r in
+           distance.gower_knn(df, q, "row_id", "t", ["x"], ["c"], k=10).collect()}
+    for qr in qs:
+        feats = [f for f, v in (("x", qr[1]), ("c", qr[2])) if v is not None]
+        cands = [r for r in rows if r[3] is not None and all((r[1] if f == "x" else r[2]) is not None for f in feats)]
+        xs = [r[1] for r in cands] + [qr[1]]
+        rng = max(xs) - min(xs)
+        def dist(r):
+            terms = []
+            if "x" in feats:
+                terms.append(abs(r[1] - qr[1]) / rng if rng > 0 else 0.0)
+            if "c" in feats:
+                terms.append(0.0 if r[2] == qr[2] else 1.0)
+            return sum(terms) / len(terms) if terms else 0.0
+        near = sorted(cands, key=lambda r: (dist(r), r[0]))[:10]
+        far = sorted(cands, key=lambda r: (-dist(r), r[0]))[:10]
+        assert got[qr[0]] == (sum(r[3] for r in near), sum(r[3] for r in far))

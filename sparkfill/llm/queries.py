@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfill.llm import decontaminate, packing, tokens, urls
+from sparkfill.llm import decontaminate, fingerprint, packing, secrets, tokens, urls
 from sparkfill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )

@@ -112,14 +112,13 @@ def with_next(docs: DataFrame, order: str, carried: list[str], group: int = NEIG
     last = first.agg(F.max("_part").alias("before_first"))
     before = before.crossJoin(F.broadcast(last)).select("p", "k", F.coalesce("before", "before_first").alias("before"))
     rows = rows.join(F.broadcast(before), (F.col("_part") == F.col("p")) & (F.col("_key") == F.col("k")), "left")
-    copies = F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("ghost")))
-    # a row after the last of its range sorts last there: ghost 1
-    ghost = F.when(F.col("p").isNotNull(), F.concat(copies, F.array(F.struct(F.col("before").alias("part"), F.lit(1).alias("ghost"))))).otherwise(copies)
-    rows = rows.withColumn("_at", F.explode(ghost)).drop("p", "k", "before", "_part")
-    line = Window.partitionBy("_at.part").orderBy("_at.ghost", "_key", *carried[:1])
-    for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(line))
-    return rows.where("_at.ghost = 0").drop("_at", "_key")
+    place = lambda part, ghost: F.struct(part.alias("part"), F.lit(ghost).alias("ghost"))
+    # a range's first row also goes to the range before, where it sorts last: ghost 1
+    to = F.array_compact(F.array(place(F.col("_part"), 0), F.when(F.col("p").isNotNull(), place(F.col("before"), 1))))
+    rows = rows.select(*docs.columns, "_key", F.explode(to).alias("_to")).select(*docs.columns, "_key", F.col("_to.part").alias("_part"), F.col("_to.ghost").alias("_ghost"))
+    line = Window.partitionBy("_part").orderBy("_ghost", "_key", *carried[:1])
+    out = rows.select(*docs.columns, "_ghost", *(F.lead(c).over(line).alias(f"next_{c}") for c in carried))
+    return out.where("_ghost = 0").drop("_ghost")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,13 +127,14 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_co
     Returns ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next``.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_fingerprint(own, "text", "fingerprint", k, window).withColumn("own", hashes(F.col("fingerprint")))
-    pairs = with_next(own, "doc_id", ["text", "own"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    own = with_fingerprint(own, "text", "fingerprint", k, window)
+    pairs = with_next(own, "doc_id", ["text", "fingerprint"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     pairs = with_fingerprint(pairs.withColumn("edited", edited).drop("text", "next_text"), "edited", "edited_fingerprint", k, window)
+    pairs = pairs.withColumn("own", hashes(F.col("fingerprint")))
     return pairs.select(
         "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
         likeness(F.col("own"), hashes(F.col("edited_fingerprint"))).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("own"), hashes(F.col("next_fingerprint"))).alias("near_next"),
     )

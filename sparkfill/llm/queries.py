@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfill.llm import decontaminate, fingerprint, packing, secrets, tokens, urls
+from sparkfill.llm import decontaminate, fingerprint, jaccard, packing, secrets, substring, tokens, urls
 from sparkfill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.as_text(F.col("fingerprint")).alias("fingerprint"),
         fingerprint.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+@query("op3_ngram_jaccard", """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b, c = x.n AND c = y.n AS copy FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9
+  UNION ALL
+  SELECT x.doc_id, y.doc_id, true FROM words x, words y WHERE len(x.w) = 0 AND len(y.w) = 0 AND x.doc_id <> y.doc_id),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT d.doc_id, (SELECT min(r) FROM reach WHERE reach.doc_id = d.doc_id) AS class_id,
+       (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links, (SELECT count(*) FROM links WHERE a = d.doc_id AND copy) AS n_copies
+FROM documents d
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_substring_dedup", """
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+wins AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM words WHERE len(w) >= 35)),
+twice AS (SELECT h FROM wins GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS pos FROM wins WHERE h IN (SELECT h FROM twice)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(read_table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfill.llm import decontaminate, fingerprint, jaccard, packing, secrets, substring, tokens, urls
+from sparkfill.llm import decontaminate, fingerprint, jaccard, packing, quality, secrets, substring, tokens, toxicity, urls
 from sparkfill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,15 @@ FROM words LEFT JOIN kept USING (doc_id)
 """)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -9,8 +9,8 @@ A window is ``window`` words in a row; its words go if the same words start anyw
    out of the document. These segments meet by anchor, so a shard holds all that can
    match its passages, of all documents.
 3. *Confirm and compile.* In a shard, windows are counted by their exact words. Those that
-   occur at two places recur. Windows next to each other that occur at the same places are
-   one phrase, and the phrases of many anchors are compiled into an Aho-Corasick automaton.
+   occur at two places recur. A segment's recurring windows next to each other are one
+   phrase, and the phrases of many anchors are compiled into an Aho-Corasick automaton.
 4. *Stream.* The shard's segments run through the automaton, which locates every occurrence of
    every phrase; the places go back to their documents, and covered words are removed.
 
@@ -26,7 +26,8 @@ null; an empty table gives an empty table. Other columns are neither read nor re
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -40,13 +41,13 @@ from sparkfill.session import shared_path
 
 #: Words of an anchor.
 K = 8
-#: Segments of one anchor that are compared in one task.
-HOT = 5_000
-#: Bytes of the phrases of one automaton.
-AUTOMATON_BYTES = 400_000
+#: Segments of one anchor that are compared in one task: some 8 MB of words, 200 MB with all their windows.
+HOT = 20_000
+#: Words of the phrases of one automaton.
+AUTOMATON_NODES = 200_000
 
 _ANCHORS = "doc_id long, text_key long, n_words long, full_sha256 string, at array<int>, anchor array<long>"
-_SEGMENT = "doc_id long, text_key long, row long, anchor long, n long, first int, words binary"
+_SEGMENT = "doc_id long, text_key long, row long, anchor long, first int, words binary"
 _SPANS = "doc_id long, text_key long, start int, stop int"
 
 
@@ -95,7 +96,7 @@ def _find_anchors(window: int, k: int):
 def _cut_segments(window: int, k: int):
     """Segments of the recurring anchors of each row: all words that a window with the anchor can hold."""
     reach = window - k
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
 
     def cut(batches):
         for batch in slices(batches, most=500_000):
@@ -105,93 +106,99 @@ def _cut_segments(window: int, k: int):
                 words = space_words(text)
                 for r in recurring:
                     first = max(0, r["at"] - reach)
-                    out.append((doc_id, key, row, r["anchor"], r["n"], first, b" ".join(words[first : r["at"] + window])))
+                    out.append((doc_id, key, row, r["anchor"], first, b" ".join(words[first : r["at"] + window])))
             cols = zip(*out, strict=True) if out else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return cut
 
 
-def _phrases(segments: list[tuple], window: int) -> list[bytes]:
-    """Phrases whose occurrences are those of the recurring windows among segments of one anchor.
+def _phrases(segments: list[tuple], window: int) -> set[bytes]:
+    """What recurs in the segments of one anchor: their longest runs of recurring windows.
 
-    ``segments``: (document key, first word's place, words). The same place of a document may
-    lie in several segments; it counts once.
+    ``segments``: (document key, first word's place, words). Segments alike recur whole; in the
+    others, windows are counted by their words, each cut out of the joined words as it is.
     """
-    distinct: dict[bytes, list[tuple]] = defaultdict(list)
-    for doc, first, words in segments:
-        distinct[words].append((doc, first))
-    places: dict[bytes, set] = defaultdict(set)
-    for joined, where in distinct.items():
-        words = joined.split(b" ")
-        for i in range(len(words) - window + 1):
-            places[b" ".join(words[i : i + window])].update((doc, first + i) for doc, first in where[:2])
-    out = []
-    for joined in distinct:
-        words = joined.split(b" ")
-        start, before = 0, None
-        runs = []
-        for i in range(len(words) - window + 1):
-            at = places[b" ".join(words[i : i + window])]
-            if len(at) < 2:
-                before = None
-                continue
-            shifted = frozenset((doc, p - i) for doc, p in at)
-            if before is None or shifted != before or len(at) > _COMPARED:
-                runs.append([i, i + window])
-                before = shifted if len(at) <= _COMPARED else None
-            else:
-                runs[-1][1] = i + window
-        out.extend(b" ".join(words[a:b]) for a, b in runs)
+    times = Counter([words for _, _, words in segments])
+    out = {words for words, n in times.items() if n > 1 and words.count(b" ") >= window - 1}
+    if len(out) == len(times):
+        return out
+    times_of: dict[bytes, int] = {}
+    cuts = {}
+    for words, n in times.items():
+        blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == 32).tolist()
+        begins = [0, *(b + 1 for b in blanks)]
+        cuts[words] = windows = [words[a:b] for a, b in zip(begins, [*blanks, len(words)][window - 1 :], strict=False)]
+        for w in windows:
+            times_of[w] = times_of.get(w, 0) + n
+    for words, windows in cuts.items():
+        if words in out:
+            continue
+        begins = None
+        for i, w in enumerate([*windows, None]):
+            if w is not None and times_of[w] > 1:
+                if begins is None:
+                    begins = i
+            elif begins is not None:
+                out.add(b" ".join(words.split(b" ")[begins : i - 1 + window]))
+                begins = None
     return out
 
 
-#: Windows with more places than this stay phrases of their own.
-_COMPARED = 64
-
-
 class _Shard:
-    """Anchors gathered until their phrases fill an automaton; then their segments are streamed through."""
+    """Anchors gathered until their phrases fill an automaton; then their segments are streamed through.
+
+    The automaton's letters are words, numbered as they come, so a phrase has a node a word.
+    """
 
     def __init__(self, window: int):
         self.window = window
         self.empty()
 
     def empty(self) -> None:
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.number = defaultdict(count().__next__)
+        self.letters: dict[bytes, tuple[int, ...]] = {}
         self.segments: list[tuple] = []
-        self.bytes = 0
+        self.nodes = 0
+
+    def _letters(self, words: bytes) -> tuple[int, ...]:
+        known = self.letters.get(words)  # a phrase is often a whole segment
+        if known is None:
+            known = self.letters[words] = tuple(map(self.number.__getitem__, words.split(b" ")))
+        return known
 
     def add(self, segments: list[tuple]) -> None:
         if len(segments) < 2:
             return
         found = _phrases(segments, self.window)
         for phrase in found:
-            # latin-1 keeps one character a byte; the blanks around hold the phrase to whole words
-            self.automaton.add_word((b" " + phrase + b" ").decode("latin-1"), phrase.count(b" ") + 1)
-            self.bytes += len(phrase)
+            letters = self._letters(phrase)
+            self.automaton.add_word(letters, len(letters))
+            self.nodes += len(letters)
         if found:
             self.segments.extend(segments)
 
+    def _covered(self, words: bytes) -> list[list[int]]:
+        """Word ranges that phrases cover, merged."""
+        covered: list[list[int]] = []
+        for end, n in self.automaton.iter(self._letters(words)):
+            a, b = end + 1 - n, end + 1
+            while covered and a <= covered[-1][1] and a < covered[-1][0]:
+                b = max(b, covered.pop()[1])
+            if covered and a <= covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], b)
+            else:
+                covered.append([a, b])
+        return covered
+
     def spans(self):
         """``(document, start, stop)`` of every occurrence of every phrase."""
         if len(self.automaton):
             self.automaton.make_automaton()
+            covered = {words: self._covered(words) for words in {s[2] for s in self.segments}}
             for doc, first, words in self.segments:
-                line = (b" " + words + b" ").decode("latin-1")
-                covered: list[list[int]] = []
-                blanks, upto = 0, 0
-                for end, n in self.automaton.iter(line):
-                    blanks += line.count(" ", upto, end)  # words before the blank at the match's end
-                    upto = end
-                    a, b = blanks - n, blanks
-                    while covered and a <= covered[-1][1] and a < covered[-1][0]:
-                        b = max(b, covered.pop()[1])
-                    if covered and a <= covered[-1][1]:
-                        covered[-1][1] = max(covered[-1][1], b)
-                    else:
-                        covered.append([a, b])
-                for a, b in covered:
+                for a, b in covered[words]:
                     yield doc, first + a, first + b
         self.empty()
 
@@ -210,7 +217,7 @@ def _locate(window: int):
                 if anchor != key:
                     shard.add(held)
                     held, key = [], anchor
-                    if shard.bytes > AUTOMATON_BYTES or len(shard.segments) > HOT:
+                    if shard.nodes > AUTOMATON_NODES or len(shard.segments) > HOT:
                         out.extend(shard.spans())
                 held.append(((doc_id, text_key_, row), first, words))
             if len(out) > 20_000:
@@ -289,11 +296,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = K, hot: int = HOT
     suspects = _written(own.join(r, same).drop("r_id", "r_key"), "suspects")
 
     numbered = suspects.withColumn("row", F.monotonically_increasing_id())  # repeated rows are apart
-    cut = _written(numbered.mapInArrow(_cut_segments(window, k), _SEGMENT), "segments")
-    cold = cut.where(F.col("n") <= hot).drop("n").repartition("anchor").sortWithinPartitions("anchor")
-    spans = cold.mapInArrow(_locate(window), _SPANS)
 
-    warm = cut.where(F.col("n") > hot).mapInArrow(_window_hashes(window), "doc_id long, text_key long, row long, start int, hash binary").distinct()
+    def segments(of) -> DataFrame:
+        some = numbered.withColumn("recurring", F.filter("recurring", of)).where(F.size("recurring") > 0)
+        return some.mapInArrow(_cut_segments(window, k), _SEGMENT)
+
+    cold = segments(lambda r: r["n"] <= hot).repartition("anchor").sortWithinPartitions("anchor")
+    spans = cold.mapInArrow(_locate(window), _SPANS)
+    warm = segments(lambda r: r["n"] > hot).mapInArrow(_window_hashes(window), "doc_id long, text_key long, row long, start int, hash binary").distinct()
     twice = warm.groupBy("hash").agg(F.count("hash").alias("c")).where("c > 1").select("hash")
     hot_spans = warm.join(twice, "hash").select("doc_id", "text_key", "start", (F.col("start") + window).cast("int").alias("stop"))
 

@@ -1,5 +1,5 @@
 """Distance operators: nearest group (C4/I17, S9), Gower k-NN (C6, S8), k-distance (E3),
-and the small-cluster neighbour fill (I9).
+and the neighbour fill inside clusters (I9).
 
 Nearest group never compares a record with the members of a group one by one.
 The mean Gower distance from a record to a group splits by column:
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfill.functions.hashing import hash32
@@ -224,43 +226,68 @@ def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric:
     return near.join(far, "query", "full").withColumnRenamed("query", key)
 
 
-# --------------------------------------------------------------------------- small-cluster k-NN fill
-
-def knn_fill(df: DataFrame, key: str, cluster: str, target: str, features: Sequence[str], k: int = 5,
-             categorical: bool = False, max_cluster_rows: int = 150) -> DataFrame:
-    """Fill ``target`` inside clusters of at most ``max_cluster_rows`` rows from the k nearest
-    donors (nan-Euclidean over shared columns, scaled by d / present), mean (mode for a
-    categorical target); no donor -> column mean (S18 knn). Larger clusters are left as they are.
-
-    Pairs are formed only inside a cluster whose size is bounded by ``max_cluster_rows``."""
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("__size"))
-    d = df.join(sizes, cluster).where(F.col("__size") <= max_cluster_rows).drop("__size")
-    rec = d.where(F.col(target).isNull()).select(key, cluster, *[F.col(c).alias("r_" + c) for c in features])
-    don = d.where(F.col(target).isNotNull()).select(F.col(key).alias("donor"), cluster, target, *features)
-    p = rec.join(don, cluster)
-    sq = F.lit(0.0)
-    present = F.lit(0)
-    for c in features:
-        both = F.col("r_" + c).isNotNull() & F.col(c).isNotNull()
-        sq = sq + F.when(both, (F.col("r_" + c) - F.col(c)) ** 2).otherwise(F.lit(0.0))
-        present = present + both.cast("int")
-    dist = F.when(present > 0, F.sqrt(sq * (F.lit(len(features)) / present)))
-    p = p.select(key, "donor", target, dist.alias("dist")).where(F.col("dist").isNotNull())
-    w = Window.partitionBy(key).orderBy("dist", "donor")
-    top = p.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+# --------------------------------------------------------------------------- k-NN fill inside clusters
+
+#: Donors, and rows to fill, that meet in one task.
+KNN_BLOCK = 2048
+
+
+def _nearest_in_block(features: Sequence[str], k: int):
+    """The k nearest donors of a block for each row of a block: distances are one numpy matrix."""
+    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
+        don, rec = rows[rows["is_donor"]].sort_values("id"), rows[~rows["is_donor"]]
+        if not len(don) or not len(rec):
+            return pd.DataFrame({"id": [], "donor": [], "dist": []}).astype({"id": "int64", "donor": "int64", "dist": "float64"})
+        sq, present = np.zeros((len(rec), len(don))), np.zeros((len(rec), len(don)))
+        for f in features:
+            gap = rec[f].to_numpy(float)[:, None] - don[f].to_numpy(float)[None, :]
+            both = ~np.isnan(gap)
+            sq += np.where(both, gap, 0.0) ** 2
+            present += both
+        dist = np.where(present > 0, np.sqrt(sq * (len(features) / np.maximum(present, 1))), np.nan)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :k]  # equal distances by donor, none last
+        top = np.take_along_axis(dist, order, axis=1)
+        out = pd.DataFrame({"id": np.repeat(rec["id"].to_numpy(), order.shape[1]), "donor": don["id"].to_numpy()[order].ravel(), "dist": top.ravel()})
+        return out[out["dist"].notna()]
+
+    return nearest
+
+
+def knn_fill(df: DataFrame, key: str, cluster: str | None, target: str, features: Sequence[str], k: int = 5,
+             categorical: bool = False, only: Column | None = None) -> DataFrame:
+    """Fill ``target`` from the k nearest donors of the same cluster, or of the table without ``cluster``
+    (nan-Euclidean over shared columns, scaled by d / present): their mean, or the mode of a
+    categorical target; no donor -> column mean, or mode (S18 knn). Rows without a cluster are
+    a cluster of their own; every row stays. ``only`` restricts which rows are filled.
+
+    Exact for clusters of any size: donors and rows are dealt into blocks of about ``KNN_BLOCK``, any two
+    of a cluster meet in one task, and each task returns its k best for every row."""
+    wanted = F.col(target).isNull() & (only if only is not None else F.lit(True))
+    rows = df.select(F.col(key).cast("long").alias("id"), (F.col(cluster) if cluster else F.lit(None).cast("int")).alias("cl"),
+                     F.col(target).isNotNull().alias("is_donor"), wanted.alias("wanted"), *[F.col(c).cast("double").alias(c) for c in features])
+    rows = rows.where(F.col("is_donor") | F.col("wanted"))
+    sizes = rows.groupBy(F.col("cl").alias("c")).agg(F.ceil(F.count_if("is_donor") / KNN_BLOCK).cast("int").alias("nd"),
+                                                     F.ceil(F.count_if(~F.col("is_donor")) / KNN_BLOCK).cast("int").alias("nr"))
+    rows = rows.join(sizes.where("nd > 0 and nr > 0"), F.col("cl").eqNullSafe(F.col("c"))).drop("c")
+    own = F.when(F.col("is_donor"), F.pmod(F.xxhash64("id"), F.col("nd"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nr"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_donor"), F.col("nr")).otherwise(F.col("nd")) - 1)))
+    db, rb = F.when(F.col("is_donor"), F.col("own")).otherwise(F.col("other")), F.when(F.col("is_donor"), F.col("other")).otherwise(F.col("own"))
+    rows = rows.select("cl", db.alias("db"), rb.alias("rb"), "id", "is_donor", *features)
+    near = rows.groupBy("cl", "db", "rb").applyInPandas(_nearest_in_block(features, k), "id long, donor long, dist double")
+    w = Window.partitionBy("id").orderBy("dist", "donor")
+    top = near.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    top = top.join(df.select(F.col(key).alias("donor"), F.col(target).alias("__value")), "donor")
     if categorical:
-        cnt = top.groupBy(key, target).agg(F.count(F.lit(1)).alias("n"))
-        fill = cnt.groupBy(key).agg(F.min_by(target, F.struct((-F.col("n")).alias("n"), F.col(target))).alias("__fill"))
+        best = F.min_by("__value", F.struct((-F.col("n")).alias("n"), F.col("__value")))
+        fill = top.groupBy("id", "__value").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(best.alias("__fill"))
+        rest = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("__value")).agg(F.count(F.lit(1)).alias("n")).agg(best.alias("m")).first()["m"]
     else:
-        fill = top.groupBy(key).agg(F.avg(target).alias("__fill"))
-    colmean = df.agg(F.avg(target).alias("m")).first()["m"]
-    out = df.join(fill, key, "left").join(sizes, cluster)
-    small = F.col("__size") <= max_cluster_rows
-    val = F.coalesce(F.col("__fill"), F.lit(colmean))
-    t = dict(df.dtypes)[target]
-    res = F.when(F.col(target).isNull() & small, val.cast("double" if not categorical else t)).otherwise(
-        F.col(target).cast("double" if not categorical else t))
-    return out.withColumn(target, res).drop("__fill", "__size")
+        fill = top.groupBy("id").agg(F.avg("__value").alias("__fill"))
+        rest = df.agg(F.avg(target).alias("m")).first()["m"]
+    t = dict(df.dtypes)[target] if categorical else "double"
+    out = df.join(fill.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id"), "left")
+    value = F.when(wanted, F.coalesce(F.col("__fill"), F.lit(rest)).cast(t)).otherwise(F.col(target).cast(t))
+    return out.withColumn(target, value).drop("__fill", "__id")
 
 
 # --------------------------------------------------------------------------- k-distance

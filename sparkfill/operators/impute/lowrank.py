@@ -141,10 +141,10 @@ def _soft(df, cols, cfg=None):
 
 @register("knn")
 def _knn(df, cols, cfg=None):
-    """Neighbour fill inside bounded groups (``cfg['cluster']``, at most 150 rows each)."""
+    """Neighbour fill inside the groups of ``cfg['cluster']``, or in the whole table."""
     from sparkfill.operators.distance import knn_fill
     cfg = cfg or {}
-    key, cluster = cfg.get("key", "row_id"), cfg["cluster"]
+    key, cluster = cfg.get("key", "row_id"), cfg.get("cluster")
     out = df
     for c in cols:
         feats = [x for x in cols if x != c]

@@ -56,25 +56,31 @@ def impute_by_cluster(df: DataFrame, key: str, cluster: str, target: str, featur
                       method: str = "mean", min_size: int = 150, knn_k: int = 5,
                       categorical: bool = False) -> DataFrame:
     """Fill ``target`` inside each cluster (I11): clusters with more than ``min_size`` rows use
-    the main method, smaller ones k-NN on the features; clusters with nothing missing are untouched."""
+    the main method, smaller ones k-NN on the features; clusters with nothing missing are untouched.
+    Rows without a cluster are a cluster of their own; every row stays."""
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("__size"),
                                     F.count_if(F.col(target).isNull()).alias("__nm"))
-    big = df.join(sizes, cluster)
+    sizes = sizes.withColumnRenamed(cluster, "__label")
+    same = F.col(cluster).eqNullSafe(F.col("__label"))
+    big = df.join(sizes, same).drop("__label")
     if method in CLOSED_FORM:
         fills = group_fill_values(df, cluster, target, method)
-        out = big.join(fills, cluster, "left")
+        out = big.join(fills.withColumnRenamed(cluster, "__label"), same, "left").drop("__label")
         out = out.withColumn("__main", F.when(F.col(target).isNull() & (F.col("__size") > min_size), F.col("__fill")))
         out = out.drop("__fill")
     else:
         parts = None
         for r in sizes.where((F.col("__size") > min_size) & (F.col("__nm") > 0)).collect():
-            sub = df.where(F.col(cluster) == r[cluster]).select(key, target, *features)
-            filled = registry.impute_table(sub, [target] + list(features), method).select(
+            sub = df.where(F.col(cluster).eqNullSafe(F.lit(r["__label"]))).select(key, target, *features)
+            held = sub.agg(*[F.count(c).alias(c) for c in features]).first()
+            known = [c for c in features if held[c]]  # a column without a value in the cluster tells nothing (B11)
+            cfg = {"key": key, "categorical": [target] if categorical else []}
+            filled = registry.impute_table(sub.select(key, target, *known), [target, *known], method, cfg).select(
                 key, F.col(target).alias("__main"))
             parts = filled if parts is None else parts.unionByName(filled)
         out = big.join(parts, key, "left") if parts is not None else big.withColumn("__main", F.lit(None))
-    knn = distance.knn_fill(df.select(key, cluster, target, *features), key, cluster, target, features,
-                            k=knn_k, categorical=categorical, max_cluster_rows=min_size)
+    small = big.select(key, cluster, target, "__size", *features)
+    knn = distance.knn_fill(small, key, cluster, target, features, k=knn_k, categorical=categorical, only=F.col("__size") <= min_size)
     out = out.join(knn.select(key, F.col(target).alias("__knn")), key, "left")
     filled = F.when(F.col(target).isNotNull(), F.col(target).cast("double")) \
         .when(F.col("__size") > min_size, F.col("__main").cast("double")) \

@@ -120,13 +120,12 @@ def kfold_assign(df: DataFrame, k: int, seed: str = "fold", key: str = "row_id",
 
 def mask_random(df: DataFrame, target: str, seed: str, key: str = "row_id", min_rate: float = 0.1,
                 rate: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Hide max(min_rate, observed missing rate) x rows of the known target values.
+    """Hide max(min_rate, observed missing rate) of the known target values.
 
     Returns (masked table, hidden keys). ``rate`` overrides the observed rate."""
-    stats = df.agg(F.avg(F.col(target).isNull().cast("double")).alias("r"),
-                   F.count(F.lit(1)).alias("n"), F.count(target).alias("k")).first()
-    r = max(min_rate, stats["r"] if rate is None else rate)
-    n_hide = min(int(r * stats["n"]), stats["k"])
+    stats = df.agg(F.avg(F.col(target).isNull().cast("double")).alias("r"), F.count(target).alias("k")).first()
+    r = max(min_rate, (stats["r"] or 0.0) if rate is None else rate)
+    n_hide = min(int(r * stats["k"]), stats["k"])
     hidden = sample_exact_n(df.where(F.col(target).isNotNull()).select(key), n_hide, seed, key)
     t = dict(df.dtypes)[target]
     masked = (df.join(hidden.withColumn("__hit", F.lit(True)), key, "left")

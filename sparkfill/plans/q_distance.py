@@ -123,15 +123,14 @@ def q_k_distance(spark, sf):
 KF = ["acct", "n_items", "qty", "price", "site"]
 
 
-@query("impute_knn", with_rec(f"""SELECT r.row_id, round(CASE WHEN r.weight IS NULL AND sz.n <= 150
+@query("impute_knn", with_rec(f"""SELECT r.row_id, round(CASE WHEN r.weight IS NULL
     THEN coalesce(f.fill, (SELECT avg(weight) FROM rec)) ELSE r.weight END, 6) AS weight
-  FROM rc r JOIN sz USING (cl) LEFT JOIN f USING (row_id)""",
+  FROM rc r LEFT JOIN f USING (row_id)""",
     "rc AS (SELECT *, concat_ws('|', district, seg, prio) AS cl FROM rec)",
-    "sz AS (SELECT cl, count(*) AS n FROM rc GROUP BY cl)",
     f"""pp AS (SELECT r.row_id, d.row_id AS donor, d.weight,
    sqrt(({' + '.join(f'(r.{c} - d.{c}) * (r.{c} - d.{c})' for c in KF)}) * ({len(KF)} / {len(KF)})) AS dist
-   FROM rc r JOIN sz USING (cl) JOIN rc d ON d.cl = r.cl AND d.weight IS NOT NULL
-   WHERE r.weight IS NULL AND sz.n <= 150)""",
+   FROM rc r JOIN rc d ON d.cl = r.cl AND d.weight IS NOT NULL
+   WHERE r.weight IS NULL)""",
     "f AS (SELECT row_id, avg(weight) AS fill FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, donor) rn FROM pp) WHERE rn <= 5 GROUP BY row_id)"))
 def q_impute_knn(spark, sf):
     obs = missing_view(records(spark, sf)).withColumn("cl", F.concat_ws("|", "district", "seg", "prio"))

@@ -127,7 +127,7 @@ def q_impute_by_cluster(spark, sf):
 def _prefill_sql():
     hide = f"""hid AS (SELECT row_id FROM rec WHERE weight IS NOT NULL
   QUALIFY row_number() OVER (ORDER BY {sql_order_key('sparse', 'row_id')}, row_id)
-   <= (SELECT least(floor(greatest(0.1, 0.7) * count(*)), count(weight)) FROM rec))"""
+   <= (SELECT floor(0.95::DOUBLE * count(weight)) FROM rec))"""
     mk = "mk AS (SELECT row_id, district, CASE WHEN row_id IN (SELECT row_id FROM hid) THEN NULL ELSE weight END AS weight FROM rec)"
     cur = "cur AS (SELECT (avg(weight) + quantile_cont(weight, 0.5)) / 2 AS pre FROM mk)"
     st = "st AS (SELECT district, count(*) AS n, count(*) - count(weight) AS nm FROM mk GROUP BY district)"
@@ -141,7 +141,7 @@ def _prefill_sql():
 @query("prefill_sparse_cluster", _prefill_sql())
 def q_prefill_sparse_cluster(spark, sf):
     obs = missing_view(records(spark, sf)).select("row_id", "district", "weight")
-    masked, _ = sampling.mask_random(obs, "weight", "sparse", rate=0.7)
+    masked, _ = sampling.mask_random(obs, "weight", "sparse", rate=0.95)
     mean = simple.impute_constant(masked.select("row_id", "weight"), ["weight"], "mean").withColumnRenamed("weight", "s_mean")
     med = simple.impute_constant(masked.select("row_id", "weight"), ["weight"], "median").withColumnRenamed("weight", "s_med")
     current = mean.join(med, "row_id")
@@ -200,7 +200,7 @@ def _bench_sql():
     for seed in (0, 1):
         ctes.append(f"""h{seed} AS (SELECT row_id FROM rec WHERE weight IS NOT NULL
   QUALIFY row_number() OVER (ORDER BY {sql_order_key(f'sim{seed}', 'row_id')}, row_id)
-   <= (SELECT least(floor(greatest(0.1, avg((weight IS NULL)::int)) * count(*)), count(weight)) FROM rec))""")
+   <= (SELECT floor(greatest(0.1, avg((weight IS NULL)::int)) * count(weight)) FROM rec))""")
         ctes.append(f"""mk{seed} AS (SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM h{seed}) THEN NULL ELSE weight END AS w,
   weight AS orig, row_id IN (SELECT row_id FROM h{seed}) AS hidden FROM rec)""")
         fills = {"mean": f"(SELECT avg(w) AS f FROM mk{seed})",

@@ -168,7 +168,7 @@ def q_closest_strategy(spark, sf):
 
 @query("mask_random", with_rec(f"""SELECT row_id FROM rec WHERE weight IS NOT NULL
   QUALIFY row_number() OVER (ORDER BY {sql_order_key('sim0', 'row_id')}, row_id)
-   <= (SELECT least(floor(greatest(0.1, avg((weight IS NULL)::int)) * count(*)), count(weight)) FROM rec)"""))
+   <= (SELECT floor(greatest(0.1, avg((weight IS NULL)::int)) * count(weight)) FROM rec)"""))
 def q_mask_random(spark, sf):
     _, hidden = sampling.mask_random(_obs(spark, sf), "weight", "sim0")
     return hidden

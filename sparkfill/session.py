@@ -48,6 +48,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set one only when it is unset (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = os.environ.get("SPARKFILL_CHECKPOINT_DIR") or f"/tmp/sparkfill-ckpt-{uuid.uuid4().hex[:8]}"
         spark.conf.set("spark.checkpoint.dir", d)

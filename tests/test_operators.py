@@ -277,3 +277,41 @@ def test_gower_knn_pruning_matches_brute_force(spark):
         near = sorted(cands, key=lambda r: (dist(r), r[0]))[:10]
         far = sorted(cands, key=lambda r: (-dist(r), r[0]))[:10]
         assert got[qr[0]] == (sum(r[3] for r in near), sum(r[3] for r in far))
+
+
+def test_knn_fill_leaves_no_null_and_loses_no_row(spark, monkeypatch):
+    import math
+
+    from sparkfill.operators import distance
+    monkeypatch.setattr(distance, "KNN_BLOCK", 30)  # several blocks a cluster
+    rows = [(i, None if i % 11 == 0 else i % 3, float(i * 7 % 50) if i % 5 else None, float(i % 13), None if i % 4 == 0 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, cl int, a double, b double, y double")
+    got = {r.row_id: r.y for r in distance.knn_fill(df, "row_id", "cl", "y", ["a", "b"], k=3).collect()}
+    assert len(got) == 400 and all(v is not None for v in got.values())
+
+    def dist(r, d):
+        both = [(x, y) for x, y in zip(r[2:4], d[2:4]) if x is not None and y is not None]
+        return math.sqrt(sum((x - y) ** 2 for x, y in both) * 2 / len(both))
+
+    for r in rows:
+        if r[4] is None:
+            near = sorted((d for d in rows if d[1] == r[1] and d[4] is not None), key=lambda d: (dist(r, d), d[0]))[:3]
+            assert abs(got[r[0]] - sum(d[4] for d in near) / 3) < 1e-9
+    whole = distance.knn_fill(df, "row_id", None, "y", ["a", "b"], k=3)
+    assert whole.where("y is null").count() == 0 and whole.count() == 400
+
+
+def test_impute_by_cluster_keeps_rows_without_a_cluster(spark):
+    from sparkfill.operators.impute import strategies
+    rows = [(i, None if i % 10 == 0 else f"c{i % 3}", float(i % 7), None if i % 4 == 0 else float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "row_id long, cl string, a double, y double")
+    for size in (10, 10_000):
+        out = strategies.impute_by_cluster(df, "row_id", "cl", "y", ["a"], "mean", min_size=size)
+        assert out.count() == 1000 and out.where("y is null").count() == 0
+
+
+def test_mask_random_hides_a_share_of_the_known_values(spark):
+    from sparkfill.operators import sampling
+    df = spark.createDataFrame([(i, None if i % 10 < 6 else float(i)) for i in range(1000)], "row_id long, y double")
+    masked, hidden = sampling.mask_random(df, "y", "s")
+    assert hidden.count() == 240 and masked.where("y is not null").count() == 160

@@ -28,14 +28,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Memo(dict):
     """``memo[key]`` computes ``make(key)`` once; long keys are not kept, and a full memo is emptied."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= MEMO_KEY:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[key] = value
         return value

@@ -37,7 +37,7 @@ class PrefixCounts:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.chunks = Chunks(self.vocab, self._chunk)
-        self._pieces = Memo(self._piece)
+        self._pieces = Memo(self._piece, 150_000)
         self._apart = {}
 
     def _merge(self, data: bytes) -> list[bytes]:
@@ -53,7 +53,7 @@ class PrefixCounts:
         return parts
 
     def _stay_apart(self, pair: tuple[bytes, bytes]) -> bool:
-        if len(self._apart) > 500_000:
+        if len(self._apart) > 300_000:
             self._apart.clear()
         known = self._apart[pair] = self._merge(pair[0] + pair[1]) == [*pair]
         return known

@@ -54,6 +54,34 @@ def _trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (ids & np.uint32(TRIGRAMS - 1))[inside], starts
 
 
+class _Numbers(dict):
+    """Numbers words as they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words)), np.int64)
+
+
+class _Lexicon:
+    """Distinct words with what a network looks up for them: their numbers in its vocabulary, and their trigrams."""
+
+    def __init__(self, words: list[bytes], vocabulary: dict[bytes, int]):
+        self.own = np.fromiter((vocabulary.get(w, 0) for w in words), np.int64, len(words))
+        self.ids, self.starts = _trigrams(words) if words else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        self.counts = np.diff(np.append(self.starts, len(self.ids)))
+
+    def take(self, places: np.ndarray) -> _Lexicon:
+        """The words at ``places`` alone."""
+        part = object.__new__(_Lexicon)
+        part.own, part.counts = self.own[places], self.counts[places]
+        part.starts = np.cumsum(part.counts) - part.counts
+        part.ids = self.ids[np.repeat(self.starts[places] - part.starts, part.counts) + np.arange(part.counts.sum())]
+        return part
+
+
 def windows(n: int, size: int = WINDOW, stride: int = STRIDE) -> list[int]:
     """Where the windows of ``n`` words start; the last one ends with the text."""
     if n <= size:
@@ -68,31 +96,31 @@ class Network:
     vocabulary: dict[bytes, int]
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def inputs(self, words: list[bytes]) -> np.ndarray:
-        """The embedding of each word."""
-        ids, starts = _trigrams(words)
-        counts = np.diff(np.append(starts, len(ids)))
-        own = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
-        return self.p["word"][own] + np.add.reduceat(self.p["char"][ids], starts, axis=0) / counts[:, None].astype(np.float32)
+    def inputs(self, words: _Lexicon) -> np.ndarray:
+        """The embedding of each word, and zeros below them for padding."""
+        dim = self.p["word"].shape[1]
+        if not len(words.own):
+            return np.zeros((1, dim), np.float32)
+        chars = np.add.reduceat(self.p["char"][words.ids], words.starts, axis=0) / words.counts[:, None].astype(np.float32)
+        return np.concatenate([self.p["word"][words.own] + chars, np.zeros((1, dim), np.float32)])
 
     def states(self, x: np.ndarray, live: np.ndarray, d: str, tape: list | None = None) -> np.ndarray:
-        """Hidden states (time, window, unit) of one direction; ``x`` has the words' shares of the gates."""
-        p, steps, h_dim = self.p, x.shape[0], self.p["Uf"].shape[0]
-        h = np.zeros((x.shape[1], h_dim), np.float32)
-        out = np.empty((steps, x.shape[1], h_dim), np.float32)
-        u_gates, u_new = p["U" + d][:, : 2 * h_dim], p["U" + d][:, 2 * h_dim :]
+        """Hidden states (time, window, unit) of one direction; ``x`` has the words' shares of the gates.
+
+        ``tape`` gets for each step the state before it and that state's share of the gates.
+        """
+        u, steps, k = self.p["U" + d], x.shape[0], self.p["U" + d].shape[0]
+        h = np.zeros((x.shape[1], k), np.float32)
+        out = np.empty((steps, x.shape[1], k), np.float32)
+        before = [None] * steps
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            a = x[t, :, : 2 * h_dim] + h @ u_gates
-            g = _gate(a)
-            z, r = g[:, :h_dim], g[:, h_dim:]
-            hu = h @ u_new
-            b = x[t, :, 2 * h_dim :] + r * hu
-            n = soft(b)
-            keep = live[t][:, None]
-            if tape is not None:
-                tape.append((t, h, a, z, r, hu, b, n, keep))
-            h = h + keep * z * (n - h)
-            out[t] = h
+            hu = h @ u
+            before[t] = (h, hu)
+            g = _gate(x[t, :, : 2 * k] + hu[:, : 2 * k])
+            n = soft(x[t, :, 2 * k :] + g[:, k:] * hu[:, 2 * k :])
+            out[t] = h = h + live[t][:, None] * g[:, :k] * (n - h)
+        if tape is not None:
+            tape.extend(map(np.stack, zip(*before, strict=True)))
         return out
 
     def pool(self, hf: np.ndarray, hb: np.ndarray, live: np.ndarray):
@@ -113,7 +141,8 @@ class Network:
         """Of the mean cross entropy: by parameter, and by input; and the loss."""
         p, g = self.p, {}
         tapes = {"f": [], "b": []}
-        h = {d: self.states(x @ p["W" + d] + p["c" + d], live, d, tapes[d]) for d in _DIRECTIONS}
+        gates = {d: x @ p["W" + d] + p["c" + d] for d in _DIRECTIONS}
+        h = {d: self.states(gates[d], live, d, tapes[d]) for d in _DIRECTIONS}
         logit, (alpha, pf, pb) = self.pool(h["f"], h["b"], live)
         prob = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         d_logit = ((prob - labels) / len(labels)).astype(np.float32)
@@ -126,32 +155,38 @@ class Network:
             g["o" + d] = pooled[d].T @ d_logit
             g["a" + d] = np.einsum("tw,twh->h", d_s, h[d])
             dh_out = alpha[:, :, None] * (d_logit[:, None] * p["o" + d])[None] + d_s[:, :, None] * p["a" + d]
-            k = p["U" + d].shape[0]
-            gu, gx = np.zeros_like(p["U" + d]), np.zeros((*x.shape[:2], 3 * k), np.float32)
-            dh = np.zeros_like(h[d][0])
-            for t, h0, a, z, r, hu, b, n, keep in reversed(tapes[d]):
-                dh = dh + dh_out[t]
-                dn, dz = dh * keep * z, dh * keep * (n - h0)
-                db = dn / (1 + np.abs(b)) ** 2
-                dr = db * hu
-                da = np.concatenate([dz, dr], axis=1) * 0.5 / (1 + np.abs(a)) ** 2
-                d_hu = db * r
-                gu += np.concatenate([h0.T @ da, h0.T @ d_hu], axis=1)
-                gx[t] = np.concatenate([da, db], axis=1)
-                dh = dh * (1 - keep * z) + da @ p["U" + d][:, : 2 * k].T + d_hu @ p["U" + d][:, 2 * k :].T
-            g["U" + d] = gu
-            g["W" + d], g["c" + d] = np.einsum("twe,twk->ek", x, gx), gx.sum(axis=(0, 1))
-            dx += gx @ p["W" + d].T
+            k, u_back = p["U" + d].shape[0], np.ascontiguousarray(p["U" + d].T)
+            h0, hu = tapes[d]
+            a = gates[d][:, :, : 2 * k] + hu[:, :, : 2 * k]
+            z, r = np.split(_gate(a), 2, axis=2)
+            b = gates[d][:, :, 2 * k :] + r * hu[:, :, 2 * k :]
+            slope_z, slope_r = np.split(0.5 / (1 + np.abs(a)) ** 2, 2, axis=2)
+            kept = live[:, :, None] * z
+            d_new = kept / (1 + np.abs(b)) ** 2
+            # what reaches the update gate, the reset gate and the new state's share is the state's gradient times these
+            times = np.stack([live[:, :, None] * (soft(b) - h0) * slope_z, d_new * hu[:, :, 2 * k :] * slope_r, d_new * r], axis=2)
+            d_hu, dhs, dh = np.empty_like(times), np.empty_like(h0), np.zeros_like(h0[0])
+            stays = 1 - kept
+            for t in range(len(h0) - 1, -1, -1) if d == "f" else range(len(h0)):
+                dhs[t] = dh = dh + dh_out[t]
+                np.multiply(dh[:, None, :], times[t], out=d_hu[t])
+                dh = dh * stays[t] + d_hu[t].reshape(len(dh), 3 * k) @ u_back
+            gx = np.concatenate([d_hu[:, :, 0], d_hu[:, :, 1], dhs * d_new], axis=2).reshape(-1, 3 * k)
+            g["U" + d] = h0.reshape(-1, k).T @ d_hu.reshape(-1, 3 * k)
+            g["W" + d], g["c" + d] = x.reshape(-1, x.shape[2]).T @ gx, gx.sum(axis=0)
+            dx += (gx @ p["W" + d].T).reshape(x.shape)
         return g, dx, loss
 
     def document_logits(self, texts: list[list[bytes]], size: int = WINDOW, stride: int = STRIDE, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Of each document, the largest logit of its windows, and where that window starts."""
-        distinct: dict[bytes, int] = {}
-        rows = [np.fromiter((distinct.setdefault(w, len(distinct)) for w in words), np.int64, len(words)) for words in texts]
-        best, at = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
-        none = len(distinct)  # the row of padding
-        dim = self.p["word"].shape[1]
-        x = np.concatenate([self.inputs(list(distinct)) if distinct else np.empty((0, dim), np.float32), np.zeros((1, dim), np.float32)])
+        numbers = _Numbers()
+        rows = [numbers.of(words) for words in texts]
+        return self.worst_windows(self.inputs(_Lexicon(list(numbers), self.vocabulary)), rows, size, stride, most)
+
+    def worst_windows(self, x: np.ndarray, rows: list[np.ndarray], size: int = WINDOW, stride: int = STRIDE, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`document_logits`, of documents as rows of places in ``x``, whose last row is padding."""
+        best, at = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+        none = len(x) - 1
         gates = {d: x @ self.p["W" + d] + self.p["c" + d] for d in _DIRECTIONS}
         doc = [d for d, r in enumerate(rows) for _ in windows(len(r), size, stride)]
         start = [s for r in rows for s in windows(len(r), size, stride)]
@@ -215,33 +250,36 @@ def train(texts: list[str | None], labels: np.ndarray, units: int = 12, dim: int
     p["word"][1:, 0] = _log_odds(seen_words, labels)[1:]
     p["char"][:, 0] = _log_odds(seen_chars, labels)
     del seen_words, seen_chars
+    numbers = _Numbers()
+    rows = [numbers.of(own) for own in words]
+    lexicon = _Lexicon(list(numbers), vocab)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step, epochs = 0, max(epochs, -(-updates // max(1, -(-len(words) // batch))))
     for epoch in range(epochs):
         order = rng.permutation(len(words))
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
-            own = [words[j] for j in part]
-            _, at = net.document_logits(own)
+            own = [rows[j] for j in part]
+            met, places = np.unique(np.concatenate(own), return_inverse=True)
+            local = lexicon.take(met)
+            own = np.split(places, np.cumsum([len(r) for r in own])[:-1])
+            table = net.inputs(local)
+            _, at = net.worst_windows(table, own)
             chosen = [w[s : s + WINDOW] for w, s in zip(own, at.tolist(), strict=True)]
-            steps = max(1, max(map(len, chosen)))
-            distinct = sorted({w for c in chosen for w in c})
-            number = {w: k for k, w in enumerate(distinct)}
-            place = np.full((steps, len(chosen)), len(distinct))
+            place = np.full((max(1, max(map(len, chosen))), len(chosen)), len(met))
             for k, c in enumerate(chosen):
-                place[: len(c), k] = [number[w] for w in c]
-            live = (place < len(distinct)).astype(np.float32)
-            table = np.concatenate([net.inputs(distinct) if distinct else np.empty((0, dim), np.float32), np.zeros((1, dim), np.float32)])
+                place[: len(c), k] = c
+            live = (place < len(met)).astype(np.float32)
             g, dx, _ = net.gradients(table[place], live, labels[part])
-            d_table = np.zeros_like(table)
+            used, place = np.unique(place, return_inverse=True)
+            d_table = np.zeros((len(used), dim), np.float32)
             np.add.at(d_table, place, dx)
             g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-            if distinct:
-                ids, starts = _trigrams(distinct)
-                n = np.diff(np.append(starts, len(ids)))
-                np.add.at(g["word"], [vocab.get(w, 0) for w in distinct], d_table[:-1])
-                g["word"][0] = 0
-                np.add.at(g["char"], ids, np.repeat(d_table[:-1] / n[:, None].astype(np.float32), n, axis=0))
+            used = local.take(used[used < len(met)])
+            d_table = d_table[: len(used.own)]  # without padding
+            np.add.at(g["word"], used.own, d_table)
+            g["word"][0] = 0
+            np.add.at(g["char"], used.ids, np.repeat(d_table / used.counts[:, None].astype(np.float32), used.counts, axis=0))
             step += 1
             for k, v in p.items():
                 m, s = moments[k]

@@ -26,7 +26,7 @@ null; an empty table gives an empty table. Other columns are neither read nor re
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from itertools import count
 
 import ahocorasick
@@ -116,27 +116,36 @@ def _cut_segments(window: int, k: int):
 def _phrases(segments: list[tuple], window: int) -> set[bytes]:
     """What recurs in the segments of one anchor: their longest runs of recurring windows.
 
-    ``segments``: (document key, first word's place, words). Segments alike recur whole; in the
-    others, windows are counted by their words, each cut out of the joined words as it is.
+    ``segments``: (document key, first word's place, words). The same place of a document may lie in
+    several segments; it counts once. Segments alike at two places recur whole; in the others,
+    windows are told apart by their words, each cut out of the joined words as it is.
     """
-    times = Counter([words for _, _, words in segments])
-    out = {words for words, n in times.items() if n > 1 and words.count(b" ") >= window - 1}
-    if len(out) == len(times):
+    number: defaultdict[tuple, int] = defaultdict(count().__next__)
+    places: dict[bytes, set[int]] = defaultdict(set)
+    for doc, first, words in segments:
+        places[words].add((number[doc] << 32) + first)
+    out = {words for words, at in places.items() if len(at) > 1 and words.count(b" ") >= window - 1}
+    if len(out) == len(places):
         return out
-    times_of: dict[bytes, int] = {}
+    one_place: dict[bytes, int] = {}
+    recurs: set[bytes] = set()
     cuts = {}
-    for words, n in times.items():
+    for words, at in places.items():
         blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == 32).tolist()
         begins = [0, *(b + 1 for b in blanks)]
         cuts[words] = windows = [words[a:b] for a, b in zip(begins, [*blanks, len(words)][window - 1 :], strict=False)]
-        for w in windows:
-            times_of[w] = times_of.get(w, 0) + n
+        if words in out:
+            recurs.update(windows)
+            continue
+        for w, place in zip(windows, count(min(at)), strict=False):
+            if one_place.setdefault(w, place) != place:
+                recurs.add(w)
     for words, windows in cuts.items():
         if words in out:
             continue
         begins = None
         for i, w in enumerate([*windows, None]):
-            if w is not None and times_of[w] > 1:
+            if w in recurs:
                 if begins is None:
                     begins = i
             elif begins is not None:

@@ -55,3 +55,29 @@ def test_kept_text(make_docs):
     changed, same = substring.remove_repeats(make_docs([f"a {shared} b", f"{shared} c", "clean"]))
     assert {r.doc_id: r.kept for r in changed.collect()} == {0: "a b", 1: "c"}
     assert [r.doc_id for r in same.collect()] == [2]
+
+
+def test_overlapping_segments_are_one_place(make_docs):
+    rng = random.Random(7)
+    fresh = iter(range(10**6))
+    line = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    docs = []
+    for _ in range(30):
+        again = line(8)
+        docs.append(line(rng.randrange(60)) + again + line(rng.randrange(1, 19)) + again + line(rng.randrange(60)))
+        docs.append(line(rng.randrange(40)) + ["same"] * 20 + line(rng.randrange(40)))
+        docs.append(line(rng.randrange(40)) + ["same"] * 20 + line(rng.randrange(1, 7)) + ["same"] * 20 + line(rng.randrange(40)))
+        docs.append(line(5) + again + line(rng.randrange(9, 19)) + again + line(5))  # both segments are the whole text
+    rows = [*enumerate(" ".join(d) for d in docs)]
+    expected = brute(rows)
+    assert not any(n_removed for _, _, n_removed, _ in expected)
+    got = sorted(map(tuple, substring.digest(make_docs(rows)).collect()), key=str)
+    assert got == expected
+
+
+def test_places_of_one_document_recur(make_docs):
+    a = [f"a{i}" for i in range(50)]
+    rows = [*enumerate([" ".join(a + a), " ".join(["z"] * 36), " ".join(["y"] * 35), " ".join(f"c{i}" for i in range(60))])]
+    got = sorted(map(tuple, substring.digest(make_docs(rows)).collect()), key=str)
+    assert got == brute(rows)
+    assert [r[2] for r in got] == [100, 36, 0, 0]

@@ -23,11 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfill.functions.hashing import hash32
-from sparkfill.session import broadcast_checked, row_count_at_most
+from sparkfill.session import broadcast_checked
 
 N_BUCKETS = 64
-QUERY_ROW_LIMIT = 100_000   # bounded query side of the k-NN join (checked)
 
 
 # --------------------------------------------------------------------------- as-of prefix sums
@@ -144,8 +142,72 @@ def impute_nearest_code(df: DataFrame, key: str, block: str, code: str, numeric:
               .withColumn(code, F.coalesce(F.col(code), F.col("best_code").cast(t))).drop("best_code"))
 
 
+# --------------------------------------------------------------------------- blocks of queries and candidates
+
+#: Queries, candidates, donors and rows to fill that meet in one task.
+KNN_BLOCK = 2048
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (cl, id, is_cand, ...) dealt into blocks ``db`` x ``rb`` of about ``KNN_BLOCK`` candidates and
+    queries, so that any query and any candidate of one ``cl`` meet in exactly one block."""
+    sizes = rows.groupBy("cl").agg(F.ceil(F.count_if("is_cand") / KNN_BLOCK).cast("int").alias("nd"),
+                                   F.ceil(F.count_if(~F.col("is_cand")) / KNN_BLOCK).cast("int").alias("nr"))
+    rows = rows.join(broadcast_checked(sizes.where("nd > 0 and nr > 0")), "cl")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("is_cand"), F.col("nd")).otherwise(F.col("nr"))).cast("int")
+    others = F.when(F.col("is_cand"), F.col("nr")).otherwise(F.col("nd"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).drop("nd", "nr")
+    return (rows.withColumn("db", F.when(F.col("is_cand"), F.col("own")).otherwise(F.col("other")))
+                .withColumn("rb", F.when(F.col("is_cand"), F.col("other")).otherwise(F.col("own"))).drop("own", "other"))
+
+
+def _least(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least finite values of each row; equal values by column."""
+    n = min(k, values.shape[1])
+    r, c = np.nonzero((values <= np.partition(values, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(values))
+    order = np.lexsort((c, values[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, r)  # where the row begins
+    best = np.arange(len(r)) - first < k
+    return r[best], c[best]
+
+
 # --------------------------------------------------------------------------- Gower k-NN
 
+def _extremes_in_block(feats: Sequence[str], num: Sequence[str], k: int):
+    """The k nearest and k farthest candidates of a block for each query of it."""
+    def extremes(rows: pd.DataFrame) -> pd.DataFrame:
+        cand, rec = rows[rows["is_cand"]].sort_values("id"), rows[~rows["is_cand"]]
+        if not len(cand) or not len(rec):
+            return pd.DataFrame({c: rows[c].iloc[:0] for c in ("id", "cand", "value")} | {"far": np.zeros(0, bool), "d": np.zeros(0)})
+        c_null, q_null = cand["nulls"].to_numpy(), rec["nulls"].to_numpy()
+        full = (1 << len(feats)) - 1
+        complete = (c_null[None, :] & (full ^ q_null)[:, None]) == 0
+        total, used = np.zeros(complete.shape), np.zeros(len(rec))
+        for i, f in enumerate(feats):
+            present = (q_null >> i) & 1 == 0
+            if f in num:
+                x = rec[f].to_numpy(float)
+                r = np.fmax(rec["mx_" + f].to_numpy(float), x) - np.fmin(rec["mn_" + f].to_numpy(float), x)
+                some = present & (r > 0)
+                term = np.abs(cand[f].to_numpy(float)[None, :] - x[:, None]) / np.where(some, r, 1.0)[:, None]
+                total += np.where(some[:, None] & complete, term, 0.0)
+            else:
+                codes = pd.factorize(pd.concat([rec[f], cand[f]]))[0]
+                total += (codes[: len(rec), None] != codes[None, len(rec) :]) & present[:, None]
+            used += present
+        dist = total / np.maximum(used, 1)[:, None]
+        out = []
+        for far in (False, True):
+            d = np.where(complete, -dist if far else dist, np.inf)
+            r, c = _least(d, k)
+            out.append(pd.DataFrame({"id": rec["id"].to_numpy()[r], "cand": cand["id"].to_numpy()[c],
+                                     "value": cand["value"].to_numpy()[c], "far": far, "d": d[r, c]}))
+        return pd.concat(out)
+
+    return extremes
+
+
 def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric: Sequence[str],
               categorical: Sequence[str], k: int = 10, scope_cols: Sequence[str] | None = None,
               same: str | None = None, exclude: Sequence[str] = ()) -> DataFrame:
@@ -156,82 +218,41 @@ def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric:
     Range per column is taken over candidates and the record. ``same`` restricts candidates
     to the record's own value of that column (e.g. its cluster). Ties go to the lowest key.
 
-    The query side is a bounded set of records (a sample), checked before it is
-    broadcast; the candidate side streams, and the per-query top-k is pruned in every
-    map task (WindowGroupLimit) before the shuffle."""
+    Exact for any number of queries and candidates: both are dealt into blocks of about
+    ``KNN_BLOCK``, any two that may meet do so in one task, and each task returns its k nearest
+    and k farthest for every query. Queries without a candidate have no row."""
     feats = [c for c in (scope_cols or list(numeric) + list(categorical)) if c not in exclude and c != target]
-    if not row_count_at_most(queries, QUERY_ROW_LIMIT):
-        raise ValueError(f"query side of gower_knn exceeds {QUERY_ROW_LIMIT} rows; sample it first")
     num = [c for c in feats if c in numeric]
-    # null pattern of each query (bit i: feats[i] is null) and candidate
-    def mask(cols_prefix=""):
-        m = F.lit(0).cast("bigint")
-        for i, c in enumerate(feats):
-            m = m + F.shiftleft(F.col(cols_prefix + c).isNull().cast("bigint"), i)
-        return m
-    q = queries.select(*[F.col(c).alias("q_" + c) for c in [key] + feats + ([same] if same and same not in feats else [])])
-    q = q.withColumn("q_mask", mask("q_"))
-    cand = df.where(F.col(target).isNotNull()).select(key, target, *feats,
-                                                        *([same] if same and same not in feats else []))
-    cand = cand.withColumn("c_mask", mask())
-    full = (1 << len(feats)) - 1
-    # per query pattern: ranges over its candidate set (few distinct patterns)
-    # ranges per query pattern (and per value of ``same``): few distinct keys, each over its candidates
-    pk = ["q_mask"] + (["q_" + same] if same else [])
-    pats = broadcast_checked(q.select(*pk).distinct())
-    ok = (F.col("c_mask").bitwiseAND(F.lit(full) - F.col("q_mask")) == 0)
-    if same:
-        ok = ok & (F.col(same) == F.col("q_" + same))
+    # bit i: feats[i] is null
+    nulls = sum((F.shiftleft(F.col(c).isNull().cast("bigint"), i) for i, c in enumerate(feats)), F.lit(0).cast("bigint"))
+    cl = F.col(same).cast("string") if same else F.lit("")
+    typed = [F.col(c).cast("double" if c in num else "string").alias(c) for c in feats]
+    t = dict(df.dtypes)
+    q = queries.select(cl.alias("cl"), F.col(key).cast(t[key]).alias("id"), nulls.alias("nulls"), *typed).where(F.col("cl").isNotNull())
+    cand = df.where(F.col(target).isNotNull()).select(cl.alias("cl"), F.col(key).alias("id"), nulls.alias("nulls"), F.col(target).alias("value"), *typed) \
+        .where(F.col("cl").isNotNull())
+    # ranges per null pattern of the queries (and value of ``same``): few distinct keys, each over its candidates
     if num:
-        rng = cand.join(pats, ok).groupBy(*pk).agg(
+        pats = broadcast_checked(q.select(F.col("cl").alias("p_cl"), F.col("nulls").alias("p_nulls")).distinct())
+        full = (1 << len(feats)) - 1
+        ok = (F.col("cl") == F.col("p_cl")) & (F.col("nulls").bitwiseAND(F.lit(full) - F.col("p_nulls")) == 0)
+        rng = cand.join(pats, ok).groupBy(F.col("p_cl").alias("cl"), F.col("p_nulls").alias("nulls")).agg(
             *[F.min(c).alias("mn_" + c) for c in num], *[F.max(c).alias("mx_" + c) for c in num])
-        q = q.join(rng, pk, "left")
-    cond = (F.col("c_mask").bitwiseAND(F.lit(full) - F.col("q_mask")) == 0)
-    if same:
-        cond = cond & (F.col(same) == F.col("q_" + same))
-    pairs = cand.join(F.broadcast(q), cond)
-    total = F.lit(0.0)
-    used = F.lit(0)
-    for c in feats:
-        present = F.col("q_" + c).isNotNull()
-        if c in num:
-            r = F.greatest(F.col("mx_" + c), F.col("q_" + c)) - F.least(F.col("mn_" + c), F.col("q_" + c))
-            t = F.when(r > 0, F.abs(F.col(c) - F.col("q_" + c)) / r).otherwise(F.lit(0.0))
-        else:
-            t = F.when(F.col(c) == F.col("q_" + c), F.lit(0.0)).otherwise(F.lit(1.0))
-        total = total + F.when(present, t).otherwise(F.lit(0.0))
-        used = used + present.cast("int")
-    pairs = pairs.select(F.col("q_" + key).alias("query"), F.col(key).alias("cand"), target,
-                         F.when(used > 0, total / used).otherwise(F.lit(0.0)).alias("dist"))
-    # Exact pruning before the sort: the k-th smallest (largest) distance within a 1/16 subset
-    # of the candidates bounds the true k-th smallest (largest), so pairs outside the bound
-    # can never reach the top k. The bound table has one row per query (bounded, broadcast).
-    sub = pairs.where(F.pmod(hash32("knn.subset", F.col("cand")), F.lit(16)) == 0)
-    wn = Window.partitionBy("query").orderBy(F.col("dist").asc(), F.col("cand").asc())
-    wf = Window.partitionBy("query").orderBy(F.col("dist").desc(), F.col("cand").asc())
-    bn = sub.withColumn("__rn", F.row_number().over(wn)).where(F.col("__rn") <= k).groupBy("query").agg(
-        F.max("dist").alias("__tn"), F.count(F.lit(1)).alias("__cn"))
-    bf = sub.withColumn("__rn", F.row_number().over(wf)).where(F.col("__rn") <= k).groupBy("query").agg(
-        F.min("dist").alias("__tf"), F.count(F.lit(1)).alias("__cf"))
-    bounds = F.broadcast(bn.join(bf, "query", "full"))
-    pairs = pairs.join(bounds, "query", "left")
-    near_pairs = pairs.where((F.coalesce(F.col("__cn"), F.lit(0)) < k) | (F.col("dist") <= F.col("__tn")))
-    far_pairs = pairs.where((F.coalesce(F.col("__cf"), F.lit(0)) < k) | (F.col("dist") >= F.col("__tf")))
-    w_near = Window.partitionBy("query").orderBy(F.col("dist").asc(), F.col("cand").asc())
-    w_far = Window.partitionBy("query").orderBy(F.col("dist").desc(), F.col("cand").asc())
-    near = near_pairs.withColumn("__rn", F.row_number().over(w_near)).where(F.col("__rn") <= k) \
-        .groupBy("query").agg(F.sum(target).alias("sum_near"), F.count(F.lit(1)).alias("n_near"))
-    far = far_pairs.withColumn("__rn", F.row_number().over(w_far)).where(F.col("__rn") <= k) \
-        .groupBy("query").agg(F.sum(target).alias("sum_far"), F.count(F.lit(1)).alias("n_far"))
-    return near.join(far, "query", "full").withColumnRenamed("query", key)
+        q = q.join(broadcast_checked(rng), ["cl", "nulls"])  # a pattern without candidates has no range
+    rows = q.withColumn("is_cand", F.lit(False)).unionByName(cand.withColumn("is_cand", F.lit(True)), allowMissingColumns=True)
+    rows = rows.withColumn("value", F.coalesce("value", F.lit(0).cast(t[target])))  # of queries; pandas keeps its type
+    best = _dealt(rows).groupBy("cl", "db", "rb").applyInPandas(
+        _extremes_in_block(feats, num, k), f"id {t[key]}, cand {t[key]}, value {t[target]}, far boolean, d double")
+    # "<= k" lets Spark keep only k rows per query in each map task before the shuffle
+    w = Window.partitionBy("id", "far").orderBy("d", "cand")
+    top = best.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    near, far = F.when(~F.col("far"), F.col("value")), F.when(F.col("far"), F.col("value"))
+    return top.groupBy(F.col("id").alias(key)).agg(F.sum(near).alias("sum_near"), F.count(near).alias("n_near"),
+                                                   F.sum(far).alias("sum_far"), F.count(far).alias("n_far"))
 
 
 # --------------------------------------------------------------------------- k-NN fill inside clusters
 
-#: Donors, and rows to fill, that meet in one task.
-KNN_BLOCK = 2048
-
-
 def _nearest_in_block(features: Sequence[str], k: int):
     """The k nearest donors of a block for each row of a block: distances are one numpy matrix."""
     def nearest(rows: pd.DataFrame) -> pd.DataFrame:
@@ -292,18 +313,39 @@ def knn_fill(df: DataFrame, key: str, cluster: str | None, target: str, features
 
 # --------------------------------------------------------------------------- k-distance
 
+def _nearest_vectors(k: int):
+    """The k nearest other vectors of a block for each query of it; lengths must agree."""
+    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, rows in rows.groupby(rows["vec"].map(len)):
+            cand, rec = rows[rows["is_cand"]].sort_values("id"), rows[~rows["is_cand"]]
+            if not len(cand) or not len(rec):
+                continue
+            ids, others = rec["id"].to_numpy(), cand["id"].to_numpy()
+            sq = np.zeros((len(rec), len(cand)))
+            for x, y in zip(np.stack(rec["vec"]).astype(float).T, np.stack(cand["vec"]).astype(float).T, strict=True):
+                gap = x[:, None] - y[None, :]
+                sq += np.multiply(gap, gap, out=gap)
+            d = np.where((ids[:, None] == others[None, :]) | np.isnan(sq), np.inf, np.sqrt(sq))
+            r, c = _least(d, k)
+            out.append(pd.DataFrame({"id": ids[r], "cand": others[c], "dist": d[r, c]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": rows["id"].iloc[:0], "cand": rows["id"].iloc[:0], "dist": np.zeros(0)})
+
+    return nearest
+
+
 def k_distance(df: DataFrame, key: str, vec: str, k: int, block: str, queries: DataFrame | None = None) -> DataFrame:
-    """Euclidean distance from each (query) row to its k-th nearest other row of the same block.
-
-    Work is rows x block size; give ``queries`` (a bounded sample) for big blocks."""
-    q = (queries if queries is not None else df).select(F.col(key).alias("q"), F.col(block).alias("b"),
-                                                         F.col(vec).alias("qv"))
-    c = df.select(F.col(key).alias("c"), F.col(block).alias("b"), F.col(vec).alias("cv"))
-    p = q.join(c, "b").where(F.col("q") != F.col("c"))
-    d = F.sqrt(F.aggregate(F.zip_with("qv", "cv", lambda a, b: (a.cast("double") - b.cast("double")) ** 2),
-                           F.lit(0.0), lambda acc, x: acc + x))
-    p = p.select("q", "c", d.alias("dist"))
-    w = Window.partitionBy("q").orderBy("dist", "c")
+    """Euclidean distance from each row (or each of ``queries``) to its k-th nearest other row of the same block.
+
+    Exact for blocks of any size, by tasks of ``KNN_BLOCK`` by ``KNN_BLOCK`` vectors. Null vectors, vectors
+    with a null and vectors of another length have no distance; a row with fewer than k others has no result."""
+    cols = [F.col(block).alias("cl"), F.col(key).alias("id"), F.col(vec).alias("vec")]
+    rows = (queries if queries is not None else df).select(*cols, F.lit(False).alias("is_cand")) \
+        .unionByName(df.select(*cols, F.lit(True).alias("is_cand")))
+    rows = rows.where(F.col("cl").isNotNull() & F.col("vec").isNotNull())
+    t = dict(df.dtypes)[key]
+    near = _dealt(rows).groupBy("cl", "db", "rb").applyInPandas(_nearest_vectors(k), f"id {t}, cand {t}, dist double")
+    w = Window.partitionBy("id").orderBy("dist", "cand")
     # "<= k" lets Spark keep only k rows per query in each map task before the shuffle
-    top = p.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    return top.where(F.col("__rn") == k).select(F.col("q").alias(key), F.col("dist").alias("k_dist"))
+    top = near.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    return top.where(F.col("__rn") == k).select(F.col("id").alias(key), F.col("dist").alias("k_dist"))

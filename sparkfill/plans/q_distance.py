@@ -108,6 +108,13 @@ def q_gower_knn_join(spark, sf):
     return round_doubles(out)
 
 
+@query("gower_knn_all")
+def q_gower_knn_all(spark, sf):
+    """Every record without a weight; ``gower_knn_join`` takes N_QUERIES of them, as its SQL does."""
+    obs = missing_view(records(spark, sf))
+    return round_doubles(distance.gower_knn(obs, obs.where(F.col("weight").isNull()), "row_id", "weight", KNN_NUM, KNN_CAT, k=10))
+
+
 @query("k_distance", f"""WITH q AS (SELECT * FROM embeddings
   QUALIFY row_number() OVER (ORDER BY {sql_order_key('kdq', 'vec_id')}, vec_id) <= 100),
 p AS (SELECT q.vec_id AS q, c.vec_id AS c, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1),
@@ -120,6 +127,12 @@ def q_k_distance(spark, sf):
     return round_doubles(distance.k_distance(emb, "vec_id", "embedding", 5, "label", queries=q))
 
 
+@query("k_distance_all")
+def q_k_distance_all(spark, sf):
+    """Every vector; ``k_distance`` takes 100 of them, as its SQL does."""
+    return round_doubles(distance.k_distance(read_table(spark, sf, "embeddings"), "vec_id", "embedding", 5, "label"))
+
+
 KF = ["acct", "n_items", "qty", "price", "site"]
 
 

@@ -157,7 +157,12 @@ RECORD = record_text(REC_COLS, set(NUM))
 
 
 def _prompt_sample(obs):
-    return sampling.sample_exact_n(obs.where(F.col("flag").isNull()), N_PROMPTS, "prompt")
+    """N_PROMPTS of the records without a flag, as the SQL has it; the ``_all`` queries take ``_without_flag``."""
+    return sampling.sample_exact_n(_without_flag(obs), N_PROMPTS, "prompt")
+
+
+def _without_flag(obs):
+    return obs.where(F.col("flag").isNull())
 
 
 def _neighbours(obs, q, feats, same=None):
@@ -172,8 +177,17 @@ def _neighbours(obs, q, feats, same=None):
     *_k3_ctes("flag", "f"),
     *knn_sql_ctes("flag", FEATS_SEL, NUM, N_PROMPTS, "prompt", name="nb", qname="qs")))
 def q_imputation_prompt(spark, sf):
+    return _imputation_prompts(spark, sf, _prompt_sample)
+
+
+@query("imputation_prompt_all")
+def q_imputation_prompt_all(spark, sf):
+    return _imputation_prompts(spark, sf, _without_flag)
+
+
+def _imputation_prompts(spark, sf, pick):
     obs = _obs(spark, sf)
-    q = _prompt_sample(obs)
+    q = pick(obs)
     ins = insight.record_insights(_data(obs), q, "row_id", "flag", K3_VARS, CONT)
     nb = _neighbours(obs, q, FEATS_SEL)
     d = q.join(ins, "row_id", "left").join(nb, "row_id", "left")
@@ -233,8 +247,8 @@ _IND_SQL = f"""(SELECT qs.*, nf.sum_near AS near_full, nf.sum_far AS far_full, n
    FROM qs LEFT JOIN nf USING (row_id) LEFT JOIN ns USING (row_id) LEFT JOIN nc USING (row_id))"""
 
 
-def _indicators(obs):
-    q = _prompt_sample(obs)
+def _indicators(obs, pick=_prompt_sample):
+    q = pick(obs)
     full = _neighbours(obs, q, FEATS_FULL).select("row_id", F.col("sum_near").alias("near_full"),
                                                   F.col("sum_far").alias("far_full"))
     sel = _neighbours(obs, q, FEATS_SEL).select("row_id", F.col("sum_near").alias("near_selected"),
@@ -255,13 +269,27 @@ def q_indicator_rule(spark, sf):
     return _indicators(_obs(spark, sf)).select("row_id", "n_indicators", "decision")
 
 
+@query("indicator_rule_all")
+def q_indicator_rule_all(spark, sf):
+    return _indicators(_obs(spark, sf), _without_flag).select("row_id", "n_indicators", "decision")
+
+
 @query("correction_prompt", with_rec(
     f"""SELECT x.row_id, 9 AS n_turns, {prompt.dialogue_sql(prompt.correction_turns('flag', RECORD, DICTIONARY, RULES), 'x.')}
       AS dialogue FROM (SELECT i.*, vt.majority, vt.minority FROM {_IND_SQL} i JOIN vt USING (row_id)
       WHERE vt.minority IS NOT NULL) x""", *_scope_ctes(), *_VOTE_CTES))
 def q_correction_prompt(spark, sf):
+    return _correction_prompts(spark, sf, _prompt_sample)
+
+
+@query("correction_prompt_all")
+def q_correction_prompt_all(spark, sf):
+    return _correction_prompts(spark, sf, _without_flag)
+
+
+def _correction_prompts(spark, sf, pick):
     obs = _obs(spark, sf)
-    d = _indicators(obs).join(_votes(obs).select("row_id", "majority", "minority"), "row_id") \
+    d = _indicators(obs, pick).join(_votes(obs).select("row_id", "majority", "minority"), "row_id") \
         .where(F.col("minority").isNotNull())
     msgs = prompt.messages(prompt.correction_turns("flag", RECORD, DICTIONARY, RULES))
     return d.select("row_id", F.size(msgs).alias("n_turns"), prompt.dialogue_text(msgs).alias("dialogue"))
@@ -352,10 +380,10 @@ def rule_scorer(pdf):
     return out
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, pick=_prompt_sample):
     rec = records(spark, sf)
     obs = missing_view(rec)
-    ind = _indicators(obs)
+    ind = _indicators(obs, pick)
     votes = _votes(obs).select("row_id", F.col("votes").alias("v"))
     d = ind.join(rec.select("row_id", F.col("true_flag").alias("truth")), "row_id") \
         .join(votes, "row_id").withColumn("combined", (F.col("v") >= 2).cast("int"))
@@ -374,10 +402,24 @@ def q_score_prompts(spark, sf):
     return _scored(spark, sf)
 
 
+@query("score_prompts_all")
+def q_score_prompts_all(spark, sf):
+    return _scored(spark, sf, _without_flag)
+
+
 @query("sample_pairs_sink", with_rec(f"SELECT row_id, output, truth, combined FROM {_SCORED_SQL} s",
                                      *_scope_ctes(), *_VOTE_CTES))
 def q_sample_pairs_sink(spark, sf):
-    s = _scored(spark, sf).select("row_id", "output", "truth", "combined")
+    return _stored_pairs(spark, sf, _prompt_sample)
+
+
+@query("sample_pairs_sink_all")
+def q_sample_pairs_sink_all(spark, sf):
+    return _stored_pairs(spark, sf, _without_flag)
+
+
+def _stored_pairs(spark, sf, pick):
+    s = _scored(spark, sf, pick).select("row_id", "output", "truth", "combined")
     path = shared_path(spark, "answers")
     files.sink_table(s, path)
     return spark.read.parquet(path)
@@ -390,3 +432,7 @@ def q_sample_pairs_sink(spark, sf):
 def q_parse_answers(spark, sf):
     return prompt.parse_answers(_scored(spark, sf)).select("row_id", "value", "reasoning", "valid")
 
+
+@query("parse_answers_all")
+def q_parse_answers_all(spark, sf):
+    return prompt.parse_answers(_scored(spark, sf, _without_flag)).select("row_id", "value", "reasoning", "valid")

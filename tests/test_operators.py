@@ -1,5 +1,6 @@
 """Operator properties on small hand-made fixtures (FIXTURES.md section 4)."""
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -355,3 +356,20 @@ def test_k_distance_all_answers_every_vector(spark, monkeypatch):
     for r in rows[::7]:
         near = sorted(math.dist(r.embedding, o.embedding) for o in rows if o.label == r.label and o.vec_id != r.vec_id)
         assert abs(got[r.vec_id] - near[4]) < 1e-5
+
+
+@pytest.mark.parametrize("key", ["imputation_prompt", "indicator_rule", "correction_prompt", "score_prompts", "sample_pairs_sink", "parse_answers"])
+def test_prompts_of_every_record_without_a_flag(spark, duck, key):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    from sparkfill.plans.records import with_rec
+    # the SQL of the sample, asked for more records than there are
+    every = re.sub(r"<= 40\)", "<= 1000000000)", E.oracle_sql()[key])
+    assert every != E.oracle_sql()[key]
+    wanted = {r[0] for r in duck.execute(with_rec("SELECT row_id FROM rec WHERE flag IS NULL")).fetchall()}
+    out = E.queries()[key + "_all"](spark, SF_SMALL)
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[out.columns.index("row_id")])
+    cur = duck.execute(f"SELECT {', '.join(out.columns)} FROM ({every}) ORDER BY row_id")
+    assert got == cur.fetchall()
+    ids = {r[out.columns.index("row_id")] for r in got}
+    assert len(ids) > 40 and (key == "correction_prompt" or ids == wanted)

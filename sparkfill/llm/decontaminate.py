@@ -1,12 +1,14 @@
-"""Operator 2, benchmark decontamination: suffix arrays of the corpus, searched for every test suffix.
+"""Operator 2, benchmark decontamination: suffix arrays of the corpus, searched for every test window.
 
 The corpus is cut into shards as it is read: some documents each, their words as numbers,
 with a break after each document. A shard's suffix array sorts its positions by the words
-that follow (prefix doubling). Each suffix of each benchmark item is then binary-searched
-in it, which gives the first and last place of its occurrences and, by comparing with the
-neighbours, its longest verbatim match. Positions from which no whole window of benchmark
-words follows are left out of the array: no window can start there, and most of a corpus
-is such.
+that follow, as far as a window goes (prefix doubling). Each distinct window of the benchmark
+items (an item shorter than a window is one) is then binary-searched in it, which gives
+the first and last place of its occurrences. Longer matches are chained from windows that
+occur one word after another; a match shorter than a window (or than its whole item, if
+that is shorter) is not found, and ``longest`` is 0 then. Positions from which no whole
+window of benchmark words follows are left out of the array: no window can start there, and
+most of a corpus is such.
 
 Shards are searched where they are read; nothing is shuffled. The benchmark goes to the
 tasks in blocks of bounded size, one pass for each, so it may grow as it likes.

@@ -32,7 +32,7 @@ _CHUNK = regex.compile(
 _SPACE = regex.compile(r"\s*")
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     rest = [b for b in range(256) if b not in set(PRINTABLE)]
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
@@ -45,7 +45,7 @@ class Vocabulary:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec.get("normalizer") or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel":
             raise ValueError(f"{path}: not a byte-level BPE without a normalizer")
-        back = _byte_of_char()
+        back = byte_of_char()
         added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.special = added
         self.ids = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfill.llm import decontaminate, fingerprint, jaccard, packing, quality, secrets, substring, tokens, toxicity, urls
+from sparkfill.llm import centroids, codes, decontaminate, fingerprint, jaccard, packing, quality, secrets, substring, tokens, toxicity, urls, wavelet
 from sparkfill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,66 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op11_centroid_clustering", """
+WITH kept AS (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT rid, unnest(q) AS y, unnest(range(1, 65)) AS pos FROM kept),
+seeds AS (SELECT rid, row_number() OVER (ORDER BY sha256('1:' || vec_id), vec_id, q) - 1 AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 16),
+c0 AS (SELECT c, pos, y FROM seeds JOIN v USING (rid)),
+a0 AS (SELECT rid, c AS cluster, d FROM (SELECT v.rid, c0.c, sum((v.y - c0.y) * (v.y - c0.y))::BIGINT AS d FROM v JOIN c0 USING (pos) GROUP BY v.rid, c0.c)
+       QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1),
+m0 AS (SELECT cluster AS c, pos, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM a0 JOIN v USING (rid) GROUP BY cluster, pos),
+c1 AS (SELECT c, pos, coalesce(m0.y, c0.y)::BIGINT AS y FROM c0 LEFT JOIN m0 USING (c, pos)),
+a1 AS (SELECT rid, c AS cluster, d FROM (SELECT v.rid, c1.c, sum((v.y - c1.y) * (v.y - c1.y))::BIGINT AS d FROM v JOIN c1 USING (pos) GROUP BY v.rid, c1.c)
+       QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1),
+m1 AS (SELECT cluster AS c, pos, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM a1 JOIN v USING (rid) GROUP BY cluster, pos),
+c2 AS (SELECT c, pos, coalesce(m1.y, c1.y)::BIGINT AS y FROM c1 LEFT JOIN m1 USING (c, pos)),
+a2 AS (SELECT rid, c AS cluster, d FROM (SELECT v.rid, c2.c, sum((v.y - c2.y) * (v.y - c2.y))::BIGINT AS d FROM v JOIN c2 USING (pos) GROUP BY v.rid, c2.c)
+       QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1),
+m2 AS (SELECT cluster AS c, pos, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM a2 JOIN v USING (rid) GROUP BY cluster, pos),
+c3 AS (SELECT c, pos, coalesce(m2.y, c2.y)::BIGINT AS y FROM c2 LEFT JOIN m2 USING (c, pos)),
+a3 AS (SELECT rid, c AS cluster, d FROM (SELECT v.rid, c3.c, sum((v.y - c3.y) * (v.y - c3.y))::BIGINT AS d FROM v JOIN c3 USING (pos) GROUP BY v.rid, c3.c)
+       QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1),
+of_cluster AS (SELECT cluster, sum(d)::BIGINT AS cluster_inertia FROM a3 GROUP BY cluster),
+sha AS (SELECT c AS cluster, sha256(string_agg(y::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, cluster::INT AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a3) AS inertia, centroid_sha256
+FROM a3 JOIN kept USING (rid) JOIN of_cluster USING (cluster) JOIN sha USING (cluster)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_vector_codes", """
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT len(any_value(q)) // 16 AS w FROM kept),
+v AS (SELECT rid, unnest(q) AS y, unnest(range(0, len(q))) // w AS part, unnest(range(0, len(q))) % w AS pos FROM kept, w),
+seeds AS (SELECT rid, row_number() OVER (ORDER BY vec_id, q) - 1 AS e FROM kept WHERE vec_id IS NOT NULL QUALIFY e < 64),
+b0 AS (SELECT part, e, pos, y FROM seeds JOIN v USING (rid)),
+a0 AS (SELECT rid, part, e, d FROM (SELECT v.rid, part, b.e, sum((v.y - b.y) * (v.y - b.y))::BIGINT AS d FROM v JOIN b0 b USING (part, pos) GROUP BY v.rid, part, b.e)
+       QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, e) = 1),
+m0 AS (SELECT part, e, pos, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM a0 JOIN v USING (rid, part) GROUP BY part, e, pos),
+b1 AS (SELECT part, e, pos, coalesce(m.y, b.y)::BIGINT AS y FROM b0 b LEFT JOIN m0 m USING (part, e, pos)),
+a1 AS (SELECT rid, part, e, d FROM (SELECT v.rid, part, b.e, sum((v.y - b.y) * (v.y - b.y))::BIGINT AS d FROM v JOIN b1 b USING (part, pos) GROUP BY v.rid, part, b.e)
+       QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, e) = 1),
+m1 AS (SELECT part, e, pos, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM a1 JOIN v USING (rid, part) GROUP BY part, e, pos),
+b2 AS (SELECT part, e, pos, coalesce(m.y, b.y)::BIGINT AS y FROM b1 b LEFT JOIN m1 m USING (part, e, pos)),
+a2 AS (SELECT rid, part, e, d FROM (SELECT v.rid, part, b.e, sum((v.y - b.y) * (v.y - b.y))::BIGINT AS d FROM v JOIN b2 b USING (part, pos) GROUP BY v.rid, part, b.e)
+       QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, e) = 1),
+coded AS (SELECT rid, string_agg(format('{:02x}', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid),
+books AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, e, pos)) AS codebooks_sha256 FROM b2),
+of_label AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (rid) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN kept USING (rid) JOIN of_label ON kept.label IS NOT DISTINCT FROM of_label.label, books
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_wavelet_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(spark, wavelet.write_tokens(read_table(spark, sf_dir, "documents")))

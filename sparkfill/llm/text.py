@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Largest number of entries of a memo; beyond it the memo starts anew.
@@ -112,3 +112,20 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_key(text: Column) -> Column:
     """Tells apart rows of one id with different texts; equal rows share it."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def running_total(df: DataFrame, part: str, order: str, value: str, wide: int = 1024) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over all rows before, by ``(part, order)``.
+
+    Three levels: rows of a part, parts of a run of ``wide`` parts, and runs. So no task sees more
+    than one part's rows, ``wide`` parts, or one row for each run.
+    """
+    run = F.floor(F.col(part) / wide)
+    parts = df.groupBy(part).agg(F.sum(value).alias("__sum")).withColumn("__run", run)
+    runs = parts.groupBy("__run").agg(F.sum("__sum").alias("__all"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__r", F.coalesce(F.sum("__all").over(earlier(Window.orderBy("__run"))), F.lit(0))).drop("__all")
+    parts = parts.withColumn("__p", F.coalesce(F.sum("__sum").over(earlier(Window.partitionBy("__run").orderBy(part))), F.lit(0)))
+    base = parts.join(runs, "__run").select(part, (F.col("__p") + F.col("__r")).alias("__base"))
+    own = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(part).orderBy(order))), F.lit(0))
+    return df.withColumn("__own", own).join(base, part).withColumn("before", F.col("__own") + F.col("__base")).drop("__own", "__base")

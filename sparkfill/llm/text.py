@@ -6,6 +6,7 @@ between tasks but memos of bounded size.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,10 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest number of entries of a memo; beyond it the memo starts anew.
-MEMO_ENTRIES = 700_000
-#: Texts longer than this many characters are not split into memo keys that are kept.
+#: Bytes that a memo may hold, about; beyond it the memo starts anew.
+MEMO_BYTES = 32 << 20
+#: Keys longer than this many characters are not kept.
 MEMO_KEY = 64
+#: Bytes of an entry besides its key's and value's own.
+_ENTRY = 200
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -28,18 +31,40 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Memo(dict):
     """``memo[key]`` computes ``make(key)`` once; long keys are not kept, and a full memo is emptied."""
 
-    def __init__(self, make: Callable, entries: int = MEMO_ENTRIES):
+    def __init__(self, make: Callable, most: int = MEMO_BYTES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= MEMO_KEY:
-            if len(self) >= self.entries:
-                self.clear()
-            self[key] = value
+            self.keep(key, value)
         return value
 
+    def keep(self, key, value) -> None:
+        size = _ENTRY + len(key) + (len(value) if hasattr(value, "__len__") else 0)
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size
+
+
+_OF_WORKER: dict = {}
+
+
+def of_worker(name, make: Callable):
+    """``make()``, kept by this Python worker until it is asked for something of another name.
+
+    A worker lives on from task to task, so it holds the memos of one operator at a time.
+    """
+    if name not in _OF_WORKER:
+        _OF_WORKER.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _OF_WORKER[name] = make()
+    return _OF_WORKER[name]
+
 
 def space_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; a null text has none."""
@@ -65,11 +90,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORD_HASH = Memo(xxhash.xxh3_64_intdigest)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
+    known = of_worker("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest, 2 * MEMO_BYTES))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def ngram_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -88,11 +111,11 @@ def hex_sha256(data: bytes) -> str:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about ``most`` bytes of ``column``, or one row."""
+    """The batches cut so that a slice holds about ``most`` bytes of ``column`` (or field of the first one), or one row."""
     for batch in batches:
         lengths = np.zeros(batch.num_rows, np.int64)
         if batch.num_rows:
-            col = batch.column(column)
+            col = batch.column(column) if column in batch.schema.names else batch.column(0).field(column)
             lengths = np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         start, held = 0, 0
         for i, size in enumerate(lengths.tolist()):
@@ -104,6 +127,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+def distinct(lists: list[pa.ListArray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct strings of some lists, the number of each string's own, and where each list begins."""
+    values = pa.concat_arrays([pa.array([], pa.string()), *(x.flatten() for x in lists)]).dictionary_encode()
+    lengths = np.concatenate([np.zeros(1, np.int64), *(np.asarray(pc.list_value_length(x)).astype(np.int64) for x in lists)])
+    return values.dictionary.to_pylist(), np.asarray(values.indices).astype(np.int64), np.cumsum(lengths)
+
+
+def runs(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat[starts[i] : starts[i + 1]]`` for each ``i`` of ``which``, one after another, and where each begins."""
+    sizes = np.diff(starts)[which]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], sizes)], ends
+
+
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that other columns can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -28,7 +28,6 @@ neither read nor returned.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Iterator, Sequence
@@ -36,6 +35,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkfill.llm.bpe import byte_of_char
-from sparkfill.llm.text import running_total, slices, text_key, two_columns
+from sparkfill.llm.text import distinct, of_worker, running_total, runs, slices, text_key, two_columns
 from sparkfill.session import broadcast_checked, shared_path
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,8 @@ DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 SHARD_TOKENS = 1 << 24
 #: Bytes of text a file is meant for.
 FILE_BYTES = 32 << 20
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 8_000_000
 #: Bits between two stored ranks.
 STEP = 512
 
@@ -79,52 +81,51 @@ class WordEncoder:
     """``encode(texts)``: the ids of each text as the library gives them, as unsigned integers.
 
     The tokenizer drops white space and never merges over it, so a text's ids are those of its
-    words. Ids of words are kept in a memo bounded by bytes; new words of a batch are encoded in
-    one call.
+    words. The distinct words of a batch are encoded in one call and laid out by their numbers.
     """
 
-    def __init__(self, path: str, memo_bytes: int = 96 << 20):
+    def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.bits = max(1, (size - 1).bit_length())
         self.quick, self.of_rank = _quick_merges(path, self.dtype)
-        self.memo: dict[str, bytes] = {}
-        self.held, self.most = 0, memo_bytes
-
-    def _slow(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w.isascii() and w.isprintable() and "<" not in w or _PLAIN.fullmatch(w)] if self.quick else []
-        found = {}
-        if plain:
-            marked = _PIECE.sub(r"\1" + _MARK, _BREAK.join(plain).lower())
-            ranks = np.array(self.quick.encode_ordinary(marked + _BREAK), np.int64)
-            ends = np.flatnonzero(ranks == ord(_BREAK))
-            ids = self.of_rank[ranks].tobytes()
-            w, at = self.dtype.itemsize, 0
-            for word, end in zip(plain, ends.tolist(), strict=True):
-                found[word] = ids[at * w : end * w]
-                at = end + 1
-        for word in words.difference(found):
-            found[word] = self._slow(word)
-        return found
+
+    def _slow(self, word: str) -> np.ndarray:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, self.dtype)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after another, and where each begins."""
+        quick = np.array([bool(self.quick) and (w.isascii() and w.isprintable() and "<" not in w or bool(_PLAIN.fullmatch(w))) for w in words], bool)
+        marked = _PIECE.sub(r"\1" + _MARK, _BREAK.join([*(w for w, q in zip(words, quick, strict=True) if q), ""]).lower())
+        ranks = np.array(self.quick.encode_ordinary(marked) if quick.any() else [], np.int64)
+        ends = np.flatnonzero(ranks == ord(_BREAK))
+        ids = self.of_rank[ranks[ranks != ord(_BREAK)]] if quick.any() else np.empty(0, self.dtype)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[quick] = np.diff(np.concatenate([[-1], ends])) - 1
+        rest = {i: self._slow(words[i]) for i in np.flatnonzero(~quick).tolist()}
+        if not rest:
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        for i, own in rest.items():
+            sizes[i] = len(own)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(starts[-1], self.dtype)
+        is_quick = np.repeat(quick, sizes)
+        out[is_quick] = ids
+        out[~is_quick] = np.concatenate(list(rest.values()))
+        return out, starts
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        split = [t.split() if not any(c in t for c in _CONTROL) else _WORD.findall(t) for t in texts]
-        memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
-        if new:
-            found = self._learn(new)
-            size = sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
-            if self.held + size > self.most:
-                memo = {w: memo[w] for words in split for w in words if w in memo} | found
-                self.memo, self.held = ({}, 0) if size > self.most else (found, size)
-            else:
-                memo.update(found)
-                self.held += size
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), self.dtype) for words in split]
+        odd = np.array([any(c in t for c in _CONTROL) for t in texts], bool)
+        lists = [pc.utf8_split_whitespace(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string())),
+                 pa.array([_WORD.findall(t) for t, o in zip(texts, odd, strict=True) if o], pa.list_(pa.string()))]
+        words, which, begins = distinct(lists)
+        flat, ends = runs(*self._words(words), which)
+        found = iter(np.split(flat, ends[begins[1:-1]])) if len(texts) else iter(())
+        out: list = [None] * len(texts)
+        for i in [*np.flatnonzero(~odd).tolist(), *np.flatnonzero(odd).tolist()]:
+            out[i] = next(found)
+        return out
 
 
 def _quick_merges(path: str, dtype: np.dtype):
@@ -155,10 +156,9 @@ def _quick_merges(path: str, dtype: np.dtype):
     return tiktoken.Encoding("words", pat_str=f"[^{_MARK}{_BREAK}]+{_MARK}|{_BREAK}", mergeable_ranks=ranks, special_tokens={}), of_rank
 
 
-@functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One copy for each Python worker."""
-    return WordEncoder(path)
+    return of_worker(("words", path), lambda: WordEncoder(path))
 
 
 # --------------------------------------------------------------------------- the structure
@@ -288,7 +288,7 @@ def _shard_rows(tokenizer: str, end_id: int, shard_tokens: int):
             raise ValueError(f"end id {end_id} does not fit {enc.bits} bits")
         end = np.array([end_id], enc.dtype)
         part, shard, doc_ids, ids, held = None, 0, [], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=ENCODE_BYTES):
             part = batch.column("part")[0].as_py()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), enc.encode(texts), strict=True):

@@ -1,5 +1,5 @@
 """Distance operators: nearest group (C4/I17, S9), Gower k-NN (C6, S8), k-distance (E3),
-and the neighbour fill inside clusters (I9).
+and the neighbour fill inside clusters (I9). The k-NN joins themselves are in ``operators/knn.py``.
 
 Nearest group never compares a record with the members of a group one by one.
 The mean Gower distance from a record to a group splits by column:
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfill.operators import knn
 from sparkfill.session import broadcast_checked
 
 N_BUCKETS = 64
@@ -142,85 +143,27 @@ def impute_nearest_code(df: DataFrame, key: str, block: str, code: str, numeric:
               .withColumn(code, F.coalesce(F.col(code), F.col("best_code").cast(t))).drop("best_code"))
 
 
-# --------------------------------------------------------------------------- blocks of queries and candidates
-
-#: Queries, candidates, donors and rows to fill that meet in one task.
-KNN_BLOCK = 2048
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows (cl, id, is_cand, ...) dealt into blocks ``db`` x ``rb`` of about ``KNN_BLOCK`` candidates and
-    queries, so that any query and any candidate of one ``cl`` meet in exactly one block."""
-    sizes = rows.groupBy("cl").agg(F.ceil(F.count_if("is_cand") / KNN_BLOCK).cast("int").alias("nd"),
-                                   F.ceil(F.count_if(~F.col("is_cand")) / KNN_BLOCK).cast("int").alias("nr"))
-    rows = rows.join(broadcast_checked(sizes.where("nd > 0 and nr > 0")), "cl")
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("is_cand"), F.col("nd")).otherwise(F.col("nr"))).cast("int")
-    others = F.when(F.col("is_cand"), F.col("nr")).otherwise(F.col("nd"))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).drop("nd", "nr")
-    return (rows.withColumn("db", F.when(F.col("is_cand"), F.col("own")).otherwise(F.col("other")))
-                .withColumn("rb", F.when(F.col("is_cand"), F.col("other")).otherwise(F.col("own"))).drop("own", "other"))
-
-
-def _least(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k least finite values of each row; equal values by column."""
-    n = min(k, values.shape[1])
-    r, c = np.nonzero((values <= np.partition(values, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(values))
-    order = np.lexsort((c, values[r, c], r))
-    r, c = r[order], c[order]
-    first = np.searchsorted(r, r)  # where the row begins
-    best = np.arange(len(r)) - first < k
-    return r[best], c[best]
-
-
 # --------------------------------------------------------------------------- Gower k-NN
 
-def _extremes_in_block(feats: Sequence[str], num: Sequence[str], k: int):
-    """The k nearest and k farthest candidates of a block for each query of it."""
-    def extremes(rows: pd.DataFrame) -> pd.DataFrame:
-        cand, rec = rows[rows["is_cand"]].sort_values("id"), rows[~rows["is_cand"]]
-        if not len(cand) or not len(rec):
-            return pd.DataFrame({c: rows[c].iloc[:0] for c in ("id", "cand", "value")} | {"far": np.zeros(0, bool), "d": np.zeros(0)})
-        c_null, q_null = cand["nulls"].to_numpy(), rec["nulls"].to_numpy()
-        full = (1 << len(feats)) - 1
-        complete = (c_null[None, :] & (full ^ q_null)[:, None]) == 0
-        total, used = np.zeros(complete.shape), np.zeros(len(rec))
-        for i, f in enumerate(feats):
-            present = (q_null >> i) & 1 == 0
-            if f in num:
-                x = rec[f].to_numpy(float)
-                r = np.fmax(rec["mx_" + f].to_numpy(float), x) - np.fmin(rec["mn_" + f].to_numpy(float), x)
-                some = present & (r > 0)
-                term = np.abs(cand[f].to_numpy(float)[None, :] - x[:, None]) / np.where(some, r, 1.0)[:, None]
-                total += np.where(some[:, None] & complete, term, 0.0)
-            else:
-                codes = pd.factorize(pd.concat([rec[f], cand[f]]))[0]
-                total += (codes[: len(rec), None] != codes[None, len(rec) :]) & present[:, None]
-            used += present
-        dist = total / np.maximum(used, 1)[:, None]
-        out = []
-        for far in (False, True):
-            d = np.where(complete, -dist if far else dist, np.inf)
-            r, c = _least(d, k)
-            out.append(pd.DataFrame({"id": rec["id"].to_numpy()[r], "cand": cand["id"].to_numpy()[c],
-                                     "value": cand["value"].to_numpy()[c], "far": far, "d": d[r, c]}))
-        return pd.concat(out)
-
-    return extremes
+#: Rows that meet in one task of the k-NN fill.
+KNN_BLOCK = 2048
+#: Candidates of a block, and of a cell of like records, about.
+RECORD_BLOCK, RECORD_CELL = 512, 128
 
 
-def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric: Sequence[str],
-              categorical: Sequence[str], k: int = 10, scope_cols: Sequence[str] | None = None,
-              same: str | None = None, exclude: Sequence[str] = ()) -> DataFrame:
-    """Per query record: sum of ``target`` over its k nearest and k farthest candidates.
+def gower_neighbours(df: DataFrame, queries: DataFrame, key: str, target: str, numeric: Sequence[str],
+                     categorical: Sequence[str], k: int = 10, scope_cols: Sequence[str] | None = None,
+                     same: str | None = None, exclude: Sequence[str] = (), far: bool = False, counts: dict | None = None) -> DataFrame:
+    """Per query record its k nearest (or, with ``far``, k farthest) candidates: ``key, cand, value, dist, rn``.
 
     Scope columns = columns (of ``scope_cols`` or all features) where the query record is
     non-null, minus ``exclude``; candidates = rows complete on the scope with a target.
     Range per column is taken over candidates and the record. ``same`` restricts candidates
     to the record's own value of that column (e.g. its cluster). Ties go to the lowest key.
 
-    Exact for any number of queries and candidates: both are dealt into blocks of about
-    ``KNN_BLOCK``, any two that may meet do so in one task, and each task returns its k nearest
-    and k farthest for every query. Queries without a candidate have no row."""
+    Exact for any number of queries and candidates (``operators/knn.py``): near ones are sought among blocks
+    of like categories, far ones among blocks of like numbers; blocks out of reach by their columns'
+    ranges are left out. Queries without a candidate have no row."""
     feats = [c for c in (scope_cols or list(numeric) + list(categorical)) if c not in exclude and c != target]
     num = [c for c in feats if c in numeric]
     # bit i: feats[i] is null
@@ -228,9 +171,10 @@ def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric:
     cl = F.col(same).cast("string") if same else F.lit("")
     typed = [F.col(c).cast("double" if c in num else "string").alias(c) for c in feats]
     t = dict(df.dtypes)
+    value_type = t[target] if t[target] in knn._ARROW else "double"
     q = queries.select(cl.alias("cl"), F.col(key).cast(t[key]).alias("id"), nulls.alias("nulls"), *typed).where(F.col("cl").isNotNull())
-    cand = df.where(F.col(target).isNotNull()).select(cl.alias("cl"), F.col(key).alias("id"), nulls.alias("nulls"), F.col(target).alias("value"), *typed) \
-        .where(F.col("cl").isNotNull())
+    cand = df.where(F.col(target).isNotNull()).select(cl.alias("cl"), F.col(key).alias("id"), nulls.alias("nulls"),
+                                                      F.col(target).cast(value_type).alias("value"), *typed).where(F.col("cl").isNotNull())
     # ranges per null pattern of the queries (and value of ``same``): few distinct keys, each over its candidates
     if num:
         pats = broadcast_checked(q.select(F.col("cl").alias("p_cl"), F.col("nulls").alias("p_nulls")).distinct())
@@ -239,16 +183,25 @@ def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric:
         rng = cand.join(pats, ok).groupBy(F.col("p_cl").alias("cl"), F.col("p_nulls").alias("nulls")).agg(
             *[F.min(c).alias("mn_" + c) for c in num], *[F.max(c).alias("mx_" + c) for c in num])
         q = q.join(broadcast_checked(rng), ["cl", "nulls"])  # a pattern without candidates has no range
-    rows = q.withColumn("is_cand", F.lit(False)).unionByName(cand.withColumn("is_cand", F.lit(True)), allowMissingColumns=True)
-    rows = rows.withColumn("value", F.coalesce("value", F.lit(0).cast(t[target])))  # of queries; pandas keeps its type
-    best = _dealt(rows).groupBy("cl", "db", "rb").applyInPandas(
-        _extremes_in_block(feats, num, k), f"id {t[key]}, cand {t[key]}, value {t[target]}, far boolean, d double")
-    # "<= k" lets Spark keep only k rows per query in each map task before the shuffle
-    w = Window.partitionBy("id", "far").orderBy("d", "cand")
-    top = best.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    near, far = F.when(~F.col("far"), F.col("value")), F.when(F.col("far"), F.col("value"))
-    return top.groupBy(F.col("id").alias(key)).agg(F.sum(near).alias("sum_near"), F.count(near).alias("n_near"),
-                                                   F.sum(far).alias("sum_far"), F.count(far).alias("n_far"))
+        cand = cand.withColumns({f"{e}_{c}": F.lit(None).cast("double") for c in num for e in ("mn", "mx")})
+    cat = [c for c in feats if c not in num]
+    like = [] if far and num else cat
+    size = cand.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct("cl", "nulls", *like)).alias("cells")).first()
+    cuts = knn.bin_cuts(cand, num, size.n / RECORD_CELL / max(size.cells, 1))
+    space = knn.gower(feats, num, far)
+    found = knn.knn_join(knn.record_cells(q, cuts, like), knn.record_cells(cand, cuts, like), space, k, t[key], value_type, RECORD_BLOCK, counts)
+    dist = F.when(F.col("v") == 0, F.lit(0.0)).otherwise(-F.col("v")) if far else F.col("v")
+    return found.select(F.col("id").alias(key), "cand", "value", dist.alias("dist"), "rn")
+
+
+def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric: Sequence[str],
+              categorical: Sequence[str], k: int = 10, **options) -> DataFrame:
+    """Per query record: sum of ``target`` over its k nearest and k farthest candidates (:func:`gower_neighbours`)."""
+    near, far = (gower_neighbours(df, queries, key, target, numeric, categorical, k, far=f, **options) for f in (False, True))
+    both = near.withColumn("far", F.lit(False)).unionByName(far.withColumn("far", F.lit(True)))
+    value = {f: F.when(F.col("far") == f, F.col("value")) for f in (False, True)}
+    return both.groupBy(key).agg(F.sum(value[False]).alias("sum_near"), F.count(value[False]).alias("n_near"),
+                                 F.sum(value[True]).alias("sum_far"), F.count(value[True]).alias("n_far"))
 
 
 # --------------------------------------------------------------------------- k-NN fill inside clusters
@@ -313,39 +266,14 @@ def knn_fill(df: DataFrame, key: str, cluster: str | None, target: str, features
 
 # --------------------------------------------------------------------------- k-distance
 
-def _nearest_vectors(k: int):
-    """The k nearest other vectors of a block for each query of it; lengths must agree."""
-    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, rows in rows.groupby(rows["vec"].map(len)):
-            cand, rec = rows[rows["is_cand"]].sort_values("id"), rows[~rows["is_cand"]]
-            if not len(cand) or not len(rec):
-                continue
-            ids, others = rec["id"].to_numpy(), cand["id"].to_numpy()
-            sq = np.zeros((len(rec), len(cand)))
-            for x, y in zip(np.stack(rec["vec"]).astype(float).T, np.stack(cand["vec"]).astype(float).T, strict=True):
-                gap = x[:, None] - y[None, :]
-                sq += np.multiply(gap, gap, out=gap)
-            d = np.where((ids[:, None] == others[None, :]) | np.isnan(sq), np.inf, np.sqrt(sq))
-            r, c = _least(d, k)
-            out.append(pd.DataFrame({"id": ids[r], "cand": others[c], "dist": d[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": rows["id"].iloc[:0], "cand": rows["id"].iloc[:0], "dist": np.zeros(0)})
-
-    return nearest
-
-
-def k_distance(df: DataFrame, key: str, vec: str, k: int, block: str, queries: DataFrame | None = None) -> DataFrame:
+def k_distance(df: DataFrame, key: str, vec: str, k: int, block: str, queries: DataFrame | None = None, counts: dict | None = None) -> DataFrame:
     """Euclidean distance from each row (or each of ``queries``) to its k-th nearest other row of the same block.
 
-    Exact for blocks of any size, by tasks of ``KNN_BLOCK`` by ``KNN_BLOCK`` vectors. Null vectors, vectors
-    with a null and vectors of another length have no distance; a row with fewer than k others has no result."""
-    cols = [F.col(block).alias("cl"), F.col(key).alias("id"), F.col(vec).alias("vec")]
-    rows = (queries if queries is not None else df).select(*cols, F.lit(False).alias("is_cand")) \
-        .unionByName(df.select(*cols, F.lit(True).alias("is_cand")))
-    rows = rows.where(F.col("cl").isNotNull() & F.col("vec").isNotNull())
+    Exact for blocks of any size (``operators/knn.py``). Null vectors, vectors with a null or non-finite
+    component and vectors of another length have no distance; a row with fewer than k others has no result."""
     t = dict(df.dtypes)[key]
-    near = _dealt(rows).groupBy("cl", "db", "rb").applyInPandas(_nearest_vectors(k), f"id {t}, cand {t}, dist double")
-    w = Window.partitionBy("id").orderBy("dist", "cand")
-    # "<= k" lets Spark keep only k rows per query in each map task before the shuffle
-    top = near.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    return top.where(F.col("__rn") == k).select(F.col("id").alias(key), F.col("dist").alias("k_dist"))
+    cols = [F.col(block).cast("string").alias("cl"), F.col(key).alias("id"), F.col(vec).alias("vec")]
+    q, c = ((side if side is not None else df).select(*cols).where(F.col("cl").isNotNull()) for side in (queries, df))
+    q, c = knn.vectors_with_pivots(q, c.withColumn("value", F.lit(0.0)))
+    near = knn.knn_join(q, c, knn.euclidean(), k, t, counts=counts)
+    return near.where(F.col("rn") == k).select(F.col("id").alias(key), F.col("v").alias("k_dist"))

@@ -38,7 +38,8 @@ def answer_format() -> str:
 
 
 def imputation_turns(target: str, record: Template, dictionary: str, selected: Sequence[str]) -> list:
-    """The seven-question imputation dialogue (K4); needs columns insights, sum_near, sum_far."""
+    """The seven-question imputation dialogue (K4); needs columns insights, sum_near, sum_far and
+    neighbours (the nearest records as text, one a line)."""
     return [
         ("user", Template(lit(f"We need a value for the missing field {target} of one record. Work from the "
                               "statistics and the neighbouring records given below, and reason step by step."))),
@@ -53,7 +54,8 @@ def imputation_turns(target: str, record: Template, dictionary: str, selected: S
                           raw("insights", "insights"))),
         ("assistant", Template(lit("Which records are closest to this one?"))),
         ("user", Template(lit(f"Over the 10 nearest records {target} sums to "), num("sum_near"),
-                          lit("; over the 10 farthest it sums to "), num("sum_far"), lit("."))),
+                          lit("; over the 10 farthest it sums to "), num("sum_far"),
+                          lit(". The nearest, closest first:\n"), raw("neighbours", "neighbours"))),
         ("assistant", Template(lit("Is there guidance for the final decision?"))),
         ("user", Template(lit("Look at the record's values, relate them to the statistics, compare the neighbours, "
                               "and keep the argument short. " + answer_format()))),

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkfill.functions.hashing import sql_order_key
 from sparkfill.functions.scalars import round_doubles
-from sparkfill.operators import distance, sampling
+from sparkfill.operators import distance
 from sparkfill.plans.catalog import query
 from sparkfill.plans.records import missing_view, records, with_rec
 from sparkfill.session import read_table
@@ -62,36 +61,36 @@ def q_impute_nearest_code(spark, sf):
 
 KNN_NUM = ["acct", "n_items", "qty", "price", "site"]
 KNN_CAT = ["district", "seg", "prio", "flag"]
-N_QUERIES = 60
 
 
-def knn_sql_ctes(target, feats, numeric, n_queries=N_QUERIES, seed="knnq", same=None, name="pairs", qname="q",
-                 query_where=None):
-    """DuckDB brute force of the Gower k-NN query (same arithmetic order as the Spark operator)."""
+def knn_sql_ctes(target, feats, numeric, same=None, name="pairs", query_where=None, k=10):
+    """DuckDB brute force of the Gower k-NN queries (same arithmetic order as the Spark operator): every
+    record without the target against all candidates. ``{name}`` has the sums, ``{name}_near`` the nearest ones."""
     total = "0.0"
     for c in feats:
         if c in numeric:
-            r = f"(greatest(max(c.{c}) OVER w, q.{c}) - least(min(c.{c}) OVER w, q.{c}))"
+            r = f"(greatest(g.mx_{c}, q.{c}) - least(g.mn_{c}, q.{c}))"
             t = f"CASE WHEN {r} > 0 THEN abs(c.{c} - q.{c}) / {r} ELSE 0.0 END"
         else:
             t = f"CASE WHEN c.{c} = q.{c} THEN 0.0 ELSE 1.0 END"
         total = f"({total} + CASE WHEN q.{c} IS NOT NULL THEN {t} ELSE 0.0 END)"
     used = " + ".join(f"(q.{c} IS NOT NULL)::int" for c in feats)
-    cond = " AND ".join(f"(q.{c} IS NULL OR c.{c} IS NOT NULL)" for c in feats)
-    if same:
-        cond += f" AND c.{same} = q.{same}"
-    qw = query_where or f"{target} IS NULL"
+    mask = " || ".join(f"CASE WHEN {{0}}.{c} IS NULL THEN '_' ELSE '1' END" for c in feats)
+    cond = " AND ".join(f"(substr(g.m, {i + 1}, 1) = '_' OR c.{c} IS NOT NULL)" for i, c in enumerate(feats))
+    own, of_own = (f", {same} AS cl", f" AND c.{same} = g.cl") if same else (", 0 AS cl", "")
+    nums = [c for c in feats if c in numeric]
+    ranges = ", ".join(f"min(c.{c}) AS mn_{c}, max(c.{c}) AS mx_{c}" for c in nums) or "0 AS none"
     return [
-        f"""{qname} AS (SELECT * FROM rec WHERE {qw}
-  QUALIFY row_number() OVER (ORDER BY {sql_order_key(seed, 'row_id')}, row_id) <= {n_queries})""",
+        f"{name}_q AS (SELECT *, {mask.format('rec')} AS m{own} FROM rec WHERE {query_where or f'{target} IS NULL'})",
+        f"""{name}_g AS (SELECT g.m, g.cl, {ranges} FROM (SELECT DISTINCT m, cl FROM {name}_q) g
+    JOIN rec c ON c.{target} IS NOT NULL AND {cond}{of_own} GROUP BY g.m, g.cl)""",
         f"""{name}_d AS (SELECT q.row_id AS query, c.row_id AS cand, c.{target} AS tv,
     CASE WHEN ({used}) > 0 THEN {total} / ({used}) ELSE 0.0 END AS dist
-    FROM {qname} q JOIN rec c ON c.{target} IS NOT NULL AND {cond} WINDOW w AS (PARTITION BY q.row_id))""",
-        f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, cand) AS rn_near,
-    row_number() OVER (PARTITION BY query ORDER BY dist DESC, cand) AS rn_far FROM {name}_d)""",
-        f"""{name} AS (SELECT n.query AS row_id, sum_near, n_near, sum_far, n_far FROM
-  (SELECT query, sum(tv) AS sum_near, count(*) AS n_near FROM {name}_r WHERE rn_near <= 10 GROUP BY query) n JOIN
-  (SELECT query, sum(tv) AS sum_far, count(*) AS n_far FROM {name}_r WHERE rn_far <= 10 GROUP BY query) f USING (query))""",
+    FROM {name}_q q JOIN {name}_g g ON g.m = q.m AND g.cl = q.cl JOIN rec c ON c.{target} IS NOT NULL AND {cond}{of_own})""",
+        f"""{name}_k AS (SELECT query AS row_id, arg_min({{'cand': cand, 'tv': tv, 'dist': dist}}, (dist, cand), {k}) AS near,
+    arg_min(tv, (-dist, cand), {k}) AS far FROM {name}_d GROUP BY query)""",
+        f"""{name} AS (SELECT row_id, list_sum(list_transform(near, lambda x: x.tv)) AS sum_near, len(near)::BIGINT AS n_near,
+    list_sum(far) AS sum_far, len(far)::BIGINT AS n_far, near FROM {name}_k)""",
     ]
 
 
@@ -102,34 +101,17 @@ def _knn_sql():
 
 @query("gower_knn_join", _knn_sql())
 def q_gower_knn_join(spark, sf):
-    obs = missing_view(records(spark, sf))
-    q = sampling.sample_exact_n(obs.where(F.col("weight").isNull()), N_QUERIES, "knnq")
-    out = distance.gower_knn(obs, q, "row_id", "weight", KNN_NUM, KNN_CAT, k=10)
-    return round_doubles(out)
-
-
-@query("gower_knn_all")
-def q_gower_knn_all(spark, sf):
-    """Every record without a weight; ``gower_knn_join`` takes N_QUERIES of them, as its SQL does."""
+    """Every record without a weight against all that have one."""
     obs = missing_view(records(spark, sf))
     return round_doubles(distance.gower_knn(obs, obs.where(F.col("weight").isNull()), "row_id", "weight", KNN_NUM, KNN_CAT, k=10))
 
 
-@query("k_distance", f"""WITH q AS (SELECT * FROM embeddings
-  QUALIFY row_number() OVER (ORDER BY {sql_order_key('kdq', 'vec_id')}, vec_id) <= 100),
-p AS (SELECT q.vec_id AS q, c.vec_id AS c, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1),
+@query("k_distance", """WITH p AS (SELECT q.vec_id AS q, c.vec_id AS c, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1),
         lambda i: (q.embedding[i]::double - c.embedding[i]::double) * (q.embedding[i]::double - c.embedding[i]::double)))) AS dist
-  FROM q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id)
+  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id)
 SELECT q AS vec_id, round(dist, 6) AS k_dist FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, c) = 5""")
 def q_k_distance(spark, sf):
-    emb = read_table(spark, sf, "embeddings")
-    q = sampling.sample_exact_n(emb, 100, "kdq", key="vec_id")
-    return round_doubles(distance.k_distance(emb, "vec_id", "embedding", 5, "label", queries=q))
-
-
-@query("k_distance_all")
-def q_k_distance_all(spark, sf):
-    """Every vector; ``k_distance`` takes 100 of them, as its SQL does."""
+    """Every vector against all of its label."""
     return round_doubles(distance.k_distance(read_table(spark, sf, "embeddings"), "vec_id", "embedding", 5, "label"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -147,7 +148,6 @@ def q_record_insights(spark, sf):
 
 # ---------------------------------------------------------------- shared pieces for prompts
 
-N_PROMPTS = 40
 FEATS_FULL = ["district", "seg", "prio", "acct", "n_items", "qty", "price", "site", "weight"]
 FEATS_SEL = ["seg", "qty", "price", "weight"]
 NUM = ["acct", "n_items", "qty", "price", "site", "weight"]
@@ -156,41 +156,61 @@ DICTIONARY = "; ".join(f"{c}: {ROLES.descriptions[c]}" for c in REC_COLS + ["fla
 RECORD = record_text(REC_COLS, set(NUM))
 
 
-def _prompt_sample(obs):
-    """N_PROMPTS of the records without a flag, as the SQL has it; the ``_all`` queries take ``_without_flag``."""
-    return sampling.sample_exact_n(_without_flag(obs), N_PROMPTS, "prompt")
+NEIGHBOUR = record_text(FEATS_SEL + ["flag"], set(NUM))
+_KEPT: dict = {}
+
+
+def _kept(spark, sf, name, build):
+    """A table that several queries share: written once per session and input folder into the shared folder."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    if key not in _KEPT:
+        path = shared_path(spark, name)
+        build().write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
 
 
 def _without_flag(obs):
     return obs.where(F.col("flag").isNull())
 
 
-def _neighbours(obs, q, feats, same=None):
-    return distance.gower_knn(obs, q, "row_id", "flag", NUM, ["district", "seg", "prio"], k=10,
-                              scope_cols=feats, same=same)
+def _neighbours(obs, feats, same=None, far=False):
+    return distance.gower_neighbours(obs, _without_flag(obs), "row_id", "flag", NUM, ["district", "seg", "prio"], k=10,
+                                     scope_cols=feats, same=same, far=far)
 
 
-@query("imputation_prompt", with_rec(
-    f"""SELECT q.row_id, 13 AS n_turns, {prompt.dialogue_sql(prompt.imputation_turns('flag', RECORD, DICTIONARY, FEATS_SEL), 'q.')}
-      AS dialogue FROM (SELECT qs.*, ri_f.insights, nb.sum_near, nb.sum_far FROM qs LEFT JOIN ri_f USING (row_id)
-      LEFT JOIN nb USING (row_id)) q""",
-    *_k3_ctes("flag", "f"),
-    *knn_sql_ctes("flag", FEATS_SEL, NUM, N_PROMPTS, "prompt", name="nb", qname="qs")))
-def q_imputation_prompt(spark, sf):
-    return _imputation_prompts(spark, sf, _prompt_sample)
+def _neighbour_rows(near, obs):
+    """The nearest records themselves, one line each, nearest first."""
+    lines = near.select(F.col("row_id").alias("query"), "rn", F.col("cand").alias("row_id")).join(obs, "row_id")
+    lines = lines.select("query", F.struct("rn", NEIGHBOUR.spark().alias("line")).alias("l"))
+    lines = lines.groupBy(F.col("query").alias("row_id")).agg(F.array_sort(F.collect_list("l")).alias("l"))  # k of a record
+    return lines.select("row_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("neighbours"))
+
 
+def _sums(near, far):
+    both = near.select("row_id", F.col("value").alias("near"), F.lit(None).cast("int").alias("far")).unionByName(
+        far.select("row_id", F.lit(None).cast("int").alias("near"), F.col("value").alias("far")))
+    return both.groupBy("row_id").agg(F.sum("near").alias("sum_near"), F.sum("far").alias("sum_far"))
 
-@query("imputation_prompt_all")
-def q_imputation_prompt_all(spark, sf):
-    return _imputation_prompts(spark, sf, _without_flag)
 
+_NEIGHBOUR_SQL = f"""nr AS (SELECT query AS row_id, string_agg({NEIGHBOUR.sql('r.')}, chr(10) ORDER BY rn) AS neighbours
+  FROM (SELECT row_id AS query, unnest(near).cand AS cand, unnest(range(1, len(near) + 1)) AS rn FROM nb) n
+  JOIN rec r ON r.row_id = n.cand GROUP BY query)"""
 
-def _imputation_prompts(spark, sf, pick):
+
+@query("imputation_prompt", with_rec(
+    f"""SELECT q.row_id, 13 AS n_turns, {prompt.dialogue_sql(prompt.imputation_turns('flag', RECORD, DICTIONARY, FEATS_SEL), 'q.')}
+      AS dialogue FROM (SELECT r.*, ri_f.insights, nb.sum_near, nb.sum_far, nr.neighbours FROM rec r LEFT JOIN ri_f USING (row_id)
+      LEFT JOIN nb USING (row_id) LEFT JOIN nr USING (row_id) WHERE r.flag IS NULL) q""",
+    *_k3_ctes("flag", "f"), *knn_sql_ctes("flag", FEATS_SEL, NUM, name="nb"), _NEIGHBOUR_SQL))
+def q_imputation_prompt(spark, sf):
+    """The dialogue of every record without a flag."""
     obs = _obs(spark, sf)
-    q = pick(obs)
+    q = _without_flag(obs)
+    near = _kept(spark, sf, "near-selected", lambda: _neighbours(obs, FEATS_SEL))
+    far = _kept(spark, sf, "far-selected", lambda: _neighbours(obs, FEATS_SEL, far=True))
     ins = insight.record_insights(_data(obs), q, "row_id", "flag", K3_VARS, CONT)
-    nb = _neighbours(obs, q, FEATS_SEL)
-    d = q.join(ins, "row_id", "left").join(nb, "row_id", "left")
+    d = q.join(ins, "row_id", "left").join(_sums(near, far), "row_id", "left").join(_neighbour_rows(near, obs), "row_id", "left")
     msgs = prompt.messages(prompt.imputation_turns("flag", RECORD, DICTIONARY, FEATS_SEL))
     return d.select("row_id", F.size(msgs).alias("n_turns"), prompt.dialogue_text(msgs).alias("dialogue"))
 
@@ -232,11 +252,9 @@ RULES = ["price < 150000", "weight < 3000", "qty < 100"]
 
 
 def _scope_ctes():
-    out = []
-    out += knn_sql_ctes("flag", FEATS_FULL, NUM, N_PROMPTS, "prompt", name="nf", qname="qs")
-    out += knn_sql_ctes("flag", FEATS_SEL, NUM, N_PROMPTS, "prompt", name="ns", qname="qs2")
-    out += knn_sql_ctes("flag", FEATS_FULL, NUM, N_PROMPTS, "prompt", same="district", name="nc", qname="qs3")
-    return out
+    out = knn_sql_ctes("flag", FEATS_FULL, NUM, name="nf")
+    out += knn_sql_ctes("flag", FEATS_SEL, NUM, name="ns")
+    return out + knn_sql_ctes("flag", FEATS_FULL, NUM, same="district", name="nc")
 
 
 _IND_SQL = f"""(SELECT qs.*, nf.sum_near AS near_full, nf.sum_far AS far_full, ns.sum_near AS near_selected,
@@ -244,18 +262,25 @@ _IND_SQL = f"""(SELECT qs.*, nf.sum_near AS near_full, nf.sum_far AS far_full, n
    coalesce((price < 150000)::int, 0) + coalesce((weight < 3000)::int, 0) + coalesce((qty < 100)::int, 0)
    + coalesce(((nf.sum_near > nf.sum_far)::int + (ns.sum_near > ns.sum_far)::int + (nc.sum_near > nc.sum_far)::int >= 2)::int, 0)
      AS n_indicators
-   FROM qs LEFT JOIN nf USING (row_id) LEFT JOIN ns USING (row_id) LEFT JOIN nc USING (row_id))"""
-
-
-def _indicators(obs, pick=_prompt_sample):
-    q = pick(obs)
-    full = _neighbours(obs, q, FEATS_FULL).select("row_id", F.col("sum_near").alias("near_full"),
-                                                  F.col("sum_far").alias("far_full"))
-    sel = _neighbours(obs, q, FEATS_SEL).select("row_id", F.col("sum_near").alias("near_selected"),
-                                                F.col("sum_far").alias("far_selected"))
-    clu = _neighbours(obs, q, FEATS_FULL, same="district").select(
-        "row_id", F.col("sum_near").alias("near_cluster"), F.col("sum_far").alias("far_cluster"))
-    d = q.join(full, "row_id", "left").join(sel, "row_id", "left").join(clu, "row_id", "left")
+   FROM rec qs LEFT JOIN nf USING (row_id) LEFT JOIN ns USING (row_id) LEFT JOIN nc USING (row_id) WHERE qs.flag IS NULL)"""
+
+
+def _scopes(obs, near_selected, far_selected):
+    """Sums over the neighbours of each scope, for every record without a flag."""
+    out = _without_flag(obs).select("row_id")
+    for name, near, far in (
+            ("full", _neighbours(obs, FEATS_FULL), _neighbours(obs, FEATS_FULL, far=True)),
+            ("selected", near_selected, far_selected),
+            ("cluster", _neighbours(obs, FEATS_FULL, "district"), _neighbours(obs, FEATS_FULL, "district", far=True))):
+        out = out.join(_sums(near, far).withColumnsRenamed({"sum_near": f"near_{name}", "sum_far": f"far_{name}"}), "row_id", "left")
+    return out
+
+
+def _indicators(spark, sf):
+    obs = _obs(spark, sf)
+    near = _kept(spark, sf, "near-selected", lambda: _neighbours(obs, FEATS_SEL))
+    far = _kept(spark, sf, "far-selected", lambda: _neighbours(obs, FEATS_SEL, far=True))
+    d = _without_flag(obs).join(_kept(spark, sf, "scopes", lambda: _scopes(obs, near, far)), "row_id")
     scopes = sum(((F.col(f"near_{s}") > F.col(f"far_{s}")).cast("int") for s in ("full", "selected", "cluster")),
                  F.lit(0))
     n, decision = insight.indicator_rule([F.col("price") < 150000, F.col("weight") < 3000, F.col("qty") < 100,
@@ -266,33 +291,26 @@ def _indicators(obs, pick=_prompt_sample):
 @query("indicator_rule", with_rec(f"""SELECT row_id, n_indicators, (n_indicators >= 2)::int AS decision FROM {_IND_SQL} x""",
                                   *_scope_ctes()))
 def q_indicator_rule(spark, sf):
-    return _indicators(_obs(spark, sf)).select("row_id", "n_indicators", "decision")
+    """Every record without a flag."""
+    return _indicators(spark, sf).select("row_id", "n_indicators", "decision")
 
 
-@query("indicator_rule_all")
-def q_indicator_rule_all(spark, sf):
-    return _indicators(_obs(spark, sf), _without_flag).select("row_id", "n_indicators", "decision")
+_DISPUTED_SQL = f"(SELECT i.*, vt.votes, vt.majority, vt.minority FROM {_IND_SQL} i JOIN vt USING (row_id) WHERE vt.minority IS NOT NULL)"
 
 
 @query("correction_prompt", with_rec(
     f"""SELECT x.row_id, 9 AS n_turns, {prompt.dialogue_sql(prompt.correction_turns('flag', RECORD, DICTIONARY, RULES), 'x.')}
-      AS dialogue FROM (SELECT i.*, vt.majority, vt.minority FROM {_IND_SQL} i JOIN vt USING (row_id)
-      WHERE vt.minority IS NOT NULL) x""", *_scope_ctes(), *_VOTE_CTES))
+      AS dialogue FROM {_DISPUTED_SQL} x""", *_scope_ctes(), *_VOTE_CTES))
 def q_correction_prompt(spark, sf):
-    return _correction_prompts(spark, sf, _prompt_sample)
-
-
-@query("correction_prompt_all")
-def q_correction_prompt_all(spark, sf):
-    return _correction_prompts(spark, sf, _without_flag)
+    """The dialogue of every record on whose flag the strategies are split."""
+    return _correction_prompts(spark, sf).select("row_id", "n_turns", "dialogue")
 
 
-def _correction_prompts(spark, sf, pick):
-    obs = _obs(spark, sf)
-    d = _indicators(obs, pick).join(_votes(obs).select("row_id", "majority", "minority"), "row_id") \
+def _correction_prompts(spark, sf):
+    d = _indicators(spark, sf).join(_votes(_obs(spark, sf)).select("row_id", "votes", "majority", "minority"), "row_id") \
         .where(F.col("minority").isNotNull())
     msgs = prompt.messages(prompt.correction_turns("flag", RECORD, DICTIONARY, RULES))
-    return d.select("row_id", F.size(msgs).alias("n_turns"), prompt.dialogue_text(msgs).alias("dialogue"))
+    return d.select("row_id", "votes", F.size(msgs).alias("n_turns"), prompt.dialogue_text(msgs).alias("dialogue"))
 
 
 # ---- rationale prompts and requests
@@ -371,29 +389,35 @@ def q_sink_jsonl(spark, sf):
 
 # ---- scoring hook with a rule scorer, stored pairs, parsed answers
 
+_RULE = re.compile(r"(\w+) < ([\d.]+)")
+_SCOPE = re.compile(r"nearest (None|[\d.]+), farthest (None|[\d.]+)\. ")
+
+
 def rule_scorer(pdf):
-    """Deterministic stand-in for a model: applies the indicator rule spelled out in the prompt."""
+    """Deterministic stand-in for a model: reads the record, the rules and the neighbour counts out of
+    the dialogue and follows what it says."""
     out = []
-    for n in pdf["n_indicators"]:
-        v = 1 if n >= 2 else 0
-        out.append(json.dumps({"suggested_value": str(v), "reasoning": f"{int(n)} of 4 indicators hold"}))
+    for dialogue in pdf["dialogue"]:
+        blocks = dialogue.split("\n\n")
+        record = dict(f.split(": ", 1) for f in blocks[2].removeprefix("user: ").split(", "))
+        n = sum(record[c] != "None" and float(record[c]) < float(v) for c, v in _RULE.findall(blocks[8]))
+        scopes = [(a, b) for a, b in _SCOPE.findall(blocks[8]) if "None" not in (a, b)]
+        n += sum(float(a) > float(b) for a, b in scopes) >= 2
+        out.append(json.dumps({"suggested_value": str(int(n >= 2)), "reasoning": f"{n} of 4 indicators hold"}))
     return out
 
 
-def _scored(spark, sf, pick=_prompt_sample):
-    rec = records(spark, sf)
-    obs = missing_view(rec)
-    ind = _indicators(obs, pick)
-    votes = _votes(obs).select("row_id", F.col("votes").alias("v"))
-    d = ind.join(rec.select("row_id", F.col("true_flag").alias("truth")), "row_id") \
-        .join(votes, "row_id").withColumn("combined", (F.col("v") >= 2).cast("int"))
-    return prompt.score_prompts(d, rule_scorer, ["n_indicators"], ["row_id", "truth", "combined"])
+def _scored(spark, sf):
+    """Every correction dialogue with its answer, the truth and the vote."""
+    truth = records(spark, sf).select("row_id", F.col("true_flag").alias("truth"))
+    d = _correction_prompts(spark, sf).withColumn("combined", (F.col("votes") >= 2).cast("int")).join(truth, "row_id")
+    return prompt.score_prompts(d, rule_scorer, ["dialogue"], ["row_id", "truth", "combined"])
 
 
 _SCORED_SQL = f"""(SELECT i.row_id, '{{"suggested_value": "' || CASE WHEN n_indicators >= 2 THEN '1' ELSE '0' END
    || '", "reasoning": "' || cast(n_indicators AS varchar) || ' of 4 indicators hold"}}' AS output,
-   rec.true_flag AS truth, (vt.votes >= 2)::int AS combined
-   FROM {_IND_SQL} i JOIN rec USING (row_id) JOIN vt USING (row_id))"""
+   rec.true_flag AS truth, (i.votes >= 2)::int AS combined
+   FROM {_DISPUTED_SQL} i JOIN rec USING (row_id))"""
 
 
 @query("score_prompts", with_rec(f"SELECT row_id, truth, combined, output FROM {_SCORED_SQL} s",
@@ -402,24 +426,10 @@ def q_score_prompts(spark, sf):
     return _scored(spark, sf)
 
 
-@query("score_prompts_all")
-def q_score_prompts_all(spark, sf):
-    return _scored(spark, sf, _without_flag)
-
-
 @query("sample_pairs_sink", with_rec(f"SELECT row_id, output, truth, combined FROM {_SCORED_SQL} s",
                                      *_scope_ctes(), *_VOTE_CTES))
 def q_sample_pairs_sink(spark, sf):
-    return _stored_pairs(spark, sf, _prompt_sample)
-
-
-@query("sample_pairs_sink_all")
-def q_sample_pairs_sink_all(spark, sf):
-    return _stored_pairs(spark, sf, _without_flag)
-
-
-def _stored_pairs(spark, sf, pick):
-    s = _scored(spark, sf, pick).select("row_id", "output", "truth", "combined")
+    s = _scored(spark, sf).select("row_id", "output", "truth", "combined")
     path = shared_path(spark, "answers")
     files.sink_table(s, path)
     return spark.read.parquet(path)
@@ -431,8 +441,3 @@ def _stored_pairs(spark, sf, pick):
   FROM {_SCORED_SQL} s""", *_scope_ctes(), *_VOTE_CTES))
 def q_parse_answers(spark, sf):
     return prompt.parse_answers(_scored(spark, sf)).select("row_id", "value", "reasoning", "valid")
-
-
-@query("parse_answers_all")
-def q_parse_answers_all(spark, sf):
-    return prompt.parse_answers(_scored(spark, sf, _without_flag)).select("row_id", "value", "reasoning", "valid")

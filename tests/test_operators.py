@@ -318,58 +318,26 @@ def test_mask_random_hides_a_share_of_the_known_values(spark):
     assert hidden.count() == 240 and masked.where("y is not null").count() == 160
 
 
-def test_gower_knn_all_answers_every_record(spark, duck):
+def test_prompts_of_every_record_without_a_flag(spark, duck):
     import __spark_entry__ as E
     from conftest import SF_SMALL
-    from sparkfill.plans.q_distance import KNN_CAT, KNN_NUM, knn_sql_ctes
     from sparkfill.plans.records import with_rec
-    every = with_rec("SELECT row_id, sum_near, n_near, sum_far, n_far FROM kn",
-                     *knn_sql_ctes("weight", KNN_CAT + KNN_NUM, KNN_NUM, n_queries=10**9, name="kn"))
-    want = {r[0]: r[1:] for r in duck.execute(every).fetchall()}
-    got = {r["row_id"]: tuple(r)[1:] for r in E.queries()["gower_knn_all"](spark, SF_SMALL)
-           .select("row_id", "sum_near", "n_near", "sum_far", "n_far").collect()}
-    assert len(want) > 60 and got.keys() == want.keys()
-    assert all(abs(a - b) < 1e-5 for i in want for a, b in zip(got[i], want[i], strict=True))
-
-
-def test_gower_knn_blocks_match_one_block(spark, monkeypatch):
-    rows = [(i, float(i * 7 % 50) if i % 9 else None, "abc"[i % 3] if i % 5 else None, f"g{i % 2}" if i % 31 else None,
-             i % 4 if i % 3 else None) for i in range(500)]
-    df = spark.createDataFrame(rows, "row_id bigint, x double, c string, g string, t int")
-    q = df.where("t is null")
-    whole = [sorted(map(tuple, distance.gower_knn(df, q, "row_id", "t", ["x"], ["c"], k=7, same=g).collect())) for g in (None, "g")]
-    assert [len(w) for w in whole] == [167, q.where("g is not null").count()]
-    monkeypatch.setattr(distance, "KNN_BLOCK", 30)
-    for g, w in zip((None, "g"), whole, strict=True):
-        assert sorted(map(tuple, distance.gower_knn(df, q, "row_id", "t", ["x"], ["c"], k=7, same=g).collect())) == w
-
-
-def test_k_distance_all_answers_every_vector(spark, monkeypatch):
-    import math
+    wanted = {r[0] for r in duck.execute(with_rec("SELECT row_id FROM rec WHERE flag IS NULL")).fetchall()}
+    got = {r.row_id: r.dialogue for r in E.queries()["imputation_prompt"](spark, SF_SMALL).collect()}
+    assert got.keys() == wanted and len(wanted) > 400
+    assert all(d.count("\nseg: ") == 10 for d in got.values())  # ten neighbours in each
 
-    import __spark_entry__ as E
-    from conftest import SF_SMALL
-    monkeypatch.setattr(distance, "KNN_BLOCK", 30)  # several blocks a label
-    rows = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
-    got = {r.vec_id: r.k_dist for r in E.queries()["k_distance_all"](spark, SF_SMALL).collect()}
-    assert len(got) == len(rows) > 100
-    for r in rows[::7]:
-        near = sorted(math.dist(r.embedding, o.embedding) for o in rows if o.label == r.label and o.vec_id != r.vec_id)
-        assert abs(got[r.vec_id] - near[4]) < 1e-5
 
+def test_scorer_reads_the_dialogue(spark):
+    import json
 
-@pytest.mark.parametrize("key", ["imputation_prompt", "indicator_rule", "correction_prompt", "score_prompts", "sample_pairs_sink", "parse_answers"])
-def test_prompts_of_every_record_without_a_flag(spark, duck, key):
+    import pandas as pd
     import __spark_entry__ as E
     from conftest import SF_SMALL
-    from sparkfill.plans.records import with_rec
-    # the SQL of the sample, asked for more records than there are
-    every = re.sub(r"<= 40\)", "<= 1000000000)", E.oracle_sql()[key])
-    assert every != E.oracle_sql()[key]
-    wanted = {r[0] for r in duck.execute(with_rec("SELECT row_id FROM rec WHERE flag IS NULL")).fetchall()}
-    out = E.queries()[key + "_all"](spark, SF_SMALL)
-    got = sorted(map(tuple, out.collect()), key=lambda r: r[out.columns.index("row_id")])
-    cur = duck.execute(f"SELECT {', '.join(out.columns)} FROM ({every}) ORDER BY row_id")
-    assert got == cur.fetchall()
-    ids = {r[out.columns.index("row_id")] for r in got}
-    assert len(ids) > 40 and (key == "correction_prompt" or ids == wanted)
+    from sparkfill.plans.q_insight import rule_scorer
+    one = E.queries()["correction_prompt"](spark, SF_SMALL).first().dialogue
+    few = re.sub(r"price: [\d.]+", "price: 1.00", re.sub(r"qty: [\d.]+", "qty: 1.00", one))
+    none = re.sub(r"(price|qty|weight): [\d.]+", r"\1: 999999999.00", one)
+    none = re.sub(r"nearest [\d.]+", "nearest 0.00", none)
+    answers = [json.loads(a)["suggested_value"] for a in rule_scorer(pd.DataFrame({"dialogue": [few, none]}))]
+    assert answers == ["1", "0"]

@@ -44,16 +44,16 @@ def pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_c
     """The pieces of every document: ``doc_id, piece, start, length, ids_crc32``."""
 
     def cut(batches):
-        enc, end = encoder(tokenizer), np.array([separator], "<u4").tobytes()
-        for batch in slices(batches):
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = enc.encode(text or "") + end
-                n = len(ids) // 4
+        enc, end = encoder(tokenizer), np.array([separator], "<u4")
+        for batch in slices(batches, most=8_000_000):
+            rows, found = [], enc.encode([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids = np.concatenate([ids, end])
+                n = len(ids)
                 first = n % capacity or capacity
                 for k, start in enumerate([0, *range(first, n, capacity)]):
                     stop = start + capacity if k else first
-                    rows.append((doc_id, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    rows.append((doc_id, k, start, stop - start, zlib.crc32(ids[start:stop])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
     return two_columns(docs, id_col, text_col).mapInArrow(cut, PIECES)

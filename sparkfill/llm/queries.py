@@ -25,8 +25,8 @@ def query(key: str, sql: str | None = None):
 
 @query("op1_token_counts")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.token_counts(read_table(spark, sf_dir, "documents"), budgets=(1024,))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_1024")
+    out = tokens.token_counts(read_table(spark, sf_dir, "documents"), budgets=(1024,), with_prefixes=True)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_1024", "prefix_counts")
 
 
 @query("op2_decontamination", """

@@ -13,95 +13,115 @@ Other columns of the input are neither read nor returned.
 
 from __future__ import annotations
 
-import functools
-from array import array
-from operator import sub
-
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfill.llm.bpe import _PIECE, _SPACE, Chunks, Memo, vocabulary
-from sparkfill.llm.text import slices, two_columns
-
-_NEVER = 1 << 30  # the rank of a pair that does not merge
+from sparkfill.llm.bpe import _PIECE, _SPACE, Vocabulary, batch_chunks
+from sparkfill.llm.text import of_worker, runs, slices, two_columns
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
+_BREAK = "\u0100"  # no byte
 
 
 class PrefixCounts:
-    """``deltas(text)``: by how much the token count changes with each character (16 bit)."""
+    """``deltas(texts)``: by how much the token count changes with each character of each text (16 bit).
+
+    The distinct chunks of a batch go through one automaton of all tokens, which tells at each place
+    the tokens that end there, the longest first; the first that stays apart from the token
+    before it is the last token of the prefix.
+    """
 
     def __init__(self, path: str):
-        self.vocab = vocabulary(path)
-        self.chunks = Chunks(self.vocab, self._chunk)
-        self._pieces = Memo(self._piece, 150_000)
-        self._apart = {}
-
-    def _merge(self, data: bytes) -> list[bytes]:
-        """The merges applied to one piece, lowest rank first."""
-        parts, rank = [data[i : i + 1] for i in range(len(data))], self.vocab.rank.get
-        while len(parts) > 1:
-            ranks = [rank(p, _NEVER) for p in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == _NEVER:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _stay_apart(self, pair: tuple[bytes, bytes]) -> bool:
+        self.vocab = vocab = Vocabulary(path)
+        self._automaton = ahocorasick.Automaton()
+        self._size = [0] * (max(vocab.ids.values()) + 1)
+        for token, i in vocab.ids.items():
+            self._automaton.add_word(token.decode("latin-1"), i)
+            self._size[i] = len(token)
+        self._automaton.make_automaton()
+        self._apart: dict[int, bool] = {}
+        self._bytes = {i: t for t, i in vocab.ids.items()}
+        self._rank = {i: r for r, i in enumerate(vocab.of_rank.tolist())}
+
+    def _stay_apart(self, before: int, token: int) -> bool:
+        """Whether the merges leave a pair of tokens as it is."""
         if len(self._apart) > 300_000:
             self._apart.clear()
-        known = self._apart[pair] = self._merge(pair[0] + pair[1]) == [*pair]
+        merged = self.vocab.quick._encode_single_piece(self._bytes[before] + self._bytes[token])
+        known = self._apart[before << 32 | token] = merged == [self._rank[before], self._rank[token]]
         return known
 
-    def _piece(self, piece: str) -> list[int]:
-        """Token counts of the prefixes of one piece, one for each character."""
-        data, ids, apart, longest = piece.encode(), self.vocab.ids, self._apart, self.vocab.longest
-        count, last = [0] * (len(data) + 1), [b""] * (len(data) + 1)
-        for i in range(1, len(data) + 1):
-            for start in range(i - longest if i > longest else 0, i):
-                token = data[start:i]
-                if token in ids:
-                    if start:
-                        pair = (last[start], token)
-                        if not (apart[pair] if pair in apart else self._stay_apart(pair)):
-                            continue
-                    count[i], last[i] = count[start] + 1, token
-                    break
-        if len(data) == len(piece):
-            return count[1:]
-        return [count[i + 1] for i in range(len(data)) if i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80]
-
-    def _chunk(self, chunk: str) -> bytes:
-        counts, base = [], 0
-        for piece in _PIECE.findall(chunk):
-            own = self._pieces[piece]
-            counts.extend(base + c for c in own)
-            base += own[-1]
-        blank = _SPACE.match(chunk).end()
-        if blank > 1:  # a prefix that ends in the white space has it as one piece
-            counts[:blank] = self._piece(chunk[:blank])
-        return array("h", map(sub, counts, [0, *counts])).tobytes()
-
-    def deltas(self, text: str) -> np.ndarray:
-        parts, out = self.chunks.segments(text), []
-        for i in range(0, len(parts), 2):
-            special = parts[i + 1] if i + 1 < len(parts) else ""
-            own = np.frombuffer(self.chunks.join(parts[i] + special[:-1]), "<i2")
-            out.append(own)
-            if special:  # until its last character it is ordinary text after what precedes it
-                before = own[: len(parts[i])].sum()
-                out.append(np.array([before + 1 - own.sum()], "<i2"))
-        return np.concatenate(out) if len(out) > 1 else out[0]
-
-
-@functools.lru_cache(maxsize=2)
+    def _counts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Change of the token count by each byte of the pieces, one after another, and where each piece begins."""
+        data = [p.encode() for p in pieces]
+        # a break is no part of any token, so nothing is found across it
+        joined = _BREAK.join([*(d.decode("latin-1") for d in data), ""])
+        count, last = [0] * (len(joined) + 1), [-1] * (len(joined) + 1)
+        size, apart = self._size, self._apart
+        for end, token in self._automaton.iter(joined):
+            end += 1
+            if last[end] >= 0:
+                continue
+            start = end - size[token]
+            before = last[start]
+            if before >= 0:
+                key = before << 32 | token
+                if not (apart[key] if key in apart else self._stay_apart(before, token)):
+                    continue
+            count[end], last[end] = count[start] + 1, token
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        deltas = np.diff(np.array(count, np.int32))
+        breaks = np.cumsum(sizes + 1) - 1
+        return np.delete(deltas, breaks), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Change of the count by each character of the chunks, one after another, and where each chunk begins."""
+        pieces = list(map(_PIECE.findall, chunks))
+        # a prefix that ends in the white space of a chunk has it as one piece
+        blanks = [_SPACE.match(c).group() for c in chunks]
+        long = [i for i, b in enumerate(blanks) if len(b) > 1]
+        by_byte, _ = self._counts([p for own in pieces for p in own] + [blanks[i] for i in long])
+        text = "".join(chunks) + "".join(blanks[i] for i in long)
+        data = np.frombuffer(text.encode(), np.uint8)
+        by_char = np.add.reduceat(by_byte, np.flatnonzero((data & 0xC0) != 0x80)) if len(data) else by_byte
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = starts[-1]
+        for i in long:
+            n, a = len(blanks[i]), starts[i]
+            own = by_char[at : at + n]
+            if n < sizes[i]:  # the character after it brings back what the pieces have
+                by_char[a + n] += by_char[a : a + n].sum() - own.sum()
+            by_char[a : a + n] = own
+            at += n
+        return by_char[: starts[-1]].astype(np.int16), starts
+
+    def deltas(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self.vocab.segments(t) for t in texts]
+        # until its last character, a special string is ordinary text after what precedes it
+        ordinary = [own[i] + (own[i + 1][:-1] if i + 1 < len(own) else "") for own in parts for i in range(0, len(own), 2)]
+        chunks, which, begins = batch_chunks(ordinary)
+        flat, ends = runs(*self._of_chunks(chunks), which)
+        found = iter(np.split(flat, ends[begins[1:-1]])) if parts else iter(())
+        out = []
+        for own in parts:
+            made = []
+            for i in range(0, len(own), 2):
+                made.append(next(found))
+                if i + 1 < len(own):
+                    before = made[-1][: len(own[i])].sum()
+                    made.append(np.array([before + 1 - made[-1].sum()], np.int16))
+            out.append(np.concatenate(made) if len(made) > 1 else made[0])
+        return out
+
+
 def _counter(path: str) -> PrefixCounts:
-    return PrefixCounts(path)
+    """One copy for each Python worker."""
+    return of_worker(("prefixes", path), lambda: PrefixCounts(path))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT,
@@ -122,10 +142,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count(batches):
         counter = _counter(tokenizer)
         for batch in slices(batches):
-            cols = [[] for _ in fields]
-            for text in batch.column("text").to_pylist():
-                table = np.cumsum(counter.deltas(text or ""), dtype=np.int32)
-                row = [len((text or "").encode()), int(table[-1]) if len(table) else 0]
+            cols, texts = [[] for _ in fields], [t or "" for t in batch.column("text").to_pylist()]
+            for text, deltas in zip(texts, counter.deltas(texts), strict=True):
+                table = np.cumsum(deltas, dtype=np.int32)
+                row = [len(text.encode()), int(table[-1]) if len(table) else 0]
                 row += [len(table) - int(np.argmax((table <= b)[::-1])) if len(table) and table.min() <= b else 0 for b in budgets]
                 row += [table.astype("<i4").tobytes()] * with_prefixes
                 for col, value in zip(cols[1:], row, strict=True):

@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_c
 
     def cut(batches):
         enc, end = encoder(tokenizer), np.array([separator], "<u4")
-        for batch in slices(batches, most=8_000_000):
+        for batch in slices(batches, most=4_000_000):
             rows, found = [], enc.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids = np.concatenate([ids, end])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfill.llm.labels import held_out, labelled_sample
-from sparkfill.llm.text import folded_words, slices
+from sparkfill.llm.text import folded_words, of_worker, slices
 
 WINDOW, STRIDE = 64, 48
 TRIGRAMS = 8192
@@ -295,10 +295,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     return train(sample["text"].to_pylist(), sample["label"].to_numpy(), **options)
 
 
-def _scorer(sent):
+def _scorer(sent, text: str = "text"):
+    """Scores beside the first column; ``text`` is a column, or a field of the first one."""
     def score(batches):
-        for batch in slices(batches, most=2_000_000):
-            logits, _ = sent.value.document_logits([folded_words(t) for t in batch.column("text").to_pylist()])
+        net = of_worker("toxicity", lambda: None) or sent.value
+        for batch in slices(batches, text, most=1_000_000):
+            own = batch.column(text) if text in batch.schema.names else batch.column(0).field(text)
+            logits, _ = net.document_logits([folded_words(t) for t in own.to_pylist()])
             scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores.astype(np.float64))], names=[batch.schema.names[0], "score"])
 
@@ -320,6 +323,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def reject(docs: DataFrame, labels: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that score ``limit`` or more; whole rows stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(_own(docs, id_col, text_col), labels, **options))
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    row = f"row_with_{text_col}"
+    rows = docs.select(F.struct("*").alias(row))
     score: Column = F.col("score") < limit
-    return rows.mapInArrow(_scorer(sent), f"row {rows.schema['row'].dataType.simpleString()}, score double").where(score).select("row.*")
+    return rows.mapInArrow(_scorer(sent, text_col), f"`{row}` {rows.schema[row].dataType.simpleString()}, score double").where(score).select(F.col(f"`{row}`.*"))

@@ -1,8 +1,8 @@
 """Imputation strategies (I10-I13, I15, I16, I18): full table, selected features,
 per cluster, side by side, and the benchmark grid.
 
-Closed-form methods run for all clusters at once as one grouped aggregate (S12);
-model methods fit once per cluster (a handful of clusters, each fit distributed).
+Closed-form methods run for all clusters at once as one grouped aggregate (S12), and so do the
+least-squares chains of ``ice`` (``grouped.py``); other model methods fit once per cluster.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfill.functions.ordered import exact_quantiles
+from sparkfill.functions.scalars import NUMERIC_TYPES
 from sparkfill.operators import distance, sampling
-from sparkfill.operators.impute import registry
+from sparkfill.operators.impute import grouped, registry
+from sparkfill.session import broadcast_checked
 
 CLOSED_FORM = ("mean", "median", "most_frequent", "nop")
+#: Methods whose models of all clusters come from the same aggregates.
+GROUPED = ("ice", "sklearn_ice")
 
 
 def group_fill_values(df: DataFrame, group: str, target: str, method: str) -> DataFrame:
@@ -52,6 +56,12 @@ def prefill_sparse_cluster(df: DataFrame, key: str, cluster: str, target: str, c
                                               F.col("__pre"))).drop("__pre")
 
 
+def _only_large(df: DataFrame, sizes: DataFrame, cluster: str, min_size: int) -> DataFrame:
+    """Rows of the clusters with more than ``min_size`` rows that miss something."""
+    large = sizes.where((F.col("__size") > min_size) & (F.col("__nm") > 0)).select("__label")
+    return df.join(broadcast_checked(large), F.col(cluster).eqNullSafe(F.col("__label")), "left_semi")
+
+
 def impute_by_cluster(df: DataFrame, key: str, cluster: str, target: str, features: Sequence[str],
                       method: str = "mean", min_size: int = 150, knn_k: int = 5,
                       categorical: bool = False) -> DataFrame:
@@ -68,6 +78,10 @@ def impute_by_cluster(df: DataFrame, key: str, cluster: str, target: str, featur
         out = big.join(fills.withColumnRenamed(cluster, "__label"), same, "left").drop("__label")
         out = out.withColumn("__main", F.when(F.col(target).isNull() & (F.col("__size") > min_size), F.col("__fill")))
         out = out.drop("__fill")
+    elif method in GROUPED and not categorical and all(t in NUMERIC_TYPES for t in (dict(df.dtypes)[c] for c in [target, *features])):
+        main = _only_large(df, sizes, cluster, min_size)
+        filled = grouped.chained_by_cluster(main, key, cluster, [target, *[c for c in features if c != target]])
+        out = big.join(filled.select(key, F.col(target).alias("__main")), key, "left")
     else:
         parts = None
         for r in sizes.where((F.col("__size") > min_size) & (F.col("__nm") > 0)).collect():
@@ -141,27 +155,61 @@ def strategies_for_targets(df: DataFrame, truth: DataFrame, key: str, targets: S
     return out
 
 
+def subpopulation_impute(df: DataFrame, key: str, target: str, features: Sequence[str], selection=None, clustering: str | None = None,
+                         mnar: bool = False, method: str = "mean", min_size: int = 150) -> dict:
+    """One run of the benchmark (I18): select features, form clusters, fill inside them.
+
+    ``selection``: None (all features), the features themselves, or a method of ``select_features``.
+    ``clustering``: None (no clusters), a column whose values are the clusters, or a method of
+    ``cluster_records``. ``mnar`` adds an indicator of missing cells for the target and every feature.
+    Returns ``filled`` (key, target), ``selected``, ``labels`` (key, cluster; None without clusters).
+    """
+    from sparkfill.operators import cluster, select
+    features = [c for c in features if c != target]
+    if selection is None or isinstance(selection, (list, tuple)):
+        chosen = list(features if selection is None else selection)
+    else:
+        chosen, _ = select.select_features(df, key, target, features, selection, mnar=False)
+        chosen = list(chosen) or features
+    labels = None
+    if clustering in df.columns:
+        labels = df.select(key, F.col(clustering).alias("cluster"))
+    elif clustering is not None:
+        labels = cluster.cluster_records(df, key, target, features, method=clustering, selected=chosen)["labels"]
+    base = df.select(key, target, *chosen)
+    used = list(chosen)
+    if mnar:
+        marks = {f"{c}_missing": F.col(c).isNull().cast("int") for c in chosen}
+        base, used = base.withColumns(marks), [*chosen, *marks]
+    if labels is None:
+        filled = registry.impute_table(base, [target, *used], method, {"key": key}).select(key, target)
+    else:
+        base = base.join(labels.withColumnRenamed("cluster", "__cluster"), key, "left")
+        filled = impute_by_cluster(base, key, "__cluster", target, used, method, min_size).select(key, target)
+    return {"filled": filled, "selected": chosen, "labels": labels}
+
+
 def benchmark_imputers(df: DataFrame, key: str, target: str, methods: Sequence[str], configs: Sequence[tuple],
-                       seeds: Sequence[int], features: Sequence[str] = ()) -> DataFrame:
+                       seeds: Sequence[int], features: Sequence[str] = (), min_size: int = 150) -> DataFrame:
     """Methods x (selection, clustering, mnar) x seeds on simulated maskings (I18):
-    (method, selection, clustering, mnar, seed, target, mae, n)."""
+    (method, selection, clustering, mnar, seed, target, n_selected, n_clusters, mae, n).
+
+    Each cell of the grid is a run of :func:`subpopulation_impute` on the masked table, scored on what was masked."""
     out = None
     for seed in seeds:
         masked, hidden = sampling.mask_random(df, target, f"sim{seed}", key)
         truth = df.join(hidden, key).select(key, F.col(target).cast("double").alias("__truth"))
         for method in methods:
             for selection, clustering, mnar in configs:
-                base = masked.select(key, target, *features)
-                if mnar:
-                    base = base.withColumns({f"{c}_missing": F.col(c).isNull().cast("int")
-                                             for c in [target, *features]})
-                filled = registry.impute_table(base, [target, *features], method).select(key, target)
-                sc = filled.join(truth, key).agg(
+                run = subpopulation_impute(masked, key, target, features, selection, clustering, mnar, method, min_size)
+                sc = run["filled"].join(truth, key).agg(
                     F.avg(F.abs(F.col(target).cast("double") - F.col("__truth"))).alias("mae"),
                     F.count(F.lit(1)).alias("n"))
-                row = sc.select(F.lit(method).alias("method"), F.lit(selection).alias("selection"),
-                                F.lit(clustering).alias("clustering"), F.lit(mnar).alias("mnar"),
-                                F.lit(seed).alias("seed"), F.lit(target).alias("target"), "mae", "n")
+                clusters = run["labels"].select("cluster").distinct().count() if run["labels"] is not None else 1
+                name = "all" if selection is None else selection if isinstance(selection, str) else "+".join(selection)
+                row = sc.select(F.lit(method).alias("method"), F.lit(name).alias("selection"),
+                                F.lit(clustering or "none").alias("clustering"), F.lit(mnar).alias("mnar"),
+                                F.lit(seed).alias("seed"), F.lit(target).alias("target"),
+                                F.lit(len(run["selected"])).alias("n_selected"), F.lit(clusters).alias("n_clusters"), "mae", "n")
                 out = row if out is None else out.unionByName(row)
     return out
-

@@ -67,13 +67,13 @@ def model_by_testset(models: dict, tests: dict, features: Sequence[str], truth:
 
 def impute_ensemble(df: DataFrame, truth: DataFrame, key: str, target: str, features: Sequence[str],
                     cluster_labels: DataFrame, categorical: bool = False, method: str = "mean", sims: int = 3,
-                    kind: str = "tree") -> dict:
+                    kind: str = "tree", selected: Sequence[str] | None = None) -> dict:
     """Returns {'filled': df with target filled, 'scores': (model, sim, score), 'best': name}."""
     feats = [f"{target}{s}" for s in STRATEGY_SUFFIXES]
     models, tests = {}, {}
     for sim in range(sims):
         masked, hidden = sampling.mask_random(df, target, f"sim{sim}", key)
-        strat = strategies.impute_three_ways(masked, key, target, features, cluster_labels, method=method,
+        strat = strategies.impute_three_ways(masked, key, target, features, cluster_labels, selected, method,
                                              round_codes=categorical)
         lab = strat.join(hidden, key).join(truth.select(key, F.col(target).cast("double").alias("__truth")), key)
         lab = sampling.train_test_split(lab, 0.2, f"stack{sim}", key)
@@ -85,7 +85,7 @@ def impute_ensemble(df: DataFrame, truth: DataFrame, key: str, target: str, feat
     scores = model_by_testset(models, tests, feats, "__truth", not categorical)
     best = score.pick_best(scores.withColumn("idx", F.regexp_extract("model", r"(\d+)$", 1).cast("int")),
                            "model", "score", lower_is_better=not categorical, index_col="idx").first()["best_model"]
-    real = strategies.impute_three_ways(df, key, target, features, cluster_labels, method=method,
+    real = strategies.impute_three_ways(df, key, target, features, cluster_labels, selected, method,
                                         round_codes=categorical)
     miss = df.where(F.col(target).isNull()).select(key)
     pred = predict(models[best], real.join(miss, key), feats, "__fill").select(key, "__fill")

@@ -149,14 +149,39 @@ def q_prefill_sparse_cluster(spark, sf):
     return round_doubles(out.select("row_id", "weight"))
 
 
-@query("impute_three_ways", with_rec("""SELECT row_id, round(coalesce(weight, g.m), 6) AS weight_imputed_full,
-  round(coalesce(weight, g.m), 6) AS weight_imputed_full_selected, round(coalesce(weight, c.m), 6) AS weight_imputed_cluster
-  FROM rec JOIN (SELECT district, avg(weight) AS m FROM rec GROUP BY district) c USING (district),
-  (SELECT avg(weight) AS m FROM rec) g"""))
+def ols_sql(rows, y, xs, group=None):
+    """DuckDB least squares of ``y`` on one or two columns over ``rows`` (a table), by ``group``: b0, b1 (, b2)."""
+    g, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
+    if len(xs) == 1:
+        return f"(SELECT {g}regr_intercept({y}, {xs[0]}) AS b0, regr_slope({y}, {xs[0]}) AS b1 FROM {rows} {by})"
+    a, b = xs
+    d = "(saa * sbb - sab * sab)"
+    b1, b2 = f"((say * sbb - sby * sab) / {d})", f"((sby * saa - say * sab) / {d})"
+    return f"""(SELECT {g}my - {b1} * ma - {b2} * mb AS b0, {b1} AS b1, {b2} AS b2 FROM (SELECT {g}avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb,
+    covar_pop({a}, {a}) AS saa, covar_pop({b}, {b}) AS sbb, covar_pop({a}, {b}) AS sab, covar_pop({a}, {y}) AS say, covar_pop({b}, {y}) AS sby
+    FROM {rows} {by}))"""
+
+
+def _clip(e, lo, hi):
+    return f"greatest({lo}, least({hi}, {e}))"
+
+
+_TWO = ["qty", "price"]
+
+
+@query("impute_three_ways", with_rec(f"""SELECT rec.row_id,
+  round(coalesce(weight, {_clip('f.b0 + f.b1 * qty + f.b2 * price', 'r.lo', 'r.hi')}), 6) AS weight_imputed_full,
+  round(coalesce(weight, {_clip('s.b0 + s.b1 * qty', 'r.lo', 'r.hi')}), 6) AS weight_imputed_full_selected,
+  round(coalesce(weight, {_clip('c.b0 + c.b1 * qty', 'cr.lo', 'cr.hi')}), 6) AS weight_imputed_cluster
+  FROM rec JOIN {ols_sql('known', 'weight', ['qty'], 'district')} c USING (district)
+  JOIN (SELECT district, min(weight) AS lo, max(weight) AS hi FROM known GROUP BY district) cr USING (district),
+  {ols_sql('known', 'weight', _TWO)} f, {ols_sql('known', 'weight', ['qty'])} s, (SELECT min(weight) AS lo, max(weight) AS hi FROM known) r""",
+    "known AS (SELECT * FROM rec WHERE weight IS NOT NULL)"))
 def q_impute_three_ways(spark, sf):
+    """Least squares on both features, on the selected one, and on it inside each district."""
     obs = missing_view(records(spark, sf))
     labels = obs.select("row_id", F.col("district").alias("cluster"))
-    out = strategies.impute_three_ways(obs.select("row_id", "weight", *KF), "row_id", "weight", KF, labels, method="mean")
+    out = strategies.impute_three_ways(obs.select("row_id", "weight", *_TWO), "row_id", "weight", _TWO, labels, selected=["qty"], method="ice")
     return round_doubles(out)
 
 
@@ -195,30 +220,46 @@ def q_impute_one_target(spark, sf):
     return _strategies(spark, sf, ["area"], ["area"])
 
 
+#: (selection, clustering) of the benchmark query: every setting changes the answer.
+BENCH = [(("qty",), None), (("price",), None), (("qty", "price"), None), (("qty",), "district"), (("price",), "district")]
+
+
 def _bench_sql():
     parts, ctes = [], []
     for seed in (0, 1):
         ctes.append(f"""h{seed} AS (SELECT row_id FROM rec WHERE weight IS NOT NULL
   QUALIFY row_number() OVER (ORDER BY {sql_order_key(f'sim{seed}', 'row_id')}, row_id)
    <= (SELECT floor(greatest(0.1, avg((weight IS NULL)::int)) * count(weight)) FROM rec))""")
-        ctes.append(f"""mk{seed} AS (SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM h{seed}) THEN NULL ELSE weight END AS w,
+        ctes.append(f"""mk{seed} AS (SELECT row_id, district, qty, price, CASE WHEN row_id IN (SELECT row_id FROM h{seed}) THEN NULL ELSE weight END AS w,
   weight AS orig, row_id IN (SELECT row_id FROM h{seed}) AS hidden FROM rec)""")
-        fills = {"mean": f"(SELECT avg(w) AS f FROM mk{seed})",
-                 "median": f"(SELECT quantile_cont(w, 0.5) AS f FROM mk{seed})",
-                 "most_frequent": f"(SELECT (SELECT w FROM mk{seed} WHERE w IS NOT NULL GROUP BY w ORDER BY count(*) DESC, w LIMIT 1) AS f)"}
-        for m, f in fills.items():
-            for mnar in ("false", "true"):
-                parts.append(f"""SELECT '{m}' AS method, 'LASSO' AS selection, 'reduced' AS clustering, {mnar} AS mnar,
-  {seed} AS seed, 'weight' AS target, round(avg(abs(s.f - orig)), 6) AS mae, count(*) AS n
-  FROM mk{seed}, {f} s WHERE hidden""")
+        ctes.append(f"kn{seed} AS (SELECT * FROM mk{seed} WHERE w IS NOT NULL)")
+        for xs, group in BENCH:
+            on = f"USING ({group})" if group else "ON true"
+            g = f"{group}, " if group else ""
+            by = f"GROUP BY {group}" if group else ""
+            ols = _clip(" + ".join(["b0", *(f"b{i + 1} * {x}" for i, x in enumerate(xs))]), "lo", "hi")
+            for method, e in (("mean", "m"), ("ice", ols)):
+                parts.append(f"""SELECT '{method}' AS method, '{'+'.join(xs)}' AS selection, '{group or 'none'}' AS clustering, false AS mnar,
+  {seed} AS seed, 'weight' AS target, {len(xs)} AS n_selected, {"(SELECT count(DISTINCT district)::INT FROM rec)" if group else 1} AS n_clusters,
+  round(avg(abs({e} - orig)), 6) AS mae, count(*) AS n
+  FROM mk{seed} JOIN {ols_sql(f'kn{seed}', 'w', list(xs), group)} o {on}
+  JOIN (SELECT {g}min(w) AS lo, max(w) AS hi, avg(w) AS m FROM kn{seed} {by}) r {on} WHERE hidden""")
     return with_rec("\nUNION ALL ".join(parts), *ctes)
 
 
 @query("benchmark_imputers", _bench_sql())
 def q_benchmark_imputers(spark, sf):
-    obs = missing_view(records(spark, sf)).select("row_id", "weight")
-    out = strategies.benchmark_imputers(obs, "row_id", "weight", ["mean", "median", "most_frequent"],
-                                        [("LASSO", "reduced", False), ("LASSO", "reduced", True)], [0, 1])
+    obs = missing_view(records(spark, sf)).select("row_id", "weight", "district", *_TWO)
+    out = strategies.benchmark_imputers(obs, "row_id", "weight", ["mean", "ice"], [(s, c, False) for s, c in BENCH], [0, 1], _TWO)
+    return round_doubles(out)
+
+
+@query("benchmark_subpopulations")
+def q_benchmark_subpopulations(spark, sf):
+    """Features selected by the elastic net, clusters formed on the rest, with and without indicators of missing cells."""
+    obs = missing_view(records(spark, sf)).select("row_id", "weight", "flag", *KF)
+    out = strategies.benchmark_imputers(obs, "row_id", "weight", ["ice"], [("LASSO", "reduced", False), ("LASSO", "reduced", True), (None, None, True)],
+                                        [0], [*KF, "flag"])
     return round_doubles(out)
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkfill.functions.scalars import round_doubles
 from sparkfill.operators import cluster, encode, select, stack
-from sparkfill.operators.impute import registry, strategies
+from sparkfill.operators.impute import chained, equations, registry, strategies
 from sparkfill.plans.catalog import query
+from sparkfill.plans.q_impute import ols_sql
 from sparkfill.plans.records import missing_view, records, truth_view, with_rec
 
 PC = ["acct", "qty", "price", "site"]
@@ -129,8 +130,7 @@ def _stack_train(spark, sf):
     obs = missing_view(rec)
     labels = obs.select("row_id", F.col("district").alias("cluster"))
     masked, hidden = sampling.mask_random(obs, "weight", "sim0", "row_id")
-    strat = strategies.impute_three_ways(masked, "row_id", "weight", KF, labels, method="mean",
-                                         selected=["qty"])
+    strat = strategies.impute_three_ways(masked, "row_id", "weight", KF, labels, method="ice", selected=["price"])
     lab = strat.join(hidden, "row_id").join(truth_view(rec).select("row_id", F.col("weight").alias("truth")), "row_id")
     return lab
 
@@ -156,7 +156,7 @@ def _ensemble(spark, sf):
     rec = records(spark, sf)
     obs = missing_view(rec).select("row_id", "district", "weight", *[c for c in KF])
     labels = obs.select("row_id", F.col("district").alias("cluster"))
-    return stack.impute_ensemble(obs, truth_view(rec), "row_id", "weight", KF, labels, categorical=False)
+    return stack.impute_ensemble(obs, truth_view(rec), "row_id", "weight", KF, labels, categorical=False, method="ice", selected=["price"])
 
 
 @query("model_by_testset")
@@ -169,29 +169,44 @@ def q_impute_ensemble(spark, sf):
     return round_doubles(_ensemble(spark, sf)["filled"].select("row_id", "weight"))
 
 
-CH = ["district", "acct", "n_items", "qty", "price", "site", "area", "flag", "weight"]
+CH = ["district", "acct", "n_items", "qty", "price", "site", "seg", "prio", "area", "flag", "weight"]
+CODES = ("district", "area", "flag", "seg", "prio")
 
 
-def _chained(spark, sf, method, rounds):
-    obs = _obs(spark, sf).select("row_id", *CH)
-    out = registry.impute_table(obs, CH, method, {"key": "row_id", "categorical": ("area", "flag", "district"),
-                                                  "max_rounds": rounds})
+def _chained(spark, sf, fill, **options):
+    """``fill`` over the record view: its results, fills first."""
+    return fill(_obs(spark, sf).select("row_id", *CH), CH, "row_id", CODES, **options)
+
+
+def _filled(out):
     return round_doubles(out.select("row_id", "area", "flag", "weight"))
 
 
 @query("impute_ice")
 def q_impute_ice(spark, sf):
-    return _chained(spark, sf, "ice", 5)
+    return _filled(_chained(spark, sf, equations.chained_equations)[0])
+
+
+@query("impute_ice_rounds")
+def q_impute_ice_rounds(spark, sf):
+    """How far the missing cells of each column moved in each round, and whether the rounds settled."""
+    return round_doubles(_chained(spark, sf, equations.chained_equations)[1])
 
 
 @query("impute_missforest")
 def q_impute_missforest(spark, sf):
-    return _chained(spark, sf, "missforest", 2)
+    return _filled(_chained(spark, sf, chained.missforest)[0])
 
 
 @query("impute_hyper")
 def q_impute_hyper(spark, sf):
-    return _chained(spark, sf, "hyperimpute", 2)
+    return _filled(_chained(spark, sf, chained.hyperimpute)[0])
+
+
+@query("impute_hyper_races")
+def q_impute_hyper_races(spark, sf):
+    """Which model each column took in each round, and how its rivals scored."""
+    return round_doubles(_chained(spark, sf, chained.hyperimpute, max_rounds=2)[2])
 
 
 EMC = ["acct", "qty", "price", "site", "weight"]
@@ -209,11 +224,11 @@ def q_impute_softimpute(spark, sf):
     return round_doubles(registry.impute_table(obs, EMC, "softimpute").select("row_id", "weight"))
 
 
-@query("impute_selected", with_rec("SELECT row_id, round(coalesce(weight, (SELECT avg(weight) FROM rec)), 6) AS weight FROM rec"))
+@query("impute_selected", with_rec(f"""SELECT row_id, round(coalesce(weight, greatest(lo, least(hi, b0 + b1 * price))), 6) AS weight
+  FROM rec, {ols_sql('(SELECT * FROM rec WHERE weight IS NOT NULL)', 'weight', ['price'])} o, (SELECT min(weight) AS lo, max(weight) AS hi FROM rec) r"""))
 def q_impute_selected(spark, sf):
-    obs = _obs(spark, sf)
-    sel, _ = select.select_elasticnet(obs, "row_id", "weight", KF)
-    out = strategies.impute_selected(obs, "row_id", "weight", sel, "mean")
+    """Least squares on the selected feature alone."""
+    out = strategies.impute_selected(_obs(spark, sf), "row_id", "weight", ["price"], "ice")
     return round_doubles(out.select("row_id", "weight"))
 
 
@@ -227,8 +242,5 @@ def q_tree_attribution(spark, sf):
 
 @query("impute_mice")
 def q_impute_mice(spark, sf):
-    """ice repeated with seeded residual draws, averaged (registry name ``mice``)."""
-    obs = _obs(spark, sf).select("row_id", *CH)
-    out = registry.impute_table(obs, CH, "mice", {"key": "row_id", "categorical": ("area", "flag", "district"),
-                                                  "max_rounds": 2, "imputations": 5})
-    return round_doubles(out.select("row_id", "area", "flag", "weight"))
+    """Five imputations with posterior draws and matched donors; numbers averaged, codes by vote."""
+    return _filled(_chained(spark, sf, equations.chained_equations, draw=True, imputations=5, max_rounds=5)[0])

@@ -70,6 +70,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder. Unlike a checkpoint it forgets the plan's size estimates,
+    which grow without end where a loop joins its own results."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """Bounded check: reads at most ``limit + 1`` rows."""
     return df.limit(limit + 1).count() <= limit

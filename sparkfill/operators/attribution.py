@@ -1,30 +1,35 @@
-"""Per-row additive attributions of a decision-tree prediction.
-
-Path attribution: walking from the root to a row's leaf, each split moves the node
-value (mean training label of the node) by some amount; that amount is credited
-to the split's feature. base (root value) + sum of credits = leaf value = the
-tree's prediction. The tree structure comes from the model's public debug string,
-node values from per-leaf training counts (the model's ``leafCol``); the per-leaf
-attribution table has one row per leaf and is joined to the rows by leaf index.
+"""Per-row additive attributions of a decision-tree prediction (H17): exact Shapley values.
+
+The value of a set of features is what the tree expects if only they are known: at a split on a known
+feature the row's side is taken, at any other both, by the share of training rows that went there.
+A leaf then counts with the product, over the features of its path, of 1 or 0 (known: does the row
+meet all of the path's splits on it?) or of the shares (unknown). So a feature's Shapley value is a
+sum over leaves, in which the other features of the path enter through a polynomial whose k-th
+coefficient gathers all sets of k known ones; its product is built feature by feature, and no set
+is ever enumerated. base (nothing known) + the credits = the prediction.
+
+The paths are a table of the model, of one entry a leaf; rows pass it in batches, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from math import factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfill.operators.cluster import assemble
-from sparkfill.session import broadcast_checked
 
-_IF = re.compile(r"^\s*If \(feature (\d+) ")
+_IF = re.compile(r"^\s*If \(feature (\d+) <= (\S+)\)")
 _PRED = re.compile(r"^\s*Predict: (\S+)")
 
 
 def parse_tree(debug: str) -> dict:
-    """Nested dict of the tree in pre-order: {'feature', 'left', 'right'} or {'leaf': index}."""
+    """Nested dict of the tree in pre-order: {'feature', 'at', 'left', 'right'} or {'leaf': index, 'value'}; numeric splits only."""
     lines = [ln for ln in debug.splitlines()[1:] if ln.strip()]
     pos, leaf = 0, 0
 
@@ -37,10 +42,11 @@ def parse_tree(debug: str) -> dict:
             left = node()
             pos += 1          # the matching Else line
             right = node()
-            return {"feature": int(m.group(1)), "left": left, "right": right}
-        if _PRED.match(line):
+            return {"feature": int(m.group(1)), "at": float(m.group(2)), "left": left, "right": right}
+        m = _PRED.match(line)
+        if m:
             pos += 1
-            out = {"leaf": leaf}
+            out = {"leaf": leaf, "value": float(m.group(1))}
             leaf += 1
             return out
         raise ValueError(f"cannot parse tree line: {line!r}")
@@ -48,46 +54,69 @@ def parse_tree(debug: str) -> dict:
     return node()
 
 
-def leaf_attributions(tree: dict, leaf_stats: dict, n_features: int) -> tuple[float, dict]:
-    """(base, {leaf: [credit per feature]}) from {leaf: (count, label_sum)}."""
-    def totals(nd):
-        if "leaf" in nd:
-            c, s = leaf_stats.get(nd["leaf"], (0, 0.0))
-            nd["n"], nd["s"] = c, s
-        else:
-            totals(nd["left"])
-            totals(nd["right"])
-            nd["n"] = nd["left"]["n"] + nd["right"]["n"]
-            nd["s"] = nd["left"]["s"] + nd["right"]["s"]
-        nd["v"] = nd["s"] / nd["n"] if nd["n"] else 0.0
-
-    totals(tree)
-    out = {}
-
-    def walk(nd, credit):
+def leaf_paths(tree: dict, leaf_rows: dict) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """For each leaf its value and, for each feature of its path, (feature, low, high, share): the row is on the path
+    if low < x <= high, and ``share`` of the training rows are where the feature is unknown."""
+    def count(nd):
+        nd["n"] = leaf_rows.get(nd["leaf"], 0) if "leaf" in nd else count(nd["left"]) + count(nd["right"])
+        return nd["n"]
+
+    count(tree)
+    out = []
+
+    def walk(nd, path):
         if "leaf" in nd:
-            out[nd["leaf"]] = list(credit)
+            out.append((nd["value"], [(f, *p) for f, p in sorted(path.items())]))
             return
-        for child in (nd["left"], nd["right"]):
-            c = list(credit)
-            c[nd["feature"]] += child["v"] - nd["v"]
-            walk(child, c)
-
-    walk(tree, [0.0] * n_features)
-    return tree["v"], out
+        f = nd["feature"]
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((nd["left"], (low, min(high, nd["at"]))), (nd["right"], (max(low, nd["at"]), high))):
+            part = child["n"] / nd["n"] if nd["n"] else 0.5
+            walk(child, {**path, f: (*bounds, share * part)})
+
+    walk(tree, {})
+    return out
+
+
+def shapley(paths: list, x: np.ndarray) -> tuple[float, np.ndarray]:
+    """The value without any feature, and the credits (row, feature)."""
+    out, base = np.zeros(x.shape), 0.0
+    for value, path in paths:
+        m = len(path)
+        base += value * float(np.prod([share for *_, share in path]))
+        if not m:
+            continue
+        weight = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+        # a null goes right, as any comparison with it fails
+        met = np.stack([~(x[:, f] <= low) & ((x[:, f] <= high) | np.isinf(high)) for f, low, high, _ in path], axis=1).astype(float)
+        share = np.array([s for *_, s in path])
+        for i, (f, *_) in enumerate(path):
+            sets = np.zeros((len(x), m))
+            sets[:, 0] = 1.0
+            for j in range(m):
+                if j != i:  # times (share + met t)
+                    sets[:, 1:] = sets[:, 1:] * share[j] + sets[:, :-1] * met[:, j : j + 1]
+                    sets[:, 0] *= share[j]
+            out[:, f] += value * (met[:, i] - share[i]) * (sets @ weight)
+    return base, out
 
 
 def tree_attribution(model, train: DataFrame, rows: DataFrame, features: Sequence[str], label: str,
                      key: str) -> DataFrame:
-    """(key, base, attr_<feature>..., pred) for every row of ``rows`` (regression tree)."""
+    """(key, base, attr_<feature>..., pred) for every row of ``rows`` (regression tree with numeric splits)."""
     model.setLeafCol("__leaf")
-    tr = model.transform(assemble(train.withColumn("__y", F.col(label).cast("double")), features))
-    stats = {int(r["__leaf"]): (r["n"], r["s"]) for r in
-             tr.groupBy("__leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("s")).collect()}
-    base, credits = leaf_attributions(parse_tree(model.toDebugString), stats, len(features))
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(float(lf), *[float(x) for x in c]) for lf, c in credits.items()],
-                                  ", ".join(["__leaf double"] + [f"attr_{f} double" for f in features]))
-    p = model.transform(assemble(rows, features)).select(key, "__leaf", F.col("prediction").alias("pred"))
-    return p.join(broadcast_checked(table), "__leaf").select(
-        key, F.lit(base).alias("base"), *[f"attr_{f}" for f in features], "pred")
+    counted = model.transform(assemble(train, features)).groupBy("__leaf").count().collect()
+    paths = leaf_paths(parse_tree(model.toDebugString), {int(r["__leaf"]): r["count"] for r in counted})
+    features = list(features)
+
+    def credit(batches):
+        for batch in batches:
+            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], axis=1)
+            base, credits = shapley(paths, x)
+            cols = [batch.column(key), pa.array(np.full(len(x), base)), *[pa.array(credits[:, i]) for i in range(len(features))], batch.column("pred")]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "base", *[f"attr_{f}" for f in features], "pred"])
+
+    p = model.transform(assemble(rows.select(key, *features), features))
+    p = p.select(key, *[F.col(f).cast("double").alias(f) for f in features], F.col("prediction").alias("pred"))
+    kinds = [f"`{key}` {dict(rows.dtypes)[key]}", "base double", *[f"`attr_{f}` double" for f in features], "pred double"]
+    return p.mapInArrow(credit, ", ".join(kinds))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -74,23 +76,74 @@ def kmeans_assign(df: DataFrame, key: str, cols: Sequence[str], k: int, seed: in
     return model.transform(vec).select(key, "cluster"), float(model.summary.trainingCost)
 
 
+#: Rows from which first centres are drawn.
+CENTRE_SAMPLE = 2000
+
+
+def first_centres(rows: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """k-means++ draws: each next centre with a chance in proportion to its squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    centres = [rows[rng.integers(len(rows))]]
+    while len(centres) < k:
+        d = ((rows[:, None, :] - np.array(centres)[None]) ** 2).sum(-1).min(axis=1)
+        centres.append(rows[rng.choice(len(rows), p=d / d.sum())] if d.sum() > 0 else rows[0])
+    return np.array(centres)
+
+
+def _side_by_side(centres: dict[int, np.ndarray]):
+    """For every k, the sums and squared distances of the rows nearest to each centre."""
+    def step(batches):
+        d = next(iter(centres.values())).shape[1]
+        total = {k: np.zeros((k, d + 2)) for k in centres}
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for k, c in centres.items():
+                dist = ((x[:, None, :] - c[None]) ** 2).sum(-1)
+                own = np.argmin(dist, axis=1)
+                part = np.concatenate([np.ones((len(x), 1)), x, dist[np.arange(len(x)), own][:, None]], axis=1)
+                np.add.at(total[k], own, part)
+        for k, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * k, pa.int32()), pa.array(np.arange(k, dtype=np.int32)), pa.array(list(t), pa.list_(pa.float64()))], names=["k", "c", "v"])
+
+    return step
+
+
+def lloyd_side_by_side(rows: DataFrame, centres: dict[int, np.ndarray], max_iter: int = 50, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
+    """Lloyd's rounds of several k at once: one scan of ``rows`` (x array) a round serves them all.
+
+    A k that settled (no centre moves by ``tol``) takes no further part. Returns centres and inertia by k, as each
+    fit alone would from the same centres; an empty cluster keeps its centre."""
+    left, out = dict(centres), {}
+    for rnd in range(max_iter + 1):
+        each = rows.mapInArrow(_side_by_side(left), "k int, c int, v array<double>").select("k", "c", F.posexplode("v").alias("i", "v"))
+        sums = {k: np.zeros((k, c.shape[1] + 2)) for k, c in left.items()}
+        for r in each.groupBy("k", "c", "i").agg(F.sum("v").alias("v")).collect():
+            sums[r.k][r.c, r.i] = r.v
+        for k, t in sums.items():
+            new = np.where(t[:, :1] > 0, t[:, 1:-1] / np.maximum(t[:, :1], 1), left[k])
+            out[k] = (left[k], float(t[:, -1].sum()))
+            if rnd == max_iter or np.sqrt(((new - left[k]) ** 2).sum(axis=1)).max() < tol:
+                del left[k]
+            else:
+                left[k] = new
+        if not left:
+            break
+    return out
+
+
 def kmeans_inertia_curve(df: DataFrame, key: str, cols: Sequence[str], ks: Sequence[int] = range(1, 11),
                          seed: int = 42) -> DataFrame:
-    """(k, inertia) for each k (H7). k = 1 is the total sum of squares (one aggregate);
-    the vector table is checkpointed once and reused by every fit."""
-    base = cut_lineage(df.select(key, *cols).na.drop())
+    """(k, inertia) for each k (H7), complete rows only. All k run side by side, so the table is scanned once
+    a round; first centres are k-means++ draws from ``CENTRE_SAMPLE`` rows of least hash."""
+    base = cut_lineage(df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).where(
+        ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
+    sample = base.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(CENTRE_SAMPLE).select("x").collect()
     spark = df.sparkSession
-    rows = []
-    st = base.agg(*[F.var_pop(c).alias(c) for c in cols], F.count(F.lit(1)).alias("__n")).first()
-    vec = assemble(base, cols).cache()
-    for k in ks:
-        if k == 1:
-            rows.append((1, float(sum(st[c] for c in cols) * st["__n"])))
-            continue
-        m = KMeans(k=k, seed=seed, maxIter=50, featuresCol="features").fit(vec)
-        rows.append((k, float(m.summary.trainingCost)))
-    vec.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double")
+    if not sample:
+        return spark.createDataFrame([], "k int, inertia double")
+    rows = np.array([r.x for r in sample])
+    found = lloyd_side_by_side(base.select("x"), {k: first_centres(rows, k, seed + k) for k in ks})
+    return spark.createDataFrame([(k, found[k][1]) for k in ks], "k int, inertia double")
 
 
 def cluster_records(df: DataFrame, key: str, target: str, features: Sequence[str], method: str = "reduced",

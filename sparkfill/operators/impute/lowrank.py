@@ -38,11 +38,28 @@ def _pattern(cols: Sequence[str]) -> Column:
     return m
 
 
-def em_impute(df: DataFrame, cols: Sequence[str], max_rounds: int = 100, tol: float = 1e-4) -> DataFrame:
-    """Conditional-mean fill under a multivariate normal fitted by EM."""
+def _scales(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], list[float]]:
+    """Mean and spread of each column, over its values."""
+    st = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    return [st[f"m{i}"] or 0.0 for i in range(len(cols))], [st[f"s{i}"] or 1.0 for i in range(len(cols))]
+
+
+def _report(df: DataFrame, changes: list[float], tol: float) -> DataFrame:
+    return df.sparkSession.createDataFrame([(i + 1, float(c), bool(c < tol)) for i, c in enumerate(changes)], "round int, change double, converged boolean")
+
+
+def em_fit(df: DataFrame, cols: Sequence[str], max_rounds: int = 100, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """Conditional-mean fill under a multivariate normal fitted by EM (I7): ``(filled, report)``.
+
+    Columns are standardised first, so sums of squares stay small, and the stop rule (the largest change
+    of a mean or covariance) doesn't depend on units. ``report``: ``round, change, converged``."""
     cols = list(cols)
     d = len(cols)
-    base = cut_lineage(df.withColumns({c: F.col(c).cast("double") for c in cols}).withColumn("__pat", _pattern(cols)))
+    shift, scale = _scales(df, cols)
+    z = df.withColumns({c: (F.col(c).cast("double") - F.lit(shift[i])) / F.lit(scale[i]) for i, c in enumerate(cols)})
+    base = cut_lineage(z.withColumn("__pat", _pattern(cols)))
+    changes: list[float] = []
     pats = {r["__pat"]: r["n"] for r in base.groupBy("__pat").agg(F.count(F.lit(1)).alias("n")).collect()}
     stats = base.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                      *[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
@@ -84,29 +101,34 @@ def em_impute(df: DataFrame, cols: Sequence[str], max_rounds: int = 100, tol: fl
         n, s, S = _moments(base.withColumns(exprs), cols)
         new_mu = s / n
         new_sigma = (S + cc) / n - np.outer(new_mu, new_mu)
-        delta = max(np.max(np.abs(new_mu - mu)), np.max(np.abs(new_sigma - sigma)) / max(np.max(np.abs(sigma)), 1e-12))
+        changes.append(max(np.max(np.abs(new_mu - mu)), np.max(np.abs(new_sigma - sigma))))
         mu, sigma = new_mu, new_sigma
-        if delta < tol:
+        if changes[-1] < tol:
             break
     exprs, _ = fill_exprs(mu, sigma)
-    return base.withColumns(exprs).drop("__pat")
+    out = base.withColumns(exprs).withColumns({c: F.col(c) * F.lit(scale[i]) + F.lit(shift[i]) for i, c in enumerate(cols)})
+    return out.drop("__pat"), _report(df, changes, tol)
 
 
-def softimpute(df: DataFrame, cols: Sequence[str], max_rounds: int = 10, shrink: float | None = None,
-               tol: float = 1e-4) -> DataFrame:
+def em_impute(df: DataFrame, cols: Sequence[str], max_rounds: int = 100, tol: float = 1e-4) -> DataFrame:
+    return em_fit(df, cols, max_rounds, tol)[0]
+
+
+def softimpute_fit(df: DataFrame, cols: Sequence[str], max_rounds: int = 100, shrink: float | None = None,
+                   tol: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Low-rank fill (I8): standardise, nulls start at 0, then repeatedly replace missing cells by
-    the row times V diag(max(s - lambda, 0) / s) V' from the eigen-decomposition of the Gram matrix."""
+    the row times V diag(max(s - lambda, 0) / s) V' from the eigen-decomposition of the Gram matrix.
+
+    Returns ``(filled, report)``; rounds end when the missing cells move by less than ``tol`` on average, in
+    spreads of their columns."""
     cols = list(cols)
     d = len(cols)
-    st = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    mu = [st[f"m{i}"] or 0.0 for i in range(d)]
-    sd = [st[f"s{i}"] or 1.0 for i in range(d)]
+    mu, sd = _scales(df, cols)
+    changes: list[float] = []
     z = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in cols})
     z = z.withColumns({c: F.coalesce((F.col(c) - F.lit(mu[i])) / F.lit(sd[i]), F.lit(0.0)) for i, c in enumerate(cols)})
     z = cut_lineage(z)
     lam = shrink
-    prev = None
     for _ in range(max_rounds):
         n, _, S = _moments(z, cols)
         w, V = np.linalg.eigh(S)
@@ -119,12 +141,19 @@ def softimpute(df: DataFrame, cols: Sequence[str], max_rounds: int = 10, shrink:
         for j, c in enumerate(cols):
             rec = sum((F.lit(float(M[i, j])) * F.col(cols[i]) for i in range(d)), F.lit(0.0))
             exprs[c] = F.when(F.col(f"__m_{c}"), rec).otherwise(F.col(c))
-        z = cut_lineage(z.withColumns(exprs))
-        if prev is not None and np.max(np.abs(M - prev)) < tol:
+        z = cut_lineage(z.withColumns(exprs | {f"__p_{c}": F.col(c) for c in cols}))
+        moved = z.agg(*[F.sum(F.when(F.col(f"__m_{c}"), F.abs(F.col(c) - F.col(f"__p_{c}")))).alias(f"d{i}") for i, c in enumerate(cols)],
+                      *[F.count_if(F.col(f"__m_{c}")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        changes.append(sum(moved[f"d{i}"] or 0.0 for i in range(d)) / max(sum(moved[f"n{i}"] for i in range(d)), 1))
+        z = z.drop(*[f"__p_{c}" for c in cols])
+        if changes[-1] < tol:
             break
-        prev = M
     out = z.withColumns({c: F.col(c) * F.lit(sd[i]) + F.lit(mu[i]) for i, c in enumerate(cols)})
-    return out.drop(*[f"__m_{c}" for c in cols])
+    return out.drop(*[f"__m_{c}" for c in cols]), _report(df, changes, tol)
+
+
+def softimpute(df: DataFrame, cols: Sequence[str], max_rounds: int = 100, shrink: float | None = None, tol: float = 1e-3) -> DataFrame:
+    return softimpute_fit(df, cols, max_rounds, shrink, tol)[0]
 
 
 @register("EM")
@@ -136,7 +165,7 @@ def _em(df, cols, cfg=None):
 @register("softimpute")
 def _soft(df, cols, cfg=None):
     cfg = cfg or {}
-    return softimpute(df, cols, cfg.get("max_rounds", 10), cfg.get("shrink"))
+    return softimpute(df, cols, cfg.get("max_rounds", 100), cfg.get("shrink"))
 
 
 @register("knn")

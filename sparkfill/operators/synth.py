@@ -303,10 +303,23 @@ def column_shape_score(real: DataFrame, synth: DataFrame, numeric: Sequence[str]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _contingency_similarity(real: DataFrame, synth: DataFrame, a: Column, b: Column, names: tuple[str, str], metric: str) -> DataFrame:
+    """1 - 0.5 sum|p_real - p_synth| over the pairs of values of two expressions."""
+    def shares(df, name):
+        d = df.select(a.cast("string").alias("va"), b.cast("string").alias("vb")).where(F.col("va").isNotNull() & F.col("vb").isNotNull())
+        c = d.groupBy("va", "vb").agg(F.count(F.lit(1)).alias("n"))
+        t = c.agg(F.sum("n").alias("t"))
+        return c.crossJoin(F.broadcast(t)).select("va", "vb", (F.col("n") / F.col("t")).alias(name))  # with one row
+    j = shares(real, "pr").join(shares(synth, "ps"), ["va", "vb"], "full").fillna(0.0, ["pr", "ps"])
+    return j.agg((1 - 0.5 * F.sum(F.abs(F.col("pr") - F.col("ps")))).alias("score")).select(
+        F.lit(names[0]).alias("a"), F.lit(names[1]).alias("b"), F.lit(metric).alias("metric"), "score")
+
+
 def pair_trend_score(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
-                     categorical: Sequence[str]) -> DataFrame:
-    """(a, b, metric, score) per column pair (J11): correlation similarity 1 - |r_r - r_s| / 2
-    for numeric pairs, contingency similarity 1 - 0.5 sum|p_r - p_s| for categorical pairs."""
+                     categorical: Sequence[str], bins: int = 10) -> DataFrame:
+    """(a, b, metric, score) of every column pair (J11): correlation similarity 1 - |r_r - r_s| / 2 for numeric
+    pairs, contingency similarity 1 - 0.5 sum|p_r - p_s| for categorical pairs, and the same for mixed ones, the
+    number cut at the real table's quantiles (``bins``) in both tables."""
     spark = real.sparkSession
     out = None
     pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
@@ -317,16 +330,13 @@ def pair_trend_score(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
                  None if rr[f"{a}|{b}"] is None or ss[f"{a}|{b}"] is None
                  else 1 - abs(rr[f"{a}|{b}"] - ss[f"{a}|{b}"]) / 2) for a, b in pairs]
         out = spark.createDataFrame(rows, "a string, b string, metric string, score double")
-    for i, a in enumerate(categorical):
-        for b in categorical[i + 1:]:
-            def shares(df, name):
-                d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()) \
-                    .select(F.col(a).cast("string").alias("va"), F.col(b).cast("string").alias("vb"))
-                c = d.groupBy("va", "vb").agg(F.count(F.lit(1)).alias("n"))
-                t = c.agg(F.sum("n").alias("t"))
-                return c.crossJoin(F.broadcast(t)).select("va", "vb", (F.col("n") / F.col("t")).alias(name))
-            j = shares(real, "pr").join(shares(synth, "ps"), ["va", "vb"], "full").fillna(0.0, ["pr", "ps"])
-            r = j.agg((1 - 0.5 * F.sum(F.abs(F.col("pr") - F.col("ps")))).alias("score")) \
-                .select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("contingency_similarity").alias("metric"), "score")
-            out = r if out is None else out.unionByName(r)
+    parts = [(F.col(a), F.col(b), (a, b), "contingency_similarity") for i, a in enumerate(categorical) for b in categorical[i + 1:]]
+    if categorical:
+        for a in numeric:
+            cuts = exact_quantiles(real.where(F.col(a).isNotNull()), None, a, [i / bins for i in range(1, bins)]).first()
+            place = F.when(F.col(a).isNotNull(), sum((F.when(F.col(a).cast("double") > c, 1).otherwise(0) for c in cuts if c is not None), F.lit(0)))
+            parts += [(place, F.col(b), (a, b), "binned_contingency_similarity") for b in categorical]
+    for part in parts:
+        r = _contingency_similarity(real, synth, *part)
+        out = r if out is None else out.unionByName(r)
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkfill.functions.scalars import round_doubles
 from sparkfill.operators import cluster, encode, select, stack
-from sparkfill.operators.impute import chained, equations, registry, strategies
+from sparkfill.operators.impute import chained, equations, lowrank, registry, strategies
 from sparkfill.plans.catalog import query
 from sparkfill.plans.q_impute import ols_sql
 from sparkfill.plans.records import missing_view, records, truth_view, with_rec
@@ -99,6 +99,12 @@ def q_select_rfe(spark, sf):
     return ranks
 
 
+@query("rfe_curve")
+def q_rfe_curve(spark, sf):
+    """Out-of-fold score of every subset size."""
+    return round_doubles(select.rfe_cv(_obs(spark, sf), "row_id", "weight", KF)[2])
+
+
 @query("grid_search")
 def q_grid_search(spark, sf):
     _, table = select.grid_search(_obs(spark, sf), "row_id", "flag", KF, categorical=True)
@@ -215,7 +221,7 @@ EMC = ["acct", "qty", "price", "site", "weight"]
 @query("impute_em")
 def q_impute_em(spark, sf):
     obs = _obs(spark, sf).select("row_id", *EMC)
-    return round_doubles(registry.impute_table(obs, EMC, "EM", {"max_rounds": 50}).select("row_id", "weight"))
+    return round_doubles(registry.impute_table(obs, EMC, "EM").select("row_id", "weight"))
 
 
 @query("impute_softimpute")
@@ -224,6 +230,14 @@ def q_impute_softimpute(spark, sf):
     return round_doubles(registry.impute_table(obs, EMC, "softimpute").select("row_id", "weight"))
 
 
+@query("impute_lowrank_rounds")
+def q_impute_lowrank_rounds(spark, sf):
+    """Rounds and last changes of EM and SoftImpute."""
+    obs = _obs(spark, sf).select("row_id", *EMC)
+    em, soft = lowrank.em_fit(obs, EMC)[1], lowrank.softimpute_fit(obs, EMC)[1]
+    return round_doubles(em.withColumn("method", F.lit("EM")).unionByName(soft.withColumn("method", F.lit("softimpute"))))
+
+
 @query("impute_selected", with_rec(f"""SELECT row_id, round(coalesce(weight, greatest(lo, least(hi, b0 + b1 * price))), 6) AS weight
   FROM rec, {ols_sql('(SELECT * FROM rec WHERE weight IS NOT NULL)', 'weight', ['price'])} o, (SELECT min(weight) AS lo, max(weight) AS hi FROM rec) r"""))
 def q_impute_selected(spark, sf):

@@ -33,18 +33,9 @@ def q_scan_folder(spark, sf):
     parts = {"keys": ["row_id", "district", "seg"], "targets": ["row_id", "area", "flag", "weight"],
              "features": ["row_id", "acct", "n_items", "qty", "price"]}
     for name, cols in parts.items():
-        tmp = f"{base}/_{name}"
-        files.sink_table(obs.select(*cols).coalesce(1), tmp, fmt="csv")
-        # one file per table, named after the table
-        spark.read.option("header", True).csv(tmp).coalesce(1).write.mode("overwrite") \
-            .option("header", True).csv(f"{base}/{name}")
-    tables = {}
-    for name in parts:
-        for p in files.list_files(spark, f"{base}/{name}", "*.csv"):
-            tables.setdefault(name, []).append(p)
+        files.sink_table(obs.select(*cols), f"{base}/{name}", fmt="csv")
     out = None
-    for name, paths in sorted(tables.items()):
-        t = files.scan_csv(spark, paths)
+    for name, t in files.scan_folder(spark, base).items():
         row = t.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table"), "n_rows", F.lit(len(t.columns)).alias("n_cols"))
         out = row if out is None else out.unionByName(row)

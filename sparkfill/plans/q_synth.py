@@ -208,6 +208,13 @@ def _pair_sql():
      WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2) x
   FULL JOIN (SELECT cast({a} AS varchar) va, cast({b} AS varchar) vb, count(*) / sum(count(*)) OVER () AS ps FROM sy
      WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2) y USING (va, vb)""")
+    for a in TW_NUM:
+        cuts = f"(SELECT quantile_cont({a}::DOUBLE, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS q FROM rl)"
+        for b in TW_CAT:
+            x, y = (f"""(SELECT len(list_filter(q, lambda c: {a}::DOUBLE > c)) va, cast({b} AS varchar) vb, count(*) / sum(count(*)) OVER () AS {p}
+     FROM {t}, {cuts} e WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)""" for t, p in (("rl", "pr"), ("sy", "ps")))
+            parts.append(f"""SELECT '{a}', '{b}', 'binned_contingency_similarity', 1 - 0.5 * sum(abs(coalesce(pr, 0) - coalesce(ps, 0)))
+  FROM {x} x FULL JOIN {y} y USING (va, vb)""")
     return with_rec("SELECT a, b, metric, round(score, 6) AS score FROM (" + "\nUNION ALL ".join(parts) + ") z",
                     *_twin_sql_ctes())
 

@@ -26,20 +26,22 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
-    """File paths of a folder through the binaryFile source (content column pruned)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    """File paths of a folder and the folders in it, through the binaryFile source (content column pruned)."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
              .load(folder).select("path").collect())
     return sorted(r["path"] for r in files)
 
 
 def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.csv",
                 schemas: Mapping[str, StructType] | None = None) -> dict[str, DataFrame]:
-    """Every CSV of a folder as a named table (name = file stem) (A2)."""
-    out = {}
+    """Every CSV of a folder as a named table (A2): a file gives its stem as name, a folder of
+    part files, as Spark writes them, its own."""
+    own = folder.rstrip("/").split("/")[-1]
+    tables: dict[str, list[str]] = {}
     for p in list_files(spark, folder, pattern):
-        name = p.rstrip("/").split("/")[-1].rsplit(".", 1)[0]
-        out[name] = scan_csv(spark, p, (schemas or {}).get(name))
-    return out
+        *_, parent, name = p.split("/")
+        tables.setdefault(name.rsplit(".", 1)[0] if parent == own else parent, []).append(p)
+    return {name: scan_csv(spark, paths, (schemas or {}).get(name)) for name, paths in sorted(tables.items())}
 
 
 def detect_metadata(df: DataFrame, key: str | None = None, max_categories: int = 30,

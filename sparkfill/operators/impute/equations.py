@@ -43,7 +43,7 @@ _STATE = "kh long, obs array<double>, cur array<double>"
 
 
 @dataclass
-class Column_:
+class Variable:
     """One column: its levels if it is a code, else its mean, spread and range (both standardised)."""
 
     name: str
@@ -62,7 +62,7 @@ class Column_:
 class Design:
     """The columns of a table as a matrix: an intercept, numbers, indicators of levels."""
 
-    columns: list[Column_]
+    columns: list[Variable]
     imputations: int = 1
 
     def width(self, target: int) -> int:
@@ -262,7 +262,7 @@ def fit_column(state: DataFrame, design: Design, models: list[Fitted], target: i
 
 # --------------------------------------------------------------------------- the chain
 
-def describe(df: DataFrame, cols: Sequence[str], codes: Sequence[str]) -> tuple[list[Column_], dict[str, float]]:
+def describe(df: DataFrame, cols: Sequence[str], codes: Sequence[str]) -> tuple[list[Variable], dict[str, float]]:
     """The columns' levels or scales, and their share of missing cells. Columns without a value are left out."""
     codes = [c for c in cols if c in set(codes)]
     numbers = [c for c in cols if c not in codes]
@@ -277,11 +277,11 @@ def describe(df: DataFrame, cols: Sequence[str], codes: Sequence[str]) -> tuple[
             levels = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(MAX_LEVELS + 1).collect()]
             if len(levels) > MAX_LEVELS:
                 raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-            out.append(Column_(c, levels))
+            out.append(Variable(c, levels))
         else:
             sd = row[f"sd_{c}"] or 1.0
             mean = row[f"mean_{c}"]
-            out.append(Column_(c, None, mean, sd, (row[f"lo_{c}"] - mean) / sd, (row[f"hi_{c}"] - mean) / sd))
+            out.append(Variable(c, None, mean, sd, (row[f"lo_{c}"] - mean) / sd, (row[f"hi_{c}"] - mean) / sd))
     return out, missing
 
 

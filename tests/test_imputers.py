@@ -92,7 +92,7 @@ def test_mice_votes_match_donors_and_cover(spark):
 
 
 def test_votes_are_codes_somebody_drew(spark):
-    design = equations.Design([equations.Column_("c", [3, 5, 9])], 5)
+    design = equations.Design([equations.Variable("c", [3, 5, 9])], 5)
     state = spark.createDataFrame([(1, 1, [None], [0.0, 0.0, 0.0, 2.0, 2.0]), (2, 2, [None], [2.0, 1.0, 1.0, 2.0, 0.0])], "key long, kh long, obs array<double>, cur array<double>")
     df = spark.createDataFrame([(1, None), (2, None)], "row_id long, c int")
     out = equations._finished(df, "row_id", state, design, [0]).orderBy("row_id").collect()
@@ -134,7 +134,7 @@ def test_race_and_choice(spark):
     assert {r.column for r in report.collect()} == {"colour", "y"}
     chooser = chained.Chooser({"a": ("linear", {})}, 0, settled=2)
     chooser.wins[3], chooser.scores[3] = ["a", "a"], [0.5, 0.5]
-    assert chooser(None, [equations.Column_("p")] * 4, 3, 7) == ("linear", {}) and chooser.table == [("p", 7, "a", 0, 0, None, True)]
+    assert chooser(None, [equations.Variable("p")] * 4, 3, 7) == ("linear", {}) and chooser.table == [("p", 7, "a", 0, 0, None, True)]
 
 
 def test_missforest_stops_by_itself(spark):

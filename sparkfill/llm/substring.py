@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfill.llm.text import hex_sha256, ngram_hashes, slices, space_words, text_key, word_hashes
-from sparkfill.session import shared_path
+from sparkfill.llm.text import hashed_words, hex_sha256, ngram_hashes, slices, space_words, text_key
+from sparkfill.session import broadcast_checked, shared_path
 
 #: Words of an anchor.
 K = 8
@@ -78,12 +78,13 @@ def _find_anchors(window: int, k: int):
     def find(batches):
         for batch in slices(batches):
             count, full, places, values = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = space_words(text)
-                hashes = word_hashes(words)
+            texts = batch.column("text").to_pylist()
+            flat, begins = hashed_words(texts)
+            for text, a, b in zip(texts, begins.tolist(), begins[1:].tolist(), strict=False):
+                hashes = flat[a:b]
                 at = anchors(hashes, window, k)
-                count.append(len(words))
-                full.append(hex_sha256(b" ".join(words)))
+                count.append(b - a)
+                full.append(hex_sha256(b" ".join(space_words(text))))
                 places.append(at.astype(np.int32))
                 values.append(ngram_hashes(hashes, k)[at].view(np.int64) if len(at) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([
@@ -216,7 +217,9 @@ def _locate(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def table(spans):
-        return pa.RecordBatch.from_pylist([{"doc_id": d[0], "text_key": d[1], "start": a, "stop": b} for d, a, b in spans], schema=schema)
+        docs, starts, stops = zip(*spans, strict=True) if spans else ((), (), ())
+        cols = [[d[0] for d in docs], [d[1] for d in docs], starts, stops]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def locate(batches):
         shard, held, key, out = _Shard(window), [], None, []
@@ -299,7 +302,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = K, hot: int = HOT
 
     each = found.select("doc_id", "text_key", F.explode(F.arrays_zip("at", "anchor")).alias("a")).select("doc_id", "text_key", "a.at", "a.anchor")
     often = found.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("anchor").alias("n")).where("n > 1")
-    recurring = each.join(often, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "anchor", "n")).alias("recurring"))  # of one document
+    often = _written(often, "often")
+    many = broadcast_checked(often.where(F.col("n") > hot))  # a hot anchor's rows must not meet in one task
+    rest = each.join(many.select("anchor"), "anchor", "left_anti").join(often.where(F.col("n") <= hot), "anchor")
+    recurring = each.join(many, "anchor").union(rest).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "anchor", "n")).alias("recurring"))  # of one document
     r = recurring.withColumnsRenamed({"doc_id": "r_id", "text_key": "r_key"})
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key"))
     suspects = _written(own.join(r, same).drop("r_id", "r_key"), "suspects")

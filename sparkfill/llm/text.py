@@ -95,6 +95,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, one after another, and where each text's begin.
+
+    Each distinct word of the batch is hashed once."""
+    words, which, begins = distinct([pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.string()))])
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    real = np.fromiter(map(bool, words), bool, len(words))[which]  # white space at an end leaves an empty string
+    return hashes[which[real]], np.concatenate([[0], np.cumsum(real)])[begins]
+
+
 def ngram_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A hash of each run of ``n`` consecutive hashes; none if there are fewer than ``n``."""
     m = len(hashes) - n + 1

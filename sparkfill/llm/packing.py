@@ -100,23 +100,23 @@ def _options(place: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, bins, back
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = 24) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Moves and exchanges between bins that are not full, to empty the emptiest ones.
 
     The emptiest bin gives: a piece moves to another bin that has room for it, or is
     exchanged for a shorter piece there, or for two that are shorter together; the change
     that raises the sum of squared fills most for that piece is made. A bin from which
     nothing can be given any more is left as it is; the search ends when the other bins
-    have less room than the emptiest holds, or after ``patience`` bins in turn that
-    could not be emptied.
+    have less room than the emptiest holds, or when no bin can give anything. Every change
+    raises the sum, so it ends.
     """
     place = np.full(len(lengths), -1)
     fill = np.array([lengths[b].sum() for b in bins], np.int64)
     for k, members in enumerate(bins):
         if fill[k] < capacity:
             place[members] = k
-    stuck, failures = np.zeros(len(bins), bool), 0
-    while failures < patience:
+    stuck = np.zeros(len(bins), bool)
+    while True:
         live = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
         if not len(live):
             break
@@ -141,11 +141,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, pati
             fill[giver] -= g
             room[taker] = 0  # its pieces have changed; it takes again in the next turn
             given = True
-        if fill[giver] == 0:
-            failures = 0
-        elif not given:
+        if fill[giver] and not given:
             stuck[giver] = True
-            failures += 1
     full = [members for k, members in enumerate(bins) if fill[k] == capacity and place[members[0]] < 0]
     order = np.argsort(place, kind="stable")
     order = order[place[order] >= 0]

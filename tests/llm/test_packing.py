@@ -58,3 +58,12 @@ def test_local_search_raises_fill():
         assert max(lengths[b].sum() for b in better) <= 2048 and len(better) <= len(bins)
     lengths = rng.integers(600, 1100, 1500)
     assert len(packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)) < len(packing.best_fit(lengths, 2048))
+
+
+def test_search_goes_on_until_no_bin_can_give():
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(501, 1100, 600)
+    bins = packing.best_fit(lengths, 2048)
+    packed = packing.local_search(bins, lengths, 2048)
+    assert sorted(i for b in packed for i in b) == list(range(600)) and all(lengths[b].sum() <= 2048 for b in packed)
+    assert -(-lengths.sum() // 2048) <= len(packed) < len(bins)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfill.llm.graph import connected_components
-from sparkfill.llm.text import mix, ngram_hashes, slices, space_words, text_key, word_hashes
+from sparkfill.llm.text import hashed_words, mix, ngram_hashes, slices, space_words, text_key, word_hashes
 from sparkfill.session import shared_path
 
 #: Representatives in a block; two blocks at most meet in a task's memory.
@@ -64,8 +64,9 @@ def _signer(n: int, bands: int, rows: int):
     def sign(batches):
         for batch in slices(batches):
             fps, out = [], []
-            for text in batch.column("text").to_pylist():
-                grams = gram_set(text, n)
+            flat, begins = hashed_words(batch.column("text").to_pylist())
+            for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False):
+                grams = np.unique(ngram_hashes(flat[a:b], min(n, b - a) or 1))
                 # order-free digest of the set, 128 bits
                 digest = np.array([len(grams), (mix(grams).sum() if len(grams) else 0), np.bitwise_xor.reduce(mix(grams + np.uint64(1))) if len(grams) else 0], np.uint64)
                 fps.append(mix(digest[1:] + digest[0]).tobytes())

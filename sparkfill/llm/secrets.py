@@ -1,17 +1,19 @@
 """Operator 6, secret scans: a trigram index picks candidates, the regular expressions verify them.
 
-Each rule's expression gives a Boolean query over trigrams that any match must hold: the
-trigrams of a literal all (AND), those of the alternatives in turn (OR). The inverted index
+Each rule's expression gives a Boolean query over trigrams that any match must hold, derived from
+its parse tree (``trigrams.py``): any of some lists, each with all its trigrams. The inverted index
 holds, for each trigram that some rule asks for, the documents whose lower-cased text has
-it. Intersecting the postings of a literal and uniting those of the alternatives leaves the
-rule's candidates, and only they are matched. A rule whose expression has no literal of
-three characters, such as a run of hexadecimal digits, has no mandatory trigram and scans
-every document.
+it. Intersecting the postings of a list and uniting those of the lists leaves the
+rule's candidates, and only they are matched. A rule without a mandatory trigram, such as a run
+of hexadecimal digits, scans every document.
 
 Everything is DataFrame functions. Positions come from cutting a text at the same matches
-that are extracted: what lies between them adds up to where each begins, in code points.
+that are extracted: what lies between them adds up to where each begins, in code points. The sums
+of the first 1, 2, 4, 8, ... lengths before each give them in ``n log n`` steps for ``n`` matches, so a
+very long text of many matches is no quadratic work.
 
-Defined results: a null or empty text has no spans; rows of one id and text share a posting
+Defined results: a null or empty text has no spans; a text of any length is searched whole; matches of
+two rules at one place are both spans, in the order of the rules; rows of one id and text share a posting
 and each get the spans; a null id stays null; an empty table gives an empty table. Other
 columns of the input are neither read nor returned by ``find_secrets``; ``redact`` keeps them.
 """
@@ -23,48 +25,43 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkfill.llm import trigrams
 from sparkfill.llm.text import text_key
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: the alternatives of which a match holds one, lower case; none if unknown.
-
-    ``group`` of the match has ``least`` characters or more; shorter matches are dropped.
-    """
+    """``group`` of the match has ``least`` characters or more; shorter matches are dropped."""
 
     kind: str
     regex: str
-    literals: tuple[str, ...] = ()
     group: int = 0
     least: int = 0
 
 
 #: Fixed values of the contract. Runs are cut to their least length where that drops the same matches.
 BASE_RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-         ("password", "passwd", "secret", "token", "apikey", "api_key"), 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]{16,}", ("akia",)),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 #: What the index makes cheap to look for besides: rules with rare mandatory trigrams.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key-----",)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
 
-def trigrams(literal: str) -> list[str]:
-    return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
+#: Trigrams of one number of the bit mask.
+MASK_BITS = 63
 
 
 def trigram_query(rule: Rule) -> list[list[str]]:
     """Any of these lists has all its trigrams in a match; empty if no trigram is mandatory."""
-    query = [trigrams(x) for x in rule.literals]
-    return query if query and all(query) else []
+    return trigrams.trigram_query(rule.regex)
 
 
 def _folded(text: Column) -> Column:
@@ -82,33 +79,42 @@ def inverted_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id, text_key`` with a flag ``may_<kind>`` for each rule with a trigram query.
+    """``doc_id, text_key, may``: the kinds of the rules with a trigram query that a text meets.
 
-    Postings are intersected by document: a set of wanted trigrams is a bit mask, which is
-    united with partial aggregation, so a document's postings meet as one number.
+    Postings are intersected by document: a set of wanted trigrams is a bit mask, in as many
+    numbers as the rules need, which are united with partial aggregation, so a document's
+    postings meet as a few numbers.
     """
     indexed = [r for r in rules if trigram_query(r)]
     wanted = sorted({t for r in indexed for q in trigram_query(r) for t in q})
-    if len(wanted) > 63:
-        raise ValueError("more than 63 mandatory trigrams; look for fewer rules at once")
-    bit = {t: 1 << i for i, t in enumerate(wanted)}
-    mask = F.lit(0).cast("long")
-    for t in wanted:
-        mask = F.when(F.col("trigram") == t, F.lit(bit[t])).otherwise(mask)
-    held = postings.groupBy("doc_id", "text_key").agg(F.bit_or(mask).alias("held"))
+    parts = [wanted[i : i + MASK_BITS] for i in range(0, len(wanted), MASK_BITS)]
+
+    def bits(part: list[str]) -> Column:
+        of = F
+        for i, t in enumerate(part):
+            of = of.when(F.col("trigram") == t, F.lit(1 << i).cast("long"))
+        return F.bit_or(of.otherwise(F.lit(0).cast("long")))
+
+    if not parts:
+        return postings.select("doc_id", "text_key", F.expr("cast(array() as array<string>)").alias("may")).limit(0)
+    held = postings.groupBy("doc_id", "text_key").agg(*(bits(part).alias(f"held_{n}") for n, part in enumerate(parts)))
+
+    def has(q: list[str]) -> Column:
+        out = F.lit(True)
+        for n, part in enumerate(parts):
+            need = F.lit(sum(1 << i for i, t in enumerate(part) if t in q)).cast("long")
+            out = out & (F.col(f"held_{n}").bitwiseAND(need) == need)
+        return out
 
     def may(rule: Rule) -> Column:
         out = F.lit(False)
         for q in trigram_query(rule):
-            need = F.lit(sum(bit[t] for t in q)).cast("long")
-            out = out | (F.col("held").bitwiseAND(need) == need)
+            out = out | has(q)
         return out
 
-    flags = held.select("doc_id", "text_key", *(may(r).alias(f"may_{r.kind}") for r in indexed))
-    any_ = F.lit(False)
-    for r in indexed:
-        any_ = any_ | F.col(f"may_{r.kind}")
-    return flags.where(any_)
+    # one column for all rules: with one for each, the optimizer derives conditions for all sets of rules
+    kinds = F.filter(F.array(*(F.when(may(r), F.lit(r.kind)) for r in indexed)), lambda k: k.isNotNull())
+    return held.select("doc_id", "text_key", kinds.alias("may")).where(F.size("may") > 0)
 
 
 def _matches(text: Column, rule: Rule, rank: int) -> Column:
@@ -117,31 +123,37 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
     parts = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else whole
     rows = F.arrays_zip(whole.alias("m"), F.slice(between, 1, F.size(whole)).alias("b"), parts.alias("g"))
     kind = F.lit(rule.kind)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, rank: int, stop: int, kind: string>>)").alias("out"))
+    # ``stop``: first the length from the match before to this one's end, then sums of 2, 4, 8, ... of them
+    lengths = F.transform(rows, lambda r: F.struct(
+        (F.char_length(r["b"]) + F.char_length(r["m"])).alias("stop"), F.char_length(r["m"]).alias("own"), F.char_length(r["g"]).alias("part")))
+    doublings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(whole) + F.lit(1))).cast("int"))
+
+    def add(acc: Column, step: Column) -> Column:
+        far = F.pow(F.lit(2), step).cast("int")
+        nothing = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("own"), F.lit(0).alias("part"))
+        before = F.slice(F.concat(F.array_repeat(nothing, far), acc), F.lit(1), F.size(acc))
+        return F.zip_with(acc, before, lambda x, y: F.struct((x["stop"] + y["stop"]).alias("stop"), x["own"].alias("own"), x["part"].alias("part")))
 
-    def add(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.char_length(row["b"])
-        stop = start + F.char_length(row["m"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), kind.alias("kind"))
-        kept = F.when(F.char_length(row["g"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), kept.alias("out"))
+    def spans(acc: Column) -> Column:
+        kept = F.filter(acc, lambda r: r["part"] >= rule.least)
+        return F.transform(kept, lambda r: F.struct(
+            (r["stop"] - r["own"]).alias("start"), F.lit(rank).alias("rank"), r["stop"].alias("stop"), kind.alias("kind")))
 
-    return F.aggregate(rows, zero, add, lambda acc: acc["out"])
+    return F.aggregate(doublings, lengths, add, spans)
 
 
 def _with_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``docs``, which has ``doc_id, text``, with ``spans`` of all rules in order."""
     none = F.expr("cast(array() as array<struct<start: int, rank: int, stop: int, kind: string>>)")
-    flags = candidates(inverted_index(docs, rules), rules)
-    flags = flags.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), *(c for c in flags.columns if c.startswith("may_")))
+    flags = candidates(inverted_index(docs, rules), rules).withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"})
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (text_key(F.col("text")) == F.col("c_key"))
-    out = docs.join(flags, same, "left") if any(map(trigram_query, rules)) else docs
+    out = docs.join(flags, same, "left")
     found = []
     for rank, rule in enumerate(rules):
-        may = F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)) if trigram_query(rule) else F.lit(True)
+        may = F.coalesce(F.array_contains("may", rule.kind), F.lit(False)) if trigram_query(rule) else F.lit(True)
         # most candidates have no match: a test that stops at the first is cheaper than the spans
         found.append(F.when(may & F.col("text").rlike(rule.regex), _matches(F.col("text"), rule, rank)).otherwise(none))
-    return out.withColumn("spans", F.array_sort(F.flatten(F.array(*found)))).drop("c_id", "c_key", *(c for c in flags.columns if c.startswith("may_")))
+    return out.withColumn("spans", F.array_sort(F.flatten(F.array(*found)))).drop("c_id", "c_key", "may")
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

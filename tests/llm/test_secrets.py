@@ -1,8 +1,11 @@
 import hashlib
 import re
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm.conftest import ODD_TEXTS  # noqa: F401
-from sparkfill.llm import secrets
+from sparkfill.llm import secrets, trigrams
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -45,6 +48,58 @@ def test_trigram_query():
     assert ["api", "ike", "key", "pik"] in secrets.trigram_query(secrets.BASE_RULES[0])
 
 
+def holds(query, text):
+    return not query or any(all(t in text for t in q) for q in query)
+
+
+PIECES = st.sampled_from(["abc", "K", "x?", "[pq]", "[a-z0-9]", ".", "yz+", "(ab|cde|f)", "(?:key|tok_en){2}", "(ab){1,3}", "[xY]{4,}", "(?i:SeC)", "-{0,2}", "(lo|ng)*", r"\x41\.", "^", "(?=ab)"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data(), st.lists(PIECES, min_size=1, max_size=6))
+def test_every_match_of_an_expression_holds_its_trigrams(data, pieces):
+    regex = "".join(pieces)
+    text = data.draw(st.from_regex(regex))
+    found = re.search(regex, text)
+    if found and text.isascii():
+        assert holds(trigrams.trigram_query(regex), trigrams.fold(text[found.start():])), (regex, text)
+
+
+def test_trigrams_of_expressions():
+    assert trigrams.trigram_query("a(bc|de)f") == [["abc", "bcf"], ["ade", "def"]]
+    assert trigrams.trigram_query("(abc)?def") == [["def"]]
+    assert trigrams.trigram_query("AB[0-9]+cde") == [["cde"]]
+    assert trigrams.trigram_query("x{5}") == [["xxx"]]
+    for nothing in ("(abc|x)y", "ab[^c]cd", "(?x)abc", "[a&&b]abc", r"\p{L}abc", r"a\vbcd", "(?iu)key", "(", ""):
+        assert trigrams.trigram_query(nothing) == [], nothing
+
+
+def test_a_changed_expression_loses_no_match(make_docs):
+    texts = ["my pin=1234", "my pwd=1234", "PASSPHRASE=1234", "password=1234", "nothing=1234", None]
+    rules = (secrets.Rule("login", r"(?i:pwd|pin|passphrase|password)=[0-9]{4}"),)
+    got = {r.doc_id: len(r.spans) for r in secrets.find_secrets(make_docs(texts), rules).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_more_trigrams_than_a_number_has_bits(make_docs):
+    words = ["".join(chr(97 + (i * 7 + j * j + i * j) % 26) for j in range(9)) for i in range(40)]
+    rules = tuple(secrets.Rule(f"w{i}", w) for i, w in enumerate(words))
+    assert len({t for r in rules for q in secrets.trigram_query(r) for t in q}) > 2 * secrets.MASK_BITS
+    texts = [f"so {w} it {words[0]}" for w in words] + ["so it"]
+    for r in secrets.find_secrets(make_docs(texts), rules).collect():
+        want = {(m.start(), m.end(), f"w{i}") for i, w in enumerate(words) for m in re.finditer(w, texts[r.doc_id])}
+        assert {(s.start, s.stop, s.kind) for s in r.spans} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 40000])
+def test_many_matches_in_one_text(make_docs, n):
+    text = "é" + "token=abcdef😀 short: token=abc " * n
+    r = secrets.digest(secrets.find_secrets(make_docs([text]))).first()
+    want = base(text)
+    assert r.n_assign == n == len(want)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+
+
 def test_repeated_rows_null_ids_and_empty(make_docs):
     docs = make_docs([(1, "token=abcdef"), (1, "token=abcdef"), (1, "clean"), (None, "secret=abcdef"), (None, None)])
     assert sorted(len(r.spans) for r in secrets.find_secrets(docs).collect()) == [0, 0, 1, 1, 1]

@@ -1,4 +1,4 @@
-"""Synthetic data and its evaluation.
+"""Synthetic data and its evaluation (J1-J7, J9-J11; learned tables, J8, are in ``copula.py``).
 
 Generators are column expressions over a key column: every draw is a seeded hash
 of (seed, key), so a row's values do not depend on partitioning, and the row set
@@ -169,68 +169,6 @@ def sample_twin(base: DataFrame, key: str, params: dict, seed: str = "twin") ->
     return base.select(k.alias(key), *cols)
 
 
-# --------------------------------------------------------------------------- Gaussian copula
-
-def _phi(z: Column) -> Column:
-    """Standard normal CDF (Abramowitz-Stegun 7.1.26 on erf, |error| < 1.5e-7)."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1.0 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1.0 + erf)).otherwise(0.5 * (1.0 - erf))
-
-
-GRID = 100
-
-
-def fit_copula(real: DataFrame, numeric: Sequence[str], key: str) -> dict:
-    """Quantile grid per column and the correlation of normal scores (from Spearman's rho)."""
-    import numpy as np
-    from sparkfill.functions.scalars import long_values
-    lv = long_values(real, [], numeric).where(F.col("value").isNotNull())
-    names = [f"g{i}" for i in range(GRID + 1)]
-    q = exact_quantiles(lv, "column", "value", [i / GRID for i in range(GRID + 1)], names).collect()
-    grids = {r["column"]: [r[n] for n in names] for r in q}
-    # Spearman rho on average ranks: ranks by dense position over distinct values with counts
-    ranked = real.select(key, *numeric)
-    for c in numeric:
-        cnt = real.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        from sparkfill.functions.ordered import cumulative
-        cum = cumulative(cnt.withColumn("__x", F.col(c).cast("double")), [], "__x", "__n")
-        rk = cum.select(F.col(c), ((F.col("cum_start") + F.col("cum_end") + 1) / 2.0).alias(f"__r_{c}"))
-        ranked = ranked.join(broadcast_checked(rk, 5_000_000), c, "left")
-    rc = [f"__r_{c}" for c in numeric]
-    comp = ranked.select(*rc).na.drop()
-    corr = comp.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(rc) for j, b in enumerate(rc) if i < j]).first()
-    d = len(numeric)
-    m = np.eye(d)
-    for i in range(d):
-        for j in range(i + 1, d):
-            rho = corr[f"{i}_{j}"] or 0.0
-            m[i, j] = m[j, i] = 2 * math.sin(math.pi * rho / 6)
-    w, v = np.linalg.eigh(m)                     # nearest PSD, then Cholesky
-    m = (v * np.clip(w, 1e-9, None)) @ v.T
-    chol = np.linalg.cholesky(m)
-    return {"columns": list(numeric), "grids": grids, "chol": chol.tolist()}
-
-
-def sample_copula(base: DataFrame, key: str, model: dict, seed: str = "copula") -> DataFrame:
-    """One synthetic record per key of ``base``: correlated normals -> uniforms -> grid lookup."""
-    k = F.col(key)
-    cols = model["columns"]
-    z = [normal(f"{seed}:{i}", k) for i in range(len(cols))]
-    out = [k.alias(key)]
-    for i, c in enumerate(cols):
-        zi = sum((F.lit(model["chol"][i][j]) * z[j] for j in range(i + 1)), F.lit(0.0))
-        uu = _phi(zi) * GRID
-        lo = F.least(F.floor(uu), F.lit(GRID - 1)).cast("int")
-        grid = F.array(*[F.lit(float(g)) for g in model["grids"][c]])
-        a = F.element_at(grid, lo + 1)
-        b = F.element_at(grid, lo + 2)
-        out.append((a + (uu - lo) * (b - a)).alias(c))
-    return base.select(*out)
-
-
 # --------------------------------------------------------------------------- quality
 
 def validate_table(real: DataFrame, synth: DataFrame, key: str, numeric: Sequence[str],

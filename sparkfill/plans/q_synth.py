@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkfill.functions.hashing import sql_normal, sql_u
 from sparkfill.functions.scalars import round_doubles
-from sparkfill.operators import synth
+from sparkfill.operators import copula, synth
 from sparkfill.plans.catalog import query
 from sparkfill.plans.records import records, truth_view, with_rec
 from sparkfill.session import read_table
@@ -125,11 +125,25 @@ def q_generate_table(spark, sf):
     return synth.generate_table(_keys(spark, sf), "row_id")
 
 
+# ---- learned from rec, nulls and all ----
+LEARN_NUM = ["acct", "n_items", "qty", "price", "weight"]
+LEARN_CAT = ["district", "area", "seg", "prio", "flag"]
+
+
+def _learned(spark, sf):
+    real = records(spark, sf).select("row_id", *LEARN_NUM, *LEARN_CAT)
+    return real, copula.fit(real, LEARN_NUM, LEARN_CAT)
+
+
 @query("fit_sample_synthesizer")
 def q_fit_sample_synthesizer(spark, sf):
-    real = truth_view(records(spark, sf)).select("row_id", "qty", "price", "weight", "acct")
-    model = synth.fit_copula(real, ["qty", "price", "weight", "acct"], "row_id")
-    return round_doubles(synth.sample_copula(real.select("row_id"), "row_id", model))
+    real, model = _learned(spark, sf)
+    return round_doubles(copula.sample(spark, model, real.count()))
+
+
+@query("synthesizer_parameters")
+def q_synthesizer_parameters(spark, sf):
+    return round_doubles(copula.parameters(spark, _learned(spark, sf)[1]))
 
 
 # ---- real (truth of rec) versus its parametric twin ----

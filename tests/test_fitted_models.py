@@ -1,7 +1,7 @@
-"""Fitted models against closed forms: PCA by an eigen-solve, stackers by least squares and by their own leaves' means."""
+"""Fitted models against closed forms and plain loops: PCA, stackers, the elastic net with cross-validation."""
 import numpy as np
 import pytest
-from sparkfill.operators import cluster, stack
+from sparkfill.operators import cluster, select, stack
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +50,42 @@ def test_tree_stacker_answers_the_means_of_its_leaves(table, numbers):
     assert all(abs(np.mean(v) - pred[k]) < 1e-9 for k, v in leaves.items())
     shares = {r.column: r.importance for r in stack.model_importances(model, ["a", "b", "c"], table.sparkSession).collect()}
     assert abs(sum(shares.values()) - 1) < 1e-9 and max(shares, key=shares.get) == "a"
+
+
+def _plain_elastic_net(x, y, alpha, l1, w):
+    """Coordinate descent on the rows themselves, from ``w``."""
+    x, y = x - x.mean(0), y - y.mean()
+    w, n = w.copy(), len(y)
+    for _ in range(1000):
+        before = w.copy()
+        for j in range(x.shape[1]):
+            part = x[:, j] @ (y - x @ w + x[:, j] * w[j]) / n
+            w[j] = np.sign(part) * max(abs(part) - alpha * l1, 0) / (x[:, j] @ x[:, j] / n + alpha * (1 - l1))
+        if np.abs(w - before).max() <= 1e-4 * np.abs(w).max():
+            break
+    return w
+
+
+def test_elastic_net_from_sums_equals_the_plain_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4))
+    y = 2 * x[:, 0] - x[:, 2] + rng.normal(scale=0.5, size=120)
+    rows = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))],
+                                 "row_id long, a double, b double, c double, d double, y double")
+    folded = select.contiguous_folds(rows, "row_id", 5)
+    fold = np.arange(120) // 24
+    assert [r.fold for r in folded.orderBy("row_id").collect()] == fold.tolist()
+    got = select.elastic_net_path(select.gram_sums(folded, "fold", ["a", "b", "c", "d", "y"]), n_alphas=30)
+    top = np.abs((x - x.mean(0)).T @ (y - y.mean())).max() / (120 * 0.5)
+    alphas, mse = top * np.logspace(0, -3, 30), np.zeros(30)
+    for f in range(5):
+        w, train = np.zeros(4), fold != f
+        for i, a in enumerate(alphas):
+            w = _plain_elastic_net(x[train], y[train], a, 0.5, w)
+            guess = y[train].mean() + (x[~train] - x[train].mean(0)) @ w
+            mse[i] += ((y[~train] - guess) ** 2).mean() / 5
+    assert np.allclose(got["mse"], mse, atol=1e-6) and np.isclose(got["alpha"], alphas[mse.argmin()])
+    w = np.zeros(4)
+    for a in alphas[: mse.argmin() + 1]:
+        w = _plain_elastic_net(x, y, a, 0.5, w)
+    assert np.allclose(got["coef"], w, atol=1e-6)

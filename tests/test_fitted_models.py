@@ -89,3 +89,21 @@ def test_elastic_net_from_sums_equals_the_plain_one(spark):
     for a in alphas[: mse.argmin() + 1]:
         w = _plain_elastic_net(x, y, a, 0.5, w)
     assert np.allclose(got["coef"], w, atol=1e-6)
+
+
+def test_sql_of_the_selection_follows_the_elastic_net(spark):
+    import duckdb
+    from sparkfill.operators import select
+    from sparkfill.plans.q_models import elastic_net_ctes
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    y = 3 * x[:, 1] - x[:, 0] + rng.normal(0, 0.5, 300)
+    rows = [(i, *map(float, r), None if i % 7 == 0 else float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, y double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE rec (row_id BIGINT, a DOUBLE, b DOUBLE, c DOUBLE, y DOUBLE)")
+    con.executemany("INSERT INTO rec VALUES (?, ?, ?, ?, ?)", rows)
+    weights = con.execute("WITH " + ",\n".join(elastic_net_ctes(["a", "b", "c"], "y")) + " SELECT * FROM en_sel").fetchone()
+    selected, rank = select.select_elasticnet(df, "row_id", "y", ["a", "b", "c"])
+    assert {"a", "b"} <= set(selected) == {c for c, w in zip("abc", weights, strict=True) if w != 0}
+    assert np.allclose([r.weight for r in rank.orderBy("column").collect()], np.abs(weights), atol=1e-9)

@@ -69,3 +69,35 @@ def test_units_do_not_matter_and_rounds_are_told(spark):
         assert max(abs(x[i] - y[i] * 1e6) for i in x) < 1e-3
         told, told2 = report.collect(), other.collect()
         assert len(told) == len(told2) and told[-1].converged and not any(r.converged for r in told[:-1])
+
+
+def test_softimpute_writes_the_table_once_and_follows_the_plain_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 1)) @ rng.normal(size=(1, 4)) * 3 + rng.normal(size=(200, 4)) + 10
+    gone = rng.random(x.shape) < 0.2
+    rows = [(i, *(None if g else float(v) for v, g in zip(r, m, strict=True))) for i, (r, m) in enumerate(zip(x, gone, strict=True))]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, d double")
+    written = []
+    cut = lowrank.cut_lineage
+    monkeypatch.setattr(lowrank, "cut_lineage", lambda t: written.append(1) or cut(t))
+    out, report = lowrank.softimpute_fit(df, list("abcd"), tol=1e-6)
+    got = np.array([r[1:] for r in sorted(out.collect())])
+    assert len(written) == 1
+    seen = np.where(gone, np.nan, x)
+    mu, sd = np.nanmean(seen, axis=0), np.nanstd(seen, axis=0, ddof=1)
+    z, lam, changes = np.where(gone, 0, (x - mu) / sd), None, []
+    for _ in range(100):
+        w, v = np.linalg.eigh(z.T @ z)
+        sv = np.sqrt(w)
+        lam = sv.max() / 50 if lam is None else lam
+        new = np.where(gone, z @ (v @ np.diag(np.clip(sv - lam, 0, None) / sv) @ v.T), z)
+        changes.append(np.abs(new - z).sum() / gone.sum())
+        z = new
+        if changes[-1] < 1e-6:
+            break
+    assert np.allclose([r.change for r in report.orderBy("round").collect()], changes, rtol=1e-6, atol=1e-12)
+    assert np.allclose(got, z * sd + mu)
+    monkeypatch.setattr(lowrank, "MAX_PATTERNS", 3)
+    rows_way, report = lowrank.softimpute_fit(df, list("abcd"), max_rounds=3)
+    assert np.allclose([r.change for r in report.orderBy("round").collect()], changes[:3])
+    assert [r.row_id for r in rows_way.orderBy("row_id").collect()] == list(range(200))

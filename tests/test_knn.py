@@ -86,6 +86,18 @@ def test_far_blocks_are_left_out(spark):
     assert far["compared"] < 0.6 * far["possible"]
 
 
+def test_few_candidates_are_compared_among_records_with_categories(spark):
+    rng = random.Random(4)
+    rows = [(i, *(rng.random() * 10 for _ in range(2)), rng.choice("abcd"), None if i % 11 == 0 else rng.choice("mnop"), None if i % 5 == 0 else i) for i in range(6000)]
+    rows.append((9000, 500.0, 1.0, "a", "m", None))  # beyond the range of all candidates
+    df = spark.createDataFrame(rows, "row_id long, x double, z double, c string, g string, t int")
+    for far in (False, True):
+        counts = {}
+        got = distance.gower_neighbours(df, df.where("t is null"), "row_id", "t", ["x", "z"], ["c", "g"], 5, far=far, counts=counts)
+        assert got.count() == 5 * 1201
+        assert counts["compared"] < 0.12 * counts["possible"]
+
+
 def vectors(n, dims, clusters, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(0, 20, (clusters, dims))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sparkfill.operators import sampling, score
 from sparkfill.operators.cluster import assemble
 from sparkfill.operators.impute import strategies
+from sparkfill.session import cut_lineage
 
 STRATEGY_SUFFIXES = ("_imputed_full", "_imputed_full_selected", "_imputed_cluster")
 
@@ -76,7 +77,7 @@ def impute_ensemble(df: DataFrame, truth: DataFrame, key: str, target: str, feat
         strat = strategies.impute_three_ways(masked, key, target, features, cluster_labels, selected, method,
                                              round_codes=categorical)
         lab = strat.join(hidden, key).join(truth.select(key, F.col(target).cast("double").alias("__truth")), key)
-        lab = sampling.train_test_split(lab, 0.2, f"stack{sim}", key)
+        lab = cut_lineage(sampling.train_test_split(lab, 0.2, f"stack{sim}", key))  # read by the fit and by every model's score
         tr = lab.where(F.col("is_test") == 0)
         if categorical:
             tr = sampling.undersample(tr, "__truth", f"under{sim}", key)

@@ -52,7 +52,7 @@ SHARD_TOKENS = 1 << 24
 #: Bytes of text a file is meant for.
 FILE_BYTES = 32 << 20
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 8_000_000
+ENCODE_BYTES = 6_000_000
 #: Bits between two stored ranks.
 STEP = 512
 
@@ -98,7 +98,7 @@ class WordEncoder:
         """The ids of the words, one after another, and where each begins."""
         quick = np.array([bool(self.quick) and (w.isascii() and w.isprintable() and "<" not in w or bool(_PLAIN.fullmatch(w))) for w in words], bool)
         marked = _PIECE.sub(r"\1" + _MARK, _BREAK.join([*(w for w, q in zip(words, quick, strict=True) if q), ""]).lower())
-        ranks = np.array(self.quick.encode_ordinary(marked) if quick.any() else [], np.int64)
+        ranks = self.quick.encode_to_numpy(marked) if quick.any() else np.empty(0, np.uint32)  # there are no special tokens
         ends = np.flatnonzero(ranks == ord(_BREAK))
         ids = self.of_rank[ranks[ranks != ord(_BREAK)]] if quick.any() else np.empty(0, self.dtype)
         sizes = np.zeros(len(words), np.int64)
@@ -175,7 +175,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, ranks = [], [], []
         for level in range(bits):
-            ones = (ids >> ids.dtype.type(bits - 1 - level)).astype(np.uint8) & 1
+            ones = ((ids & ids.dtype.type(1 << (bits - 1 - level))) != 0).view(np.uint8)
             packed = np.packbits(ones, bitorder="little")
             count = np.bitwise_count(packed)
             padded = np.zeros(-(-len(packed) // (STEP // 8)) * (STEP // 8), np.uint8)
@@ -265,9 +265,10 @@ class WaveletMatrix:
         ids = np.zeros(self.n, dtype)
         for level in reversed(range(len(self.zeros))):
             high = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            ids[self.zeros[level] :] |= ids.dtype.type(1 << (len(self.zeros) - 1 - level))
             above = np.empty_like(ids)
-            above[~high] = ids[: self.zeros[level]]
-            above[high] = ids[self.zeros[level] :] | ids.dtype.type(1 << (len(self.zeros) - 1 - level))
+            above[high] = ids[self.zeros[level] :]
+            above[np.logical_not(high, out=high)] = ids[: self.zeros[level]]
             ids = above
         return ids
 
@@ -277,7 +278,9 @@ class WaveletMatrix:
 def _shard_rows(tokenizer: str, end_id: int, shard_tokens: int):
     def one(part: int, shard: int, doc_ids: list, ids: list[np.ndarray], bits: int) -> pa.RecordBatch:
         lengths = np.array([len(i) for i in ids], np.int64)
-        m = WaveletMatrix.build(np.concatenate(ids), bits)
+        flat = np.concatenate(ids)
+        ids.clear()  # not needed beside their copy
+        m = WaveletMatrix.build(flat, bits)
         row = [part, shard, m.n, doc_ids, (np.cumsum(lengths) - lengths).tolist(), m.zeros,
                [p.tobytes() for p in m.planes], [r.astype("<u4").tobytes() for r in m.ranks]]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SHARDS, strict=True)], schema=_SHARDS)
@@ -328,10 +331,13 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _each(rows: Iterator[pa.RecordBatch]):
+    """The rows, without their planes, and the matrices, whose planes stay where Arrow has them."""
     for batch in rows:
+        plain = batch.select([n for n in batch.schema.names if n not in ("planes", "ranks")])
         for i in range(batch.num_rows):
-            r = batch.slice(i, 1).to_pylist()[0]
-            yield r, WaveletMatrix(r["n_tokens"], r["zeros"], r["planes"], r["ranks"])
+            r = plain.slice(i, 1).to_pylist()[0]
+            planes, ranks = ([x.as_buffer() for x in batch.column(n)[i].values] for n in ("planes", "ranks"))
+            yield r, WaveletMatrix(r["n_tokens"], r["zeros"], planes, ranks)
 
 
 def _with_starts(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
@@ -345,9 +351,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def read(rows):
         for r, m in _each(rows):
-            ids = m.decode("<u4")
+            ids = m.decode("<u2" if len(m.zeros) <= 16 else "<u4")
             stops = [*r["starts"][1:], m.n]
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(r["starts"], stops, strict=True)]
+            crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(r["starts"], stops, strict=True)]
             n = len(crc)
             yield pa.RecordBatch.from_arrays([
                 pa.array([r["part"]] * n, pa.int64()), pa.array([r["shard"]] * n, pa.int64()), pa.array(r["doc_ids"], pa.int64()),

@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm.conftest import ODD_TEXTS
 from sparkfill.llm import wavelet
@@ -92,6 +94,25 @@ def test_very_long_text(spark, make_docs):
     check(spark, make_docs([(1, "before"), (2, long), (3, "after")]), [(1, "before"), (2, long), (3, "after")], shard_tokens=1000)
 
 
+def test_memory_of_a_shard():
+    """Encoding and reading hold a small multiple of a shard (12.8 bytes a byte of text before, and all planes copied)."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(350)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(texts), pa.array([0] * 4000, pa.int64())], names=["doc_id", "text", "part"])
+    wavelet.word_encoder(wavelet.DEFAULT)
+    tracemalloc.start()
+    try:
+        rows = list(wavelet._shard_rows(wavelet.DEFAULT, 1, wavelet.SHARD_TOKENS)([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 11 * sum(map(len, texts))
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        [(r, m)] = wavelet._each(rows)
+        assert r["doc_ids"] == list(range(4000)) and tracemalloc.get_traced_memory()[1] - before < m.n
+    finally:
+        tracemalloc.stop()
+
+
 def test_real_documents(spark, real_docs):
     rows = sorted((r.doc_id, r.text) for r in real_docs.collect())
     check(spark, real_docs, rows, file_bytes=20_000, shard_tokens=10_000)

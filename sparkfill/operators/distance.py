@@ -19,8 +19,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,8 +144,8 @@ def impute_nearest_code(df: DataFrame, key: str, block: str, code: str, numeric:
 
 # --------------------------------------------------------------------------- Gower k-NN
 
-#: Rows that meet in one task of the k-NN fill.
-KNN_BLOCK = 2048
+#: Rows of a block of the k-NN fill at most, about, and blocks of the like rows of a cluster, if these are no larger for it.
+KNN_BLOCK, KNN_CELLS = 2048, 500
 #: Candidates of a block, and of a cell of like records, about.
 RECORD_BLOCK, RECORD_CELL = 512, 128
 #: Cells of the records of one kind at most, and null patterns of the queries that are looked at kind by kind.
@@ -257,27 +255,6 @@ def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric:
 
 # --------------------------------------------------------------------------- k-NN fill inside clusters
 
-def _nearest_in_block(features: Sequence[str], k: int):
-    """The k nearest donors of a block for each row of a block: distances are one numpy matrix."""
-    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        don, rec = rows[rows["is_donor"]].sort_values("id"), rows[~rows["is_donor"]]
-        if not len(don) or not len(rec):
-            return pd.DataFrame({"id": [], "donor": [], "dist": []}).astype({"id": "int64", "donor": "int64", "dist": "float64"})
-        sq, present = np.zeros((len(rec), len(don))), np.zeros((len(rec), len(don)))
-        for f in features:
-            gap = rec[f].to_numpy(float)[:, None] - don[f].to_numpy(float)[None, :]
-            both = ~np.isnan(gap)
-            sq += np.where(both, gap, 0.0) ** 2
-            present += both
-        dist = np.where(present > 0, np.sqrt(sq * (len(features) / np.maximum(present, 1))), np.nan)
-        order = np.argsort(dist, axis=1, kind="stable")[:, :k]  # equal distances by donor, none last
-        top = np.take_along_axis(dist, order, axis=1)
-        out = pd.DataFrame({"id": np.repeat(rec["id"].to_numpy(), order.shape[1]), "donor": don["id"].to_numpy()[order].ravel(), "dist": top.ravel()})
-        return out[out["dist"].notna()]
-
-    return nearest
-
-
 def knn_fill(df: DataFrame, key: str, cluster: str | None, target: str, features: Sequence[str], k: int = 5,
              categorical: bool = False, only: Column | None = None) -> DataFrame:
     """Fill ``target`` from the k nearest donors of the same cluster, or of the table without ``cluster``
@@ -285,22 +262,23 @@ def knn_fill(df: DataFrame, key: str, cluster: str | None, target: str, features
     categorical target; no donor -> column mean, or mode (S18 knn). Rows without a cluster are
     a cluster of their own; every row stays. ``only`` restricts which rows are filled.
 
-    Exact for clusters of any size: donors and rows are dealt into blocks of about ``KNN_BLOCK``, any two
-    of a cluster meet in one task, and each task returns its k best for every row."""
+    Exact for clusters of any size (``operators/knn.py``): donors and rows are cut into blocks of like records of
+    about ``KNN_BLOCK`` at most, and only blocks meet that the ranges of their columns leave within reach."""
     wanted = F.col(target).isNull() & (only if only is not None else F.lit(True))
-    rows = df.select(F.col(key).cast("long").alias("id"), (F.col(cluster) if cluster else F.lit(None).cast("int")).alias("cl"),
-                     F.col(target).isNotNull().alias("is_donor"), wanted.alias("wanted"), *[F.col(c).cast("double").alias(c) for c in features])
+    label = F.coalesce(F.concat(F.lit("="), F.col(cluster).cast("string")), F.lit("")) if cluster else F.lit("")
+    typed = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in features]
+    rows = df.select(F.col(key).cast("long").alias("id"), label.alias("cl"), F.col(target).isNotNull().alias("is_donor"), wanted.alias("wanted"), *typed)
     rows = rows.where(F.col("is_donor") | F.col("wanted"))
-    sizes = rows.groupBy(F.col("cl").alias("c")).agg(F.ceil(F.count_if("is_donor") / KNN_BLOCK).cast("int").alias("nd"),
-                                                     F.ceil(F.count_if(~F.col("is_donor")) / KNN_BLOCK).cast("int").alias("nr"))
-    rows = rows.join(sizes.where("nd > 0 and nr > 0"), F.col("cl").eqNullSafe(F.col("c"))).drop("c")
-    own = F.when(F.col("is_donor"), F.pmod(F.xxhash64("id"), F.col("nd"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nr"))).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_donor"), F.col("nr")).otherwise(F.col("nd")) - 1)))
-    db, rb = F.when(F.col("is_donor"), F.col("own")).otherwise(F.col("other")), F.when(F.col("is_donor"), F.col("other")).otherwise(F.col("own"))
-    rows = rows.select("cl", db.alias("db"), rb.alias("rb"), "id", "is_donor", *features)
-    near = rows.groupBy("cl", "db", "rb").applyInPandas(_nearest_in_block(features, k), "id long, donor long, dist double")
-    w = Window.partitionBy("id").orderBy("dist", "donor")
-    top = near.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    nulls = sum((F.shiftleft(F.col(c).isNull().cast("bigint"), i) for i, c in enumerate(features)), F.lit(0).cast("bigint"))
+    rows = cut_lineage(rows.withColumn("nulls", nulls))
+    donors, queries = rows.where("is_donor").withColumn("value", F.lit(0.0)), rows.where(~F.col("is_donor"))
+    size = donors.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct("cl", "nulls")).alias("parts")).first()
+    each = size.n / max(size.parts, 1)
+    block = int(min(KNN_BLOCK, max(RECORD_BLOCK, each / KNN_CELLS)))
+    cuts = knn.even_cuts(donors, features, each / block) if features else {}
+    queries, donors = (knn.record_cells(side.drop("is_donor", "wanted"), cuts, []) for side in (queries, donors))
+    near = knn.knn_join(queries, donors, knn.shared_columns(features), k, "bigint", size=block)
+    top = near.select("id", F.col("cand").alias("donor"))
     top = top.join(df.select(F.col(key).alias("donor"), F.col(target).alias("__value")), "donor")
     if categorical:
         best = F.min_by("__value", F.struct((-F.col("n")).alias("n"), F.col("__value")))

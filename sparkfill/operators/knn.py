@@ -399,6 +399,44 @@ def gower(feats: Sequence[str], numeric: Sequence[str], far: bool) -> Space:
                  extra=[f"{e}_{c}" for c in num for e in ("mn", "mx")], meet=meet)
 
 
+#: An infinite distance, which is one all the same.
+FAR = 1e308
+
+
+def shared_columns(features: Sequence[str]) -> Space:
+    """Euclidean distance over the columns that both have, times all columns over these; none for records that share no column.
+
+    Bit i of ``nulls`` tells that ``features[i]`` is null; rows of a block agree in it. Columns count
+    with their gap between the blocks' ranges.
+    """
+    about = [F.first("nulls").alias("nulls"), *[f(c).alias(f"{p}_{c}") for c in features for p, f in (("lo", F.min), ("hi", F.max))]]
+    total, centre = F.lit(0.0), F.lit(0.0)
+    for c in features:
+        qlo, qhi, clo, chi = (F.col(f"{s}_{e}_{c}") for s in "qc" for e in ("lo", "hi"))
+        gap = F.greatest(clo - qhi, qlo - chi, F.lit(0.0))
+        middle = qlo + qhi - clo - chi
+        both = qlo.isNotNull() & clo.isNotNull()
+        total = total + F.when(both, gap * gap).otherwise(F.lit(0.0))
+        centre = centre + F.when(both, middle * middle).otherwise(F.lit(0.0))
+    full = (1 << len(features)) - 1
+    shared = F.bit_count(F.lit(full) - F.col("q_nulls").bitwiseOR(F.col("c_nulls")))
+    least = F.sqrt(total * (F.lit(len(features)) / F.greatest(shared, F.lit(1)))) * (1 - 1e-9) - 1e-12
+    # a range with a value that is not finite tells nothing, or that the distance is
+    least = F.when(F.isnan(least) | least.isNull(), F.lit(0.0)).otherwise(F.least(least, F.lit(FAR / 2)))
+
+    def values(q, c):
+        sq, present = np.zeros((q.num_rows, c.num_rows)), np.zeros((q.num_rows, c.num_rows))
+        for f in features:
+            gap = q.column(f).to_numpy().astype(float)[:, None] - c.column(f).to_numpy().astype(float)[None, :]
+            both = ~np.isnan(gap)
+            sq += np.where(both, gap, 0.0) ** 2
+            present += both
+        dist = np.minimum(np.sqrt(sq * (len(features) / np.maximum(present, 1))), FAR)
+        return np.where(present > 0, dist, np.inf)
+
+    return Space(about=about, least=least, near=centre, metric=Metric(values), payload=["nulls", *features], meet=shared > 0)
+
+
 def record_cells(rows: DataFrame, cuts: dict[str, list[float]], categorical: Sequence[str]) -> DataFrame:
     """``rows`` with ``cell`` and ``ord``: like values of the categorical columns, and the same bin of each cut column."""
     bins = [sum((F.when(F.col(c) > x, 1).otherwise(0) for x in at), F.lit(0)) for c, at in cuts.items() if at]
@@ -417,6 +455,20 @@ def bin_cuts(rows: DataFrame, columns: Sequence[str], cells: float) -> dict[str,
     return {c: sorted(set(got[c] or [])) for c in columns}
 
 
+def even_cuts(rows: DataFrame, columns: Sequence[str], cells: float) -> dict[str, list[float]]:
+    """Approximate quantiles that cut the columns, the widest first, into about ``cells`` cells of even sides."""
+    got = rows.agg(*[F.percentile_approx(c, [i / 64 for i in range(1, 64)], 1000).alias(c) for c in columns]).first()
+    with np.errstate(invalid="ignore"):
+        width = {c: float(np.nan_to_num(np.float64(got[c][59]) - np.float64(got[c][3]))) if got[c] else 0.0 for c in columns}
+    bins = dict.fromkeys(sorted(columns, key=lambda c: -width[c]), 1)
+    while math.prod(bins.values()) < cells:
+        widest = max((c for c in bins if width[c] > 0 and bins[c] < 64), key=lambda c: width[c] / bins[c], default=None)
+        if widest is None:
+            break
+        bins[widest] += 1
+    return {c: sorted({got[c][round(i * 64 / n) - 1] for i in range(1, n)}) for c, n in bins.items()}
+
+
 # --------------------------------------------------------------------------- farthest records
 
 #: Candidates that are looked through in one task for those on the outside.

@@ -162,3 +162,32 @@ def test_blocks_are_bounded(spark):
                                   F.when(F.col("id") < 2000, 1.0).otherwise(F.col("id").cast("double")).alias("ord"), "id")
     sizes = [r["count"] for r in knn.with_blocks(df, 100).groupBy("cl", "blk").count().collect()]
     assert sum(sizes) == 5000 and max(sizes) <= 160
+
+
+def test_fill_leaves_out_donors_out_of_reach(spark, monkeypatch):
+    """Every donor met every row of its cluster before; nulls, NaN, infinite values and equal distances as by brute force."""
+    rng = random.Random(3)
+    odd = [None, float("nan"), float("inf")]
+    rows = []
+    for i in range(3000):
+        a, b = (rng.choice(odd) if rng.random() < 0.02 else float(rng.randrange(m)) for m in (20_000, 30))
+        rows.append((i, rng.choice(["x", "y", None]), a, b, None if rng.random() < 0.2 else float(rng.randrange(100))))
+    df = spark.createDataFrame(rows, "row_id long, cl string, a double, b double, y double")
+    monkeypatch.setattr(distance, "KNN_BLOCK", 40)
+    met = []
+    whole = knn.knn_join
+    monkeypatch.setattr(knn, "knn_join", lambda *a, **b: (met.append({}), whole(*a, **b, counts=met[-1]))[1])
+    got = {r.row_id: r.y for r in distance.knn_fill(df, "row_id", "cl", "y", ["a", "b"], k=3).collect()}
+    mean = sum(r[4] for r in rows if r[4] is not None) / sum(r[4] is not None for r in rows)
+
+    def dist(r, d):
+        gaps = [x - y for x, y in zip(r[2:4], d[2:4]) if x is not None and y is not None and not math.isnan(x - y)]
+        return math.sqrt(sum(g * g for g in gaps) * 2 / len(gaps)) if gaps else None
+
+    assert len(got) == 3000
+    for r in rows:
+        if r[4] is None:
+            near = sorted((dist(r, d), d[0], d[4]) for d in rows if d[1] == r[1] and d[4] is not None and dist(r, d) is not None)[:3]
+            want = sum(n[2] for n in near) / len(near) if near else mean
+            assert abs(got[r[0]] - want) < 1e-9
+    assert met[0]["compared"] < met[0]["possible"] / 2

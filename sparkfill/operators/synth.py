@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkfill.functions.hashing import normal, u
 from sparkfill.functions.ordered import exact_quantiles
-from sparkfill.session import broadcast_checked, row_count_at_most
+from sparkfill.session import broadcast_checked, cut_lineage
 
 MAX_CATEGORIES = 10_000   # category shares of the twin are literals: bounded and checked
+KS_BINS = 4096            # bins a column in which two samples are first compared
 
 # ---- fixed values of the parametric birth-record generator (must equal the reference) ----
 # continuous columns: mean and standard deviation
@@ -152,9 +153,9 @@ def fit_twin(real: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     params = {"numeric": {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in numeric}, "categorical": {}}
     for c in categorical:
         vc_df = real.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        if not row_count_at_most(vc_df, MAX_CATEGORIES):
+        vc = vc_df.limit(MAX_CATEGORIES + 1).collect()
+        if len(vc) > MAX_CATEGORIES:
             raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories; treat it as numeric")
-        vc = vc_df.collect()
         tot = sum(r["n"] for r in vc)
         vals = sorted((r[c], r["n"] / tot) for r in vc)
         params["categorical"][c] = ([v for v, _ in vals], [p for _, p in vals])
@@ -201,21 +202,55 @@ def validate_table(real: DataFrame, synth: DataFrame, key: str, numeric: Sequenc
 def ks_score(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, metric='ks_complement', score = 1 - sup|F_real - F_synth|).
 
-    Both samples are reduced to distinct values with counts, then cumulated in
-    value order per column (bucketed prefix sums, no single-task sort)."""
+    One aggregate counts both samples in ``KS_BINS`` bins of equal width a column. The running counts give the
+    gap at the last value of each bin, and a bound of the gap at any value inside. Only the
+    values of bins whose bound exceeds the largest gap found so are looked at one by one (bucketed prefix sums),
+    so the supremum is exact."""
     from sparkfill.functions.scalars import long_values
     from sparkfill.operators.distance import asof_prefix
-    r = long_values(real, [], cols).where(F.col("value").isNotNull()).groupBy("column", "value") \
-        .agg(F.count(F.lit(1)).alias("cr"), F.lit(0).cast("bigint").alias("cs"))
-    s = long_values(synth, [], cols).where(F.col("value").isNotNull()).groupBy("column", "value") \
-        .agg(F.lit(0).cast("bigint").alias("cr"), F.count(F.lit(1)).alias("cs"))
-    pts = r.unionByName(s).groupBy("column", "value").agg(F.sum("cr").alias("cr"), F.sum("cs").alias("cs"))
-    cum = asof_prefix(pts, pts.select("column", "value"), ["column"], "value", ["cr", "cs"])
-    tot = pts.groupBy("column").agg(F.sum("cr").alias("nr"), F.sum("cs").alias("ns"))
-    d = cum.join(broadcast_checked(tot), "column").select(
-        "column", F.abs(F.col("cum_cr") / F.col("nr") - F.col("cum_cs") / F.col("ns")).alias("gap"))
-    return d.groupBy("column").agg((1 - F.max("gap")).alias("score")).withColumn("metric", F.lit("ks_complement")) \
-        .select("column", "metric", "score")
+    spark, cols = real.sparkSession, list(cols)
+    ends = []
+    for df in (real, synth):
+        x = {c: F.col(c).cast("double") for c in cols}
+        finite = {c: F.when(F.abs(x[c]) < float("inf"), x[c]) for c in cols}
+        ends.append(df.agg(*[f(finite[c]).alias(f"{p}_{c}") for c in cols for p, f in (("lo", F.min), ("hi", F.max))]).first())
+    limits = []
+    for c in cols:
+        lo, hi = (f([e[f"{p}_{c}"] for e in ends if e[f"{p}_{c}"] is not None], default=0.0) for p, f in (("lo", min), ("hi", max)))
+        limits.append((c, lo, hi - lo if math.isfinite(hi - lo) else 0.0))
+    limits = F.broadcast(spark.createDataFrame(limits, "column string, lo double, width double"))  # a row a column
+    v = F.col("value")
+    at = F.when(F.col("width") > 0, F.least(F.lit(KS_BINS - 1), F.floor((v - F.col("lo")) / F.col("width") * KS_BINS))).otherwise(F.lit(0))
+    place = F.when(F.isnan(v), KS_BINS + 1).when(v == float("inf"), KS_BINS).when(v == float("-inf"), -1).otherwise(at).cast("int")
+    r = long_values(real, [], cols).select("*", F.lit(1).cast("bigint").alias("cr"), F.lit(0).cast("bigint").alias("cs"))
+    s = long_values(synth, [], cols).select("*", F.lit(0).cast("bigint").alias("cr"), F.lit(1).cast("bigint").alias("cs"))
+    rows = r.unionByName(s).where(v.isNotNull()).join(limits, "column").select("column", place.alias("bin"), "value", "cr", "cs")
+    counted = rows.groupBy("column", "bin").agg(F.sum("cr").alias("cr"), F.sum("cs").alias("cs")).collect()  # KS_BINS + 3 a column at most
+    best, still = {}, []
+    for c in cols:
+        bins = sorted((b.bin, b.cr, b.cs) for b in counted if b["column"] == c)
+        nr, ns = sum(b[1] for b in bins), sum(b[2] for b in bins)
+        if not bins:
+            continue
+        best[c] = None
+        if nr and ns:
+            cr = cs = 0
+            bounds = []
+            best[c] = 0.0
+            for at_bin, more_r, more_s in bins:
+                bounds.append((at_bin, cr, cs, max(abs((cr + more_r) / nr - cs / ns), abs(cr / nr - (cs + more_s) / ns))))
+                cr, cs = cr + more_r, cs + more_s
+                best[c] = max(best[c], abs(cr / nr - cs / ns))
+            still += [(c, at_bin, br, bs, nr, ns) for at_bin, br, bs, bound in bounds if bound > best[c]]
+    if still:
+        some = F.broadcast(spark.createDataFrame(still, "column string, bin int, br long, bs long, nr long, ns long"))  # of those counted
+        pts = rows.join(some.select("column", "bin"), ["column", "bin"]).groupBy("column", "bin", "value").agg(F.sum("cr").alias("cr"), F.sum("cs").alias("cs"))
+        pts = cut_lineage(pts)
+        cum = asof_prefix(pts, pts.select("column", "bin", "value"), ["column", "bin"], "value", ["cr", "cs"]).join(some, ["column", "bin"])
+        gap = F.abs((F.col("br") + F.col("cum_cr")) / F.col("nr") - (F.col("bs") + F.col("cum_cs")) / F.col("ns"))
+        for g in cum.groupBy("column").agg(F.max(gap).alias("gap")).collect():
+            best[g["column"]] = max(best[g["column"]], g.gap)
+    return spark.createDataFrame([(c, "ks_complement", None if g is None else 1 - g) for c, g in best.items()], "column string, metric string, score double")
 
 
 def tv_score(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -223,7 +258,7 @@ def tv_score(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFram
     from sparkfill.functions.scalars import long_values
     def shares(df, name):
         lv = long_values(df, [], cols, cast="string").where(F.col("value").isNotNull())
-        c = lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        c = cut_lineage(lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
         t = c.groupBy("column").agg(F.sum("n").alias("t"))
         return c.join(broadcast_checked(t), "column").select("column", "value", (F.col("n") / F.col("t")).alias(name))
     j = shares(real, "pr").join(shares(synth, "ps"), ["column", "value"], "full").fillna(0.0, ["pr", "ps"])
@@ -241,11 +276,11 @@ def column_shape_score(real: DataFrame, synth: DataFrame, numeric: Sequence[str]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _contingency_similarity(real: DataFrame, synth: DataFrame, a: Column, b: Column, names: tuple[str, str], metric: str) -> DataFrame:
-    """1 - 0.5 sum|p_real - p_synth| over the pairs of values of two expressions."""
+def _contingency_similarity(real: DataFrame, synth: DataFrame, a: str, b: str, names: tuple[str, str], metric: str) -> DataFrame:
+    """1 - 0.5 sum|p_real - p_synth| over the pairs of values of two columns of counted (``n``) tables."""
     def shares(df, name):
-        d = df.select(a.cast("string").alias("va"), b.cast("string").alias("vb")).where(F.col("va").isNotNull() & F.col("vb").isNotNull())
-        c = d.groupBy("va", "vb").agg(F.count(F.lit(1)).alias("n"))
+        d = df.select(F.col(a).alias("va"), F.col(b).alias("vb"), "n").where(F.col("va").isNotNull() & F.col("vb").isNotNull())
+        c = d.groupBy("va", "vb").agg(F.sum("n").alias("n"))
         t = c.agg(F.sum("n").alias("t"))
         return c.crossJoin(F.broadcast(t)).select("va", "vb", (F.col("n") / F.col("t")).alias(name))  # with one row
     j = shares(real, "pr").join(shares(synth, "ps"), ["va", "vb"], "full").fillna(0.0, ["pr", "ps"])
@@ -257,7 +292,8 @@ def pair_trend_score(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
                      categorical: Sequence[str], bins: int = 10) -> DataFrame:
     """(a, b, metric, score) of every column pair (J11): correlation similarity 1 - |r_r - r_s| / 2 for numeric
     pairs, contingency similarity 1 - 0.5 sum|p_r - p_s| for categorical pairs, and the same for mixed ones, the
-    number cut at the real table's quantiles (``bins``) in both tables."""
+    number cut at the real table's quantiles (``bins``) in both tables. Each table is counted once
+    by all of these columns together, and every pair of them is counted from that."""
     spark = real.sparkSession
     out = None
     pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
@@ -268,12 +304,16 @@ def pair_trend_score(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
                  None if rr[f"{a}|{b}"] is None or ss[f"{a}|{b}"] is None
                  else 1 - abs(rr[f"{a}|{b}"] - ss[f"{a}|{b}"]) / 2) for a, b in pairs]
         out = spark.createDataFrame(rows, "a string, b string, metric string, score double")
-    parts = [(F.col(a), F.col(b), (a, b), "contingency_similarity") for i, a in enumerate(categorical) for b in categorical[i + 1:]]
+    values = {f"c{i}": F.col(b).cast("string") for i, b in enumerate(categorical)}
+    parts = [(f"c{i}", f"c{j}", (a, categorical[j]), "contingency_similarity") for i, a in enumerate(categorical) for j in range(i + 1, len(categorical))]
     if categorical:
-        for a in numeric:
+        for k, a in enumerate(numeric):
             cuts = exact_quantiles(real.where(F.col(a).isNotNull()), None, a, [i / bins for i in range(1, bins)]).first()
             place = F.when(F.col(a).isNotNull(), sum((F.when(F.col(a).cast("double") > c, 1).otherwise(0) for c in cuts if c is not None), F.lit(0)))
-            parts += [(place, F.col(b), (a, b), "binned_contingency_similarity") for b in categorical]
+            values[f"n{k}"] = place
+            parts += [(f"n{k}", f"c{i}", (a, b), "binned_contingency_similarity") for i, b in enumerate(categorical)]
+    if parts:
+        real, synth = (cut_lineage(df.select(*[v.alias(n) for n, v in values.items()]).groupBy(*values).agg(F.count(F.lit(1)).alias("n"))) for df in (real, synth))
     for part in parts:
         r = _contingency_similarity(real, synth, *part)
         out = r if out is None else out.unionByName(r)

@@ -9,6 +9,8 @@ coefficient gathers all sets of k known ones; its product is built feature by fe
 is ever enumerated. base (nothing known) + the credits = the prediction.
 
 The paths are a table of the model, of one entry a leaf; rows pass it in batches, and nothing is shuffled.
+A row enters only by the sides it takes at the tree's splits, so of the rows of a batch that take
+the same sides everywhere one is worked out.
 """
 
 from __future__ import annotations
@@ -101,6 +103,18 @@ def shapley(paths: list, x: np.ndarray) -> tuple[float, np.ndarray]:
     return base, out
 
 
+def cells(paths: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each set of rows of ``x`` that lie between the same bounds of the paths, and each row's place among them."""
+    codes = np.zeros(x.shape, np.int32)
+    for f in range(x.shape[1]):
+        at = np.unique([b for _, path in paths for g, *bounds, _ in path if g == f for b in bounds if np.isfinite(b)])
+        codes[:, f] = np.searchsorted(at, x[:, f], "left")  # how many bounds are below it
+        codes[np.isnan(x[:, f]), f] = -1
+        codes[x[:, f] == -np.inf, f] = -2
+    _, one, place = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+    return one, place.reshape(-1)
+
+
 def tree_attribution(model, train: DataFrame, rows: DataFrame, features: Sequence[str], label: str,
                      key: str) -> DataFrame:
     """(key, base, attr_<feature>..., pred) for every row of ``rows`` (regression tree with numeric splits)."""
@@ -112,7 +126,9 @@ def tree_attribution(model, train: DataFrame, rows: DataFrame, features: Sequenc
     def credit(batches):
         for batch in batches:
             x = np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], axis=1)
-            base, credits = shapley(paths, x)
+            one, place = cells(paths, x)
+            base, credits = shapley(paths, x[one])
+            credits = credits[place]
             cols = [batch.column(key), pa.array(np.full(len(x), base)), *[pa.array(credits[:, i]) for i in range(len(features))], batch.column("pred")]
             yield pa.RecordBatch.from_arrays(cols, names=[key, "base", *[f"attr_{f}" for f in features], "pred"])
 

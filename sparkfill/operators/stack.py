@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkfill.operators import sampling, score
 from sparkfill.operators.cluster import assemble
 from sparkfill.operators.impute import strategies
-from sparkfill.session import cut_lineage
+from sparkfill.session import cut_lineage, written
 
 STRATEGY_SUFFIXES = ("_imputed_full", "_imputed_full_selected", "_imputed_cluster")
 
@@ -74,6 +74,7 @@ def impute_ensemble(df: DataFrame, truth: DataFrame, key: str, target: str, feat
     models, tests = {}, {}
     for sim in range(sims):
         masked, hidden = sampling.mask_random(df, target, f"sim{sim}", key)
+        masked = written(masked, "masked")  # the three strategies read it several times each
         strat = strategies.impute_three_ways(masked, key, target, features, cluster_labels, selected, method,
                                              round_codes=categorical)
         lab = strat.join(hidden, key).join(truth.select(key, F.col(target).cast("double").alias("__truth")), key)

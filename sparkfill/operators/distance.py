@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfill.operators import knn
-from sparkfill.session import broadcast_checked, cut_lineage
+from sparkfill.session import broadcast_checked, cut_lineage, side_by_side
 
 N_BUCKETS = 64
 
@@ -180,7 +180,7 @@ def gower_neighbours(df: DataFrame, queries: DataFrame, key: str, target: str, n
                                                       F.col(target).cast(value_type).alias("value"), *typed).where(F.col("cl").isNotNull())
     # ranges per null pattern of the queries (and value of ``same``): few distinct keys, each over its candidates
     full = (1 << len(feats)) - 1
-    pats = q.select(F.col("cl").alias("p_cl"), F.col("nulls").alias("p_nulls")).distinct()
+    pats = cut_lineage(q.select(F.col("cl").alias("p_cl"), F.col("nulls").alias("p_nulls")).distinct())
     pats, some = broadcast_checked(pats), pats.limit(PATTERNS + 1).count()
     ok = (F.col("cl") == F.col("p_cl")) & (F.col("nulls").bitwiseAND(F.lit(full) - F.col("p_nulls")) == 0)
     met = cand.join(pats, ok)
@@ -246,7 +246,8 @@ def gower_neighbours(df: DataFrame, queries: DataFrame, key: str, target: str, n
 def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric: Sequence[str],
               categorical: Sequence[str], k: int = 10, **options) -> DataFrame:
     """Per query record: sum of ``target`` over its k nearest and k farthest candidates (:func:`gower_neighbours`)."""
-    near, far = (gower_neighbours(df, queries, key, target, numeric, categorical, k, far=f, **options) for f in (False, True))
+    near, far = side_by_side(df.sparkSession, [functools.partial(gower_neighbours, df, queries, key, target, numeric, categorical, k, far=f, **options)
+                                               for f in (False, True)])
     both = near.withColumn("far", F.lit(False)).unionByName(far.withColumn("far", F.lit(True)))
     value = {f: F.when(F.col("far") == f, F.col("value")) for f in (False, True)}
     return both.groupBy(key).agg(F.sum(value[False]).alias("sum_near"), F.count(value[False]).alias("n_near"),

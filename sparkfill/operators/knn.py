@@ -19,6 +19,7 @@ equal, as in noise of many dimensions, no bound can leave out anything.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfill.session import broadcast_checked, cut_lineage
+from sparkfill.session import broadcast_checked, cut_lineage, side_by_side
 
 #: Rows of a block at most, about.
 BLOCK = 2048
@@ -84,13 +85,13 @@ def with_blocks(rows: DataFrame, size: int | None = None) -> DataFrame:
     size = size or BLOCK
     probs = [i / 64 for i in range(1, 64)]
     cells = rows.groupBy("cl", "cell").agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("ord", probs, 1000).alias("__cuts"))
-    cells = broadcast_checked(cells.withColumnsRenamed({"cl": "__cl", "cell": "__cell"}))
+    cells = broadcast_checked(cut_lineage(cells.withColumnsRenamed({"cl": "__cl", "cell": "__cell"})))
     out = rows.join(cells, (F.col("cl") == F.col("__cl")) & (F.col("cell") == F.col("__cell")))
     place = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col("ord")))
     rings = F.least(F.ceil(F.col("__n") / size), F.lit(64))
     out = out.withColumn("ring", F.floor(place * rings / 64).cast("int")).drop("__n", "__cuts", "__cl", "__cell")
     shares = out.groupBy("cl", "cell", "ring").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__k"))
-    shares = broadcast_checked(shares.withColumnsRenamed({"cl": "__cl", "cell": "__cell", "ring": "__ring"}))
+    shares = broadcast_checked(cut_lineage(shares.withColumnsRenamed({"cl": "__cl", "cell": "__cell", "ring": "__ring"})))
     out = out.join(shares, (F.col("cl") == F.col("__cl")) & (F.col("cell") == F.col("__cell")) & (F.col("ring") == F.col("__ring")))
     share = F.pmod(F.xxhash64("id"), F.col("__k"))
     return out.withColumn("blk", F.xxhash64("cell", "ring", share)).drop("__k", "__cl", "__cell", "__ring", "ring", "cell", "ord")
@@ -235,9 +236,9 @@ def knn_join(queries: DataFrame, candidates: DataFrame, space: Space, k: int, id
     Both sides have ``cl, id, cell, ord`` and the space's payload, candidates also ``value``; only rows of
     one ``cl`` meet. ``counts``, if given, gets the row pairs that were compared and those that there are.
     """
-    q = cut_lineage(with_blocks(queries, size))  # approximate cuts may differ from run to run, so they are kept
-    c = cut_lineage(with_blocks(candidates, size))
-    about_q, about_c = _described(q, space, "q_"), _described(c, space, "c_")
+    # approximate cuts may differ from run to run, so they are kept
+    q, c = side_by_side(queries.sparkSession, [functools.partial(lambda side: cut_lineage(with_blocks(side, size)), side) for side in (queries, candidates)])
+    about_q, about_c = _described(q, space, "q_"), cut_lineage(_described(c, space, "c_"))
     pairs = _block_pairs(about_q, about_c, space)
     order = Window.partitionBy("q_cl", "q_blk").orderBy("least", "near", "c_blk")
     before = F.coalesce(F.sum("c_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,12 +1,14 @@
 """The pruned k-NN joins against brute force."""
 import math
 import random
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sparkfill.operators import distance, knn
+from sparkfill.plans import records as records_module
 
 FEATS = ["x", "z", "c", "g"]
 
@@ -191,3 +193,25 @@ def test_fill_leaves_out_donors_out_of_reach(spark, monkeypatch):
             want = sum(n[2] for n in near) / len(near) if near else mean
             assert abs(got[r[0]] - want) < 1e-9
     assert met[0]["compared"] < met[0]["possible"] / 2
+
+
+def test_near_and_far_records_are_sought_at_once(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+    whole = distance.gower_neighbours
+
+    def neighbours(*args, **options):
+        both.wait()  # one after the other, the first would wait for ever
+        return whole(*args, **options)
+
+    monkeypatch.setattr(distance, "gower_neighbours", neighbours)
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 3 == 0 else i) for i in range(30)], "row_id long, x double, t int")
+    got = distance.gower_knn(df, df.where("t is null"), "row_id", "t", ["x"], [], 3).collect()
+    assert len(got) == 10 and all(r.n_near == r.n_far == 3 for r in got)
+
+
+def test_the_record_table_is_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(records_module, "FILE_ROWS", 100)
+    monkeypatch.setattr(records_module, "_WRITTEN", {})
+    rec = records_module.records(spark, "/root/testdata/sf0.001")
+    assert len(rec.inputFiles()) >= rec.count() // 100
+    assert rec.rdd.getNumPartitions() > 1

@@ -16,7 +16,7 @@ from sparkfill.operators.insight import (share_item_template, stat_item_template
 from sparkfill.plans.catalog import query
 from sparkfill.plans.q_distance import knn_sql_ctes
 from sparkfill.plans.records import ROLES, missing_view, records, with_rec
-from sparkfill.session import shared_path
+from sparkfill.session import shared_path, side_by_side, written
 from sparkfill.sources import files
 
 CONT = {"acct", "n_items", "qty", "price", "site", "weight"}
@@ -170,6 +170,11 @@ def _kept(spark, sf, name, build):
     return spark.read.parquet(_KEPT[key])
 
 
+def _selected(spark, sf, obs):
+    """Steps that give the nearest and the farthest records by the selected columns."""
+    return [lambda n=n, far=far: _kept(spark, sf, n, lambda: _neighbours(obs, FEATS_SEL, far=far)) for n, far in (("near-selected", False), ("far-selected", True))]
+
+
 def _without_flag(obs):
     return obs.where(F.col("flag").isNull())
 
@@ -207,8 +212,7 @@ def q_imputation_prompt(spark, sf):
     """The dialogue of every record without a flag."""
     obs = _obs(spark, sf)
     q = _without_flag(obs)
-    near = _kept(spark, sf, "near-selected", lambda: _neighbours(obs, FEATS_SEL))
-    far = _kept(spark, sf, "far-selected", lambda: _neighbours(obs, FEATS_SEL, far=True))
+    near, far = side_by_side(spark, _selected(spark, sf, obs))
     ins = insight.record_insights(_data(obs), q, "row_id", "flag", K3_VARS, CONT)
     d = q.join(ins, "row_id", "left").join(_sums(near, far), "row_id", "left").join(_neighbour_rows(near, obs), "row_id", "left")
     msgs = prompt.messages(prompt.imputation_turns("flag", RECORD, DICTIONARY, FEATS_SEL))
@@ -265,22 +269,19 @@ _IND_SQL = f"""(SELECT qs.*, nf.sum_near AS near_full, nf.sum_far AS far_full, n
    FROM rec qs LEFT JOIN nf USING (row_id) LEFT JOIN ns USING (row_id) LEFT JOIN nc USING (row_id) WHERE qs.flag IS NULL)"""
 
 
-def _scopes(obs, near_selected, far_selected):
+def _scopes(obs, selected):
     """Sums over the neighbours of each scope, for every record without a flag."""
     out = _without_flag(obs).select("row_id")
-    for name, near, far in (
-            ("full", _neighbours(obs, FEATS_FULL), _neighbours(obs, FEATS_FULL, far=True)),
-            ("selected", near_selected, far_selected),
-            ("cluster", _neighbours(obs, FEATS_FULL, "district"), _neighbours(obs, FEATS_FULL, "district", far=True))):
+    steps = [lambda same=same, far=far: written(_neighbours(obs, FEATS_FULL, same, far), "scope") for same in (None, "district") for far in (False, True)]
+    near_full, far_full, near_cluster, far_cluster, near_selected, far_selected = side_by_side(obs.sparkSession, steps + selected)
+    for name, near, far in (("full", near_full, far_full), ("selected", near_selected, far_selected), ("cluster", near_cluster, far_cluster)):
         out = out.join(_sums(near, far).withColumnsRenamed({"sum_near": f"near_{name}", "sum_far": f"far_{name}"}), "row_id", "left")
     return out
 
 
 def _indicators(spark, sf):
     obs = _obs(spark, sf)
-    near = _kept(spark, sf, "near-selected", lambda: _neighbours(obs, FEATS_SEL))
-    far = _kept(spark, sf, "far-selected", lambda: _neighbours(obs, FEATS_SEL, far=True))
-    d = _without_flag(obs).join(_kept(spark, sf, "scopes", lambda: _scopes(obs, near, far)), "row_id")
+    d = _without_flag(obs).join(_kept(spark, sf, "scopes", lambda: _scopes(obs, _selected(spark, sf, obs))), "row_id")
     scopes = sum(((F.col(f"near_{s}") > F.col(f"far_{s}")).cast("int") for s in ("full", "selected", "cluster")),
                  F.lit(0))
     n, decision = insight.indicator_rule([F.col("price") < 150000, F.col("weight") < 3000, F.col("qty") < 100,

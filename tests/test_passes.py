@@ -1,6 +1,7 @@
 """How often the operators read their input, and that what they leave out cannot matter."""
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -130,3 +131,18 @@ def test_stacker_reads_a_table_of_its_own(spark, monkeypatch):
     assert "Join" not in lab._jdf.queryExecution().optimizedPlan().toString()
     model = stack.fit_stacker(lab, q_models.FEATS3, "truth", categorical=False)
     assert stack.predict(model, lab, q_models.FEATS3).count() == lab.count() > 0
+
+
+def test_the_neighbours_of_all_scopes_are_sought_at_once(spark, monkeypatch):
+    from sparkfill.plans import q_insight
+    all_six = threading.Barrier(6, timeout=60)
+
+    def neighbours(obs, feats, same=None, far=False):
+        all_six.wait()
+        return obs.select("row_id", F.lit(2 if far else 1).alias("value"))
+
+    monkeypatch.setattr(q_insight, "_neighbours", neighbours)
+    monkeypatch.setattr(q_insight, "_KEPT", {})
+    obs = spark.createDataFrame([(1, None), (2, 1)], "row_id long, flag int")
+    got = q_insight._scopes(obs, q_insight._selected(spark, "none", obs)).collect()
+    assert [r.asDict() for r in got] == [{"row_id": 1, **{f"{p}_{s}": v for s in ("full", "selected", "cluster") for p, v in (("near", 1), ("far", 2))}}]

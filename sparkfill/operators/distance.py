@@ -26,6 +26,8 @@ from sparkfill.operators import knn
 from sparkfill.session import broadcast_checked, cut_lineage, side_by_side
 
 N_BUCKETS = 64
+#: Terms of records beside their candidate groups that one task sums, about.
+GROUP_ROWS = 500_000
 
 
 # --------------------------------------------------------------------------- as-of prefix sums
@@ -93,6 +95,10 @@ def nearest_group_scores(df: DataFrame, key: str, block: str, code: str,
                 .withColumn("__blk", F.when(F.col("__known_block"), F.col("__blk")).otherwise(F.lit(root))))
     pairs = m.join(broadcast_checked(hierarchy), "__blk").select(key, "cand")
 
+    # every record beside each of its candidates; a task gets about GROUP_ROWS terms of its records at most
+    both = missing.select(key, *dict.fromkeys(c for c in [*numeric, *categorical] if c != key)).join(pairs, key)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() * (len(numeric) + len(categorical)) // GROUP_ROWS))
+
     terms = []
     if numeric:
         mem = _long(known.withColumnRenamed(code, "cand"), ["cand"], numeric, "num")
@@ -100,28 +106,24 @@ def nearest_group_scores(df: DataFrame, key: str, block: str, code: str,
                                                      F.sum("x").alias("sx"))
         gstat = mem.groupBy("cand", "column").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("S"),
                                                  F.min("x").alias("mn"), F.max("x").alias("mx"))
-        rec = _long(missing, [key], numeric, "num")
-        rq = rec.join(pairs, key)                                     # (key, column, x, cand)
+        rq = _long(both, [key, "cand"], numeric, "num")               # (key, cand, column, x)
         qpts = rq.select("cand", "column", "x").distinct()
-        cum = asof_prefix(dist, qpts, ["cand", "column"], "x", ["cnt", "sx"])
-        t = (qpts.join(cum, ["cand", "column", "x"], "left").join(gstat, ["cand", "column"])
-                 .fillna(0, ["cum_cnt", "cum_sx"]))
+        t = asof_prefix(dist, qpts, ["cand", "column"], "x", ["cnt", "sx"]).join(broadcast_checked(cut_lineage(gstat)), ["cand", "column"])
         x, c, s, n, S = F.col("x"), F.col("cum_cnt"), F.col("cum_sx"), F.col("n"), F.col("S")
         mean_abs = ((2 * c - n) * x - 2 * s + S) / n
         rng = F.greatest(F.col("mx"), x) - F.least(F.col("mn"), x)
         t = t.select("cand", "column", "x", F.when(rng > 0, mean_abs / rng).otherwise(F.lit(0.0)).alias("term"))
-        terms.append(rq.join(t, ["cand", "column", "x"]).select(key, "cand", "column", "term"))
+        terms.append(rq.join(t, ["cand", "column", "x"]).select(key, "cand", "term"))
     if categorical:
         mem = _long(known.withColumnRenamed(code, "cand"), ["cand"], categorical, "cat")
-        share = mem.groupBy("cand", "column", "x").agg(F.count(F.lit(1)).alias("cnt"))
-        tot = mem.groupBy("cand", "column").agg(F.count(F.lit(1)).alias("n"))
-        rec = _long(missing, [key], categorical, "cat")
-        rq = rec.join(pairs, key)
-        t = rq.join(tot, ["cand", "column"]).join(share, ["cand", "column", "x"], "left") \
-            .select(key, "cand", "column", (1 - F.coalesce(F.col("cnt"), F.lit(0)) / F.col("n")).alias("term"))
+        share = cut_lineage(mem.groupBy("cand", "column", "x").agg(F.count(F.lit(1)).alias("cnt")))
+        tot = share.groupBy("cand", "column").agg(F.sum("cnt").alias("n"))
+        rq = _long(both, [key, "cand"], categorical, "cat")
+        t = rq.join(broadcast_checked(tot), ["cand", "column"]).join(broadcast_checked(share), ["cand", "column", "x"], "left") \
+            .select(key, "cand", (1 - F.coalesce(F.col("cnt"), F.lit(0)) / F.col("n")).alias("term"))
         terms.append(t)
     allt = terms[0] if len(terms) == 1 else terms[0].unionByName(terms[1])
-    return allt.groupBy(key, "cand").agg(F.avg("term").alias("score"))
+    return allt.repartition(tasks, key).groupBy(key, "cand").agg(F.avg("term").alias("score"))
 
 
 def nearest_group(df: DataFrame, key: str, block: str, code: str, numeric: Sequence[str],

@@ -146,3 +146,19 @@ def test_the_neighbours_of_all_scopes_are_sought_at_once(spark, monkeypatch):
     obs = spark.createDataFrame([(1, None), (2, 1)], "row_id long, flag int")
     got = q_insight._scopes(obs, q_insight._selected(spark, "none", obs)).collect()
     assert [r.asDict() for r in got] == [{"row_id": 1, **{f"{p}_{s}": v for s in ("full", "selected", "cluster") for p, v in (("near", 1), ("far", 2))}}]
+
+
+def test_terms_of_nearest_groups_are_dealt_by_their_number(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, "b", None if i % 2 else i % 4, rng.uniform(0, 9), rng.choice("xy")) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, blk string, code int, x double, c string")
+    monkeypatch.setattr(distance, "GROUP_ROWS", 10)
+    got = distance.nearest_group_scores(df, "row_id", "blk", "code", ["x"], ["c"])
+    assert got.rdd.getNumPartitions() >= 200 * 2 * 2 // 10
+    groups = {g: [r for r in rows if r[2] == g] for g in (0, 2)}
+    for r in got.collect():
+        x, c = rows[r.row_id][3:]
+        xs = [m[3] for m in groups[r.cand]]
+        near = np.mean(np.abs(np.array(xs) - x)) / (max(*xs, x) - min(*xs, x))
+        assert math.isclose(r.score, (near + np.mean([m[4] != c for m in groups[r.cand]])) / 2, rel_tol=1e-9)
+    assert got.count() == 400

@@ -162,3 +162,18 @@ def test_terms_of_nearest_groups_are_dealt_by_their_number(spark, monkeypatch):
         near = np.mean(np.abs(np.array(xs) - x)) / (max(*xs, x) - min(*xs, x))
         assert math.isclose(r.score, (near + np.mean([m[4] != c for m in groups[r.cand]])) / 2, rel_tol=1e-9)
     assert got.count() == 400
+
+
+def test_models_are_fitted_on_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(chained, "FEW_ROWS", 100)
+    rng = random.Random(9)
+    rows = [(i, rng.uniform(0, 9), None if i % 5 == 0 else float(i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, x double, y double").coalesce(1)
+    parts = []
+
+    def choose(train, *_):
+        parts.append(train.rdd.getNumPartitions())
+        return "linear", {}
+
+    filled, _ = chained.model_chain(df, ["x", "y"], choose, max_rounds=1)
+    assert parts == [spark.sparkContext.defaultParallelism] and filled.where("y is null").count() == 0

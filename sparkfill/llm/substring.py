@@ -26,12 +26,15 @@ null; an empty table gives an empty table. Other columns are neither read nor re
 
 from __future__ import annotations
 
+import gc
 from collections import defaultdict
 from itertools import count
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +64,8 @@ def _sliding(values: np.ndarray, n: int, least: bool) -> np.ndarray:
     return values
 
 
-def anchors(hashes: np.ndarray, window: int, k: int = K) -> np.ndarray:
-    """Places of the k-grams that are the least in some window; ties are all chosen."""
-    grams = ngram_hashes(hashes, k)
-    n = window - k + 1
+def _chosen(grams: np.ndarray, n: int) -> np.ndarray:
+    """Places of the values that are the least of some ``n`` in a row; ties are all chosen."""
     if len(grams) < n:
         return np.empty(0, np.int64)
     least = _sliding(grams, n, True)
@@ -72,6 +73,11 @@ def anchors(hashes: np.ndarray, window: int, k: int = K) -> np.ndarray:
     return np.flatnonzero(_sliding(around, n, False) == grams)
 
 
+def anchors(hashes: np.ndarray, window: int, k: int = K) -> np.ndarray:
+    """Places of the k-grams that are the least in some window; ties are all chosen."""
+    return _chosen(ngram_hashes(hashes, k), window - k + 1)
+
+
 def _find_anchors(window: int, k: int):
     names = ["doc_id", "text_key", "n_words", "full_sha256", "at", "anchor"]
 
@@ -80,13 +86,14 @@ def _find_anchors(window: int, k: int):
             count, full, places, values = [], [], [], []
             texts = batch.column("text").to_pylist()
             flat, begins = hashed_words(texts)
+            grams = ngram_hashes(flat, k)  # of all texts at once; those that reach into the next one are left out
             for text, a, b in zip(texts, begins.tolist(), begins[1:].tolist(), strict=False):
-                hashes = flat[a:b]
-                at = anchors(hashes, window, k)
+                own = grams[a : max(a, b - k + 1)]
+                at = _chosen(own, window - k + 1)
                 count.append(b - a)
                 full.append(hex_sha256(b" ".join(space_words(text))))
                 places.append(at.astype(np.int32))
-                values.append(ngram_hashes(hashes, k)[at].view(np.int64) if len(at) else np.empty(0, np.int64))
+                values.append(own[at].view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_key"), pa.array(count, pa.int64()), pa.array(full),
                 pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], names=names)
@@ -101,15 +108,24 @@ def _cut_segments(window: int, k: int):
 
     def cut(batches):
         for batch in slices(batches, most=500_000):
-            out = []
-            cols = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "row", "text", "recurring"))
-            for doc_id, key, row, text, recurring in zip(*cols, strict=True):
+            recurring = batch.column("recurring")
+            each = pc.list_value_length(recurring).to_numpy(zero_copy_only=False)
+            at, anchor = (recurring.flatten().field(f) for f in ("at", "anchor"))
+            places, out, firsts, done = at.to_numpy(), [], [], 0
+            for text, n in zip(batch.column("text").to_pylist(), each.tolist(), strict=True):
                 words = space_words(text)
-                for r in recurring:
-                    first = max(0, r["at"] - reach)
-                    out.append((doc_id, key, row, r["anchor"], first, b" ".join(words[first : r["at"] + window])))
-            cols = zip(*out, strict=True) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                joined = b" ".join(words)
+                begins = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)  # of each word, and of one after the last
+                mine = places[done : done + n]
+                first = np.maximum(mine - reach, 0)
+                stop = begins[np.minimum(mine + window, len(words))] - 1
+                out += [joined[a:b] for a, b in zip(begins[first].tolist(), stop.tolist(), strict=True)]
+                firsts.append(first)
+                done += n
+            row = pa.array(np.repeat(np.arange(len(each)), each))
+            cols = [*(batch.column(c).take(row) for c in ("doc_id", "text_key", "row")), anchor,
+                    np.concatenate(firsts) if firsts else [], out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return cut
 
@@ -142,7 +158,10 @@ def _phrases(segments: list[tuple], window: int) -> set[bytes]:
             if one_place.setdefault(w, place) != place:
                 recurs.add(w)
     for words, windows in cuts.items():
-        if words in out:
+        if words in out or recurs.isdisjoint(windows):
+            continue
+        if recurs.issuperset(windows):
+            out.add(words)
             continue
         begins = None
         for i, w in enumerate([*windows, None]):
@@ -175,7 +194,8 @@ class _Shard:
     def _letters(self, words: bytes) -> tuple[int, ...]:
         known = self.letters.get(words)  # a phrase is often a whole segment
         if known is None:
-            known = self.letters[words] = tuple(map(self.number.__getitem__, words.split(b" ")))
+            each = words.split(b" ")
+            known = self.letters[words] = itemgetter(*each)(self.number) if len(each) > 1 else (self.number[words],)
         return known
 
     def add(self, segments: list[tuple]) -> None:
@@ -191,13 +211,20 @@ class _Shard:
 
     def _covered(self, words: bytes) -> list[list[int]]:
         """Word ranges that phrases cover, merged."""
+        letters = self._letters(words)
+        if self.automaton.exists(letters):  # a phrase itself, so covered whole
+            return [[0, len(letters)]]
         covered: list[list[int]] = []
-        for end, n in self.automaton.iter(self._letters(words)):
+        last = -1
+        for end, n in self.automaton.iter(letters):
+            if end == last:
+                continue  # of the phrases that end at a word, the longest comes first
+            last = end
             a, b = end + 1 - n, end + 1
-            while covered and a <= covered[-1][1] and a < covered[-1][0]:
-                b = max(b, covered.pop()[1])
+            while covered and a <= covered[-1][0]:
+                covered.pop()
             if covered and a <= covered[-1][1]:
-                covered[-1][1] = max(covered[-1][1], b)
+                covered[-1][1] = b
             else:
                 covered.append([a, b])
         return covered
@@ -206,9 +233,12 @@ class _Shard:
         """``(document, start, stop)`` of every occurrence of every phrase."""
         if len(self.automaton):
             self.automaton.make_automaton()
-            covered = {words: self._covered(words) for words in {s[2] for s in self.segments}}
+            covered: dict[bytes, list[list[int]]] = {}
             for doc, first, words in self.segments:
-                for a, b in covered[words]:
+                ranges = covered.get(words)
+                if ranges is None:
+                    ranges = covered[words] = self._covered(words)
+                for a, b in ranges:
                     yield doc, first + a, first + b
         self.empty()
 
@@ -221,7 +251,7 @@ def _locate(window: int):
         cols = [[d[0] for d in docs], [d[1] for d in docs], starts, stops]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    def locate(batches):
+    def stream(batches):
         shard, held, key, out = _Shard(window), [], None, []
         for batch in batches:
             cols = (batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "first", "words", "row"))
@@ -239,6 +269,13 @@ def _locate(window: int):
         out.extend(shard.spans())
         yield table(out)
 
+    def locate(batches):
+        gc.disable()  # nothing here makes cycles, and the many small tuples need not be looked through again and again
+        try:
+            yield from stream(batches)
+        finally:
+            gc.enable()
+
     return locate
 
 

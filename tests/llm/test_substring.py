@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from llm.conftest import ODD_TEXTS
 from sparkfill.llm import substring
@@ -81,3 +82,45 @@ def test_places_of_one_document_recur(make_docs):
     got = sorted(map(tuple, substring.digest(make_docs(rows)).collect()), key=str)
     assert got == brute(rows)
     assert [r[2] for r in got] == [100, 36, 0, 0]
+
+
+def test_grams_of_a_slice_are_hashed_at_once(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(n)) for n in (0, 3, 34, 35, 36, 200, 61)]
+    calls, whole = [], substring.ngram_hashes
+
+    def hashes(*args):
+        calls.append(args)
+        return whole(*args)
+
+    monkeypatch.setattr(substring, "ngram_hashes", hashes)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(7), "text_key": range(7), "text": texts})
+    (got,) = substring._find_anchors(35, 8)(iter([batch]))
+    assert len(calls) == 1
+    for text, at, values in zip(texts, got.column("at").to_pylist(), got.column("anchor").to_pylist()):
+        own = substring.hashed_words([text])[0]
+        assert at == substring.anchors(own, 35).tolist() and values == whole(own, 8)[at].view("int64").tolist()
+
+
+def test_a_phrase_is_not_matched_word_by_word():
+    shard = substring._Shard(3)
+    shard.add([((1, 1, 1), 5, b"a b c d"), ((2, 2, 2), 0, b"a b c d"), ((3, 3, 3), 0, b"x b c d y"), ((4, 4, 4), 7, b"x y z x")])
+    seen = []
+
+    class Automaton:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+        def __len__(self):
+            return len(self.of)
+
+        def iter(self, letters):
+            seen.append(len(letters))
+            return self.of.iter(letters)
+
+    shard.automaton = Automaton(shard.automaton)
+    assert sorted(shard.spans()) == [((1, 1, 1), 5, 9), ((2, 2, 2), 0, 4), ((3, 3, 3), 1, 4)]
+    assert sorted(seen) == [4, 5]

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfill.operators import knn
+from sparkfill.operators import knn, regions
 from sparkfill.session import broadcast_checked, cut_lineage, side_by_side
 
 N_BUCKETS = 64
@@ -156,19 +156,22 @@ MOST_CELLS, PATTERNS = 1000, 16
 
 def gower_neighbours(df: DataFrame, queries: DataFrame, key: str, target: str, numeric: Sequence[str],
                      categorical: Sequence[str], k: int = 10, scope_cols: Sequence[str] | None = None,
-                     same: str | None = None, exclude: Sequence[str] = (), far: bool = False, counts: dict | None = None) -> DataFrame:
+                     same: str | None = None, exclude: Sequence[str] = (), far: bool = False, counts: dict | None = None,
+                     per_query: str | None = None) -> DataFrame:
     """Per query record its k nearest (or, with ``far``, k farthest) candidates: ``key, cand, value, dist, rn``.
 
     Scope columns = columns (of ``scope_cols`` or all features) where the query record is
     non-null, minus ``exclude``; candidates = rows complete on the scope with a target.
     Range per column is taken over candidates and the record. ``same`` restricts candidates
     to the record's own value of that column (e.g. its cluster). Ties go to the lowest key.
+    ``per_query``: one row a query instead, ``key, n, total`` (``"sums"``: number and sum of the values), with
+    the list ``cands``, nearest first (``"cands"``).
 
-    Exact for any number of queries and candidates (``operators/knn.py``): near ones are sought among records
-    of the query's own categories first, and among blocks of the others only by queries that may find nearer
+    Exact for any number of queries and candidates. They meet in regions of like records (``operators/regions.py``),
+    or, with very many kinds of records or values that are not finite, in blocks (``operators/knn.py``): near ones are
+    sought among records of the query's own categories first, and among the others only by queries that may find nearer
     ones there; far ones among the candidates on the outside in some direction (queries beyond the candidates'
-    range: among blocks of like numbers). Blocks out of reach by their columns' ranges are left out. Queries
-    without a candidate have no row."""
+    range: among all). Queries without a candidate have no row."""
     feats = [c for c in (scope_cols or list(numeric) + list(categorical)) if c not in exclude and c != target]
     num = [c for c in feats if c in numeric]
     # bit i: feats[i] is null
@@ -180,6 +183,20 @@ def gower_neighbours(df: DataFrame, queries: DataFrame, key: str, target: str, n
     q = queries.select(cl.alias("cl"), F.col(key).cast(t[key]).alias("id"), nulls.alias("nulls"), *typed).where(F.col("cl").isNotNull())
     cand = df.where(F.col(target).isNotNull()).select(cl.alias("cl"), F.col(key).alias("id"), nulls.alias("nulls"),
                                                       F.col(target).cast(value_type).alias("value"), *typed).where(F.col("cl").isNotNull())
+    known = regions.described(q, cand, feats, num, k, t[key], value_type)
+    if known is not None:
+        layout, mine, theirs = known
+        if counts is not None:
+            counts["possible"] = sum(int(n) * int(layout.n[layout.meets(a)[0]].sum()) for a, n in enumerate(layout.asked_n))
+        kept = {None: (True, True, True), "cands": (True, False, False), "sums": (False, False, False)}[per_query]
+        found = (regions.farthest if far else regions.nearest)(layout, mine, theirs, kept, counts)
+        if found is not None:
+            if per_query:
+                return found.select(F.col("id").alias(key), "n", "total", *(["cands"] if per_query == "cands" else []))
+            found = found.select("id", F.posexplode(F.arrays_zip("cands", "vals", "vs")).alias("place", "one"))
+            v = F.col("one.vs")
+            dist = F.when(v == 0, F.lit(0.0)).otherwise(-v) if far else v
+            return found.select(F.col("id").alias(key), F.col("one.cands").alias("cand"), F.col("one.vals").alias("value"), dist.alias("dist"), (F.col("place") + 1).alias("rn"))
     # ranges per null pattern of the queries (and value of ``same``): few distinct keys, each over its candidates
     full = (1 << len(feats)) - 1
     pats = cut_lineage(q.select(F.col("cl").alias("p_cl"), F.col("nulls").alias("p_nulls")).distinct())
@@ -242,18 +259,22 @@ def gower_neighbours(df: DataFrame, queries: DataFrame, key: str, target: str, n
             rest = join(unsure, cand, cat)
             found = found.join(sure, F.col("id").eqNullSafe(F.col("__id")), "left_semi").unionByName(rest)
     dist = F.when(F.col("v") == 0, F.lit(0.0)).otherwise(-F.col("v")) if far else F.col("v")
-    return found.select(F.col("id").alias(key), "cand", "value", dist.alias("dist"), "rn")
+    found = found.select(F.col("id").alias(key), "cand", "value", dist.alias("dist"), "rn")
+    if not per_query:
+        return found
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rn", "cand"))), lambda x: x["cand"])
+    return found.groupBy(key).agg(F.count("value").cast("int").alias("n"), F.sum("value").alias("total"), *([ranked.alias("cands")] if per_query == "cands" else []))
 
 
 def gower_knn(df: DataFrame, queries: DataFrame, key: str, target: str, numeric: Sequence[str],
               categorical: Sequence[str], k: int = 10, **options) -> DataFrame:
     """Per query record: sum of ``target`` over its k nearest and k farthest candidates (:func:`gower_neighbours`)."""
-    near, far = side_by_side(df.sparkSession, [functools.partial(gower_neighbours, df, queries, key, target, numeric, categorical, k, far=f, **options)
+    near, far = side_by_side(df.sparkSession, [functools.partial(gower_neighbours, df, queries, key, target, numeric, categorical, k, far=f, per_query="sums", **options)
                                                for f in (False, True)])
     both = near.withColumn("far", F.lit(False)).unionByName(far.withColumn("far", F.lit(True)))
-    value = {f: F.when(F.col("far") == f, F.col("value")) for f in (False, True)}
-    return both.groupBy(key).agg(F.sum(value[False]).alias("sum_near"), F.count(value[False]).alias("n_near"),
-                                 F.sum(value[True]).alias("sum_far"), F.count(value[True]).alias("n_far"))
+    one = {(c, f): F.sum(F.when(F.col("far") == f, F.col(c))) for c in ("total", "n") for f in (False, True)}
+    return both.groupBy(key).agg(one["total", False].alias("sum_near"), F.coalesce(one["n", False], F.lit(0)).alias("n_near"),
+                                 one["total", True].alias("sum_far"), F.coalesce(one["n", True], F.lit(0)).alias("n_far"))
 
 
 # --------------------------------------------------------------------------- k-NN fill inside clusters

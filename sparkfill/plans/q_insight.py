@@ -172,29 +172,29 @@ def _kept(spark, sf, name, build):
 
 def _selected(spark, sf, obs):
     """Steps that give the nearest and the farthest records by the selected columns."""
-    return [lambda n=n, far=far: _kept(spark, sf, n, lambda: _neighbours(obs, FEATS_SEL, far=far)) for n, far in (("near-selected", False), ("far-selected", True))]
+    return [lambda n=n, far=far: _kept(spark, sf, n, lambda: _neighbours(obs, FEATS_SEL, far=far, per_query="sums" if far else "cands")) for n, far in (("near-selected", False), ("far-selected", True))]
 
 
 def _without_flag(obs):
     return obs.where(F.col("flag").isNull())
 
 
-def _neighbours(obs, feats, same=None, far=False):
+def _neighbours(obs, feats, same=None, far=False, per_query="sums"):
     return distance.gower_neighbours(obs, _without_flag(obs), "row_id", "flag", NUM, ["district", "seg", "prio"], k=10,
-                                     scope_cols=feats, same=same, far=far)
+                                     scope_cols=feats, same=same, far=far, per_query=per_query)
 
 
 def _neighbour_rows(near, obs):
     """The nearest records themselves, one line each, nearest first."""
-    lines = near.select(F.col("row_id").alias("query"), "rn", F.col("cand").alias("row_id")).join(obs, "row_id")
+    lines = near.select(F.col("row_id").alias("query"), F.posexplode("cands").alias("rn", "row_id")).join(obs, "row_id")
     lines = lines.select("query", F.struct("rn", NEIGHBOUR.spark().alias("line")).alias("l"))
     lines = lines.groupBy(F.col("query").alias("row_id")).agg(F.array_sort(F.collect_list("l")).alias("l"))  # k of a record
     return lines.select("row_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("neighbours"))
 
 
 def _sums(near, far):
-    both = near.select("row_id", F.col("value").alias("near"), F.lit(None).cast("int").alias("far")).unionByName(
-        far.select("row_id", F.lit(None).cast("int").alias("near"), F.col("value").alias("far")))
+    both = near.select("row_id", F.col("total").alias("near"), F.lit(None).cast("bigint").alias("far")).unionByName(
+        far.select("row_id", F.lit(None).cast("bigint").alias("near"), F.col("total").alias("far")))
     return both.groupBy("row_id").agg(F.sum("near").alias("sum_near"), F.sum("far").alias("sum_far"))
 
 

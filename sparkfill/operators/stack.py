@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkfill.operators import sampling, score
 from sparkfill.operators.cluster import assemble
 from sparkfill.operators.impute import strategies
-from sparkfill.session import cut_lineage, written
+from sparkfill.session import cut_lineage, passing, written
 
 STRATEGY_SUFFIXES = ("_imputed_full", "_imputed_full_selected", "_imputed_cluster")
 
@@ -66,6 +66,20 @@ def model_by_testset(models: dict, tests: dict, features: Sequence[str], truth:
     return score.cross_score(scored, truth, "pred", continuous, "model", "sim")
 
 
+def _labelled(df, truth, key, target, features, cluster_labels, categorical, method, sim, selected) -> DataFrame:
+    """The fills of a simulation's hidden cells beside the truth. It is read by the fit and by every model's score; nothing else
+    of the simulation is kept."""
+    with passing(df.sparkSession):
+        masked, hidden = sampling.mask_random(df, target, f"sim{sim}", key)
+        masked = written(masked, "masked")  # the three strategies read it several times each
+        strat = strategies.impute_three_ways(masked, key, target, features, cluster_labels, selected, method,
+                                             round_codes=categorical)
+        lab = strat.join(hidden, key).join(truth.select(key, F.col(target).cast("double").alias("__truth")), key)
+        lab = cut_lineage(sampling.train_test_split(lab, 0.2, f"stack{sim}", key))
+        del masked, hidden, strat  # so that their shuffles and checkpoints can go
+    return lab
+
+
 def impute_ensemble(df: DataFrame, truth: DataFrame, key: str, target: str, features: Sequence[str],
                     cluster_labels: DataFrame, categorical: bool = False, method: str = "mean", sims: int = 3,
                     kind: str = "tree", selected: Sequence[str] | None = None) -> dict:
@@ -73,12 +87,7 @@ def impute_ensemble(df: DataFrame, truth: DataFrame, key: str, target: str, feat
     feats = [f"{target}{s}" for s in STRATEGY_SUFFIXES]
     models, tests = {}, {}
     for sim in range(sims):
-        masked, hidden = sampling.mask_random(df, target, f"sim{sim}", key)
-        masked = written(masked, "masked")  # the three strategies read it several times each
-        strat = strategies.impute_three_ways(masked, key, target, features, cluster_labels, selected, method,
-                                             round_codes=categorical)
-        lab = strat.join(hidden, key).join(truth.select(key, F.col(target).cast("double").alias("__truth")), key)
-        lab = cut_lineage(sampling.train_test_split(lab, 0.2, f"stack{sim}", key))  # read by the fit and by every model's score
+        lab = _labelled(df, truth, key, target, features, cluster_labels, categorical, method, sim, selected)
         tr = lab.where(F.col("is_test") == 0)
         if categorical:
             tr = sampling.undersample(tr, "__truth", f"under{sim}", key)

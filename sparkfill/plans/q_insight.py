@@ -172,16 +172,18 @@ def _kept(spark, sf, name, build):
 
 def _selected(spark, sf, obs):
     """Steps that give the nearest and the farthest records by the selected columns."""
-    return [lambda n=n, far=far: _kept(spark, sf, n, lambda: _neighbours(obs, FEATS_SEL, far=far, per_query="sums" if far else "cands")) for n, far in (("near-selected", False), ("far-selected", True))]
+    return [lambda n=n, far=far: _kept(spark, sf, n, lambda: _neighbours(obs, FEATS_SEL, far=far)) for n, far in (("near-selected", False), ("far-selected", True))]
 
 
 def _without_flag(obs):
     return obs.where(F.col("flag").isNull())
 
 
-def _neighbours(obs, feats, same=None, far=False, per_query="sums"):
-    return distance.gower_neighbours(obs, _without_flag(obs), "row_id", "flag", NUM, ["district", "seg", "prio"], k=10,
-                                     scope_cols=feats, same=same, far=far, per_query=per_query)
+def _neighbours(obs, feats, same=None, far=False):
+    """For each record without a flag the sum of its neighbours' flags (``value``); the nearest by the selected columns are named too (``cands``)."""
+    found = distance.gower_neighbours(obs, _without_flag(obs), "row_id", "flag", NUM, ["district", "seg", "prio"], k=10, scope_cols=feats,
+                                      same=same, far=far, per_query="cands" if feats is FEATS_SEL and not far else "sums")
+    return found.withColumnRenamed("total", "value")
 
 
 def _neighbour_rows(near, obs):
@@ -193,8 +195,8 @@ def _neighbour_rows(near, obs):
 
 
 def _sums(near, far):
-    both = near.select("row_id", F.col("total").alias("near"), F.lit(None).cast("bigint").alias("far")).unionByName(
-        far.select("row_id", F.lit(None).cast("bigint").alias("near"), F.col("total").alias("far")))
+    both = near.select("row_id", F.col("value").alias("near"), F.lit(None).cast("bigint").alias("far")).unionByName(
+        far.select("row_id", F.lit(None).cast("bigint").alias("near"), F.col("value").alias("far")))
     return both.groupBy("row_id").agg(F.sum("near").alias("sum_near"), F.sum("far").alias("sum_far"))
 
 

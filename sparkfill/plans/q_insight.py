@@ -16,7 +16,7 @@ from sparkfill.operators.insight import (share_item_template, stat_item_template
 from sparkfill.plans.catalog import query
 from sparkfill.plans.q_distance import knn_sql_ctes
 from sparkfill.plans.records import ROLES, missing_view, records, with_rec
-from sparkfill.session import shared_path, side_by_side, written
+from sparkfill.session import forgotten, shared_path, side_by_side, written
 from sparkfill.sources import files
 
 CONT = {"acct", "n_items", "qty", "price", "site", "weight"}
@@ -166,6 +166,7 @@ def _kept(spark, sf, name, build):
     if key not in _KEPT:
         path = shared_path(spark, name)
         build().write.parquet(path)
+        forgotten(spark)  # its shuffles
         _KEPT[key] = path
     return spark.read.parquet(_KEPT[key])
 
@@ -274,7 +275,13 @@ _IND_SQL = f"""(SELECT qs.*, nf.sum_near AS near_full, nf.sum_far AS far_full, n
 def _scopes(obs, selected):
     """Sums over the neighbours of each scope, for every record without a flag."""
     out = _without_flag(obs).select("row_id")
-    steps = [lambda same=same, far=far: written(_neighbours(obs, FEATS_FULL, same, far), "scope") for same in (None, "district") for far in (False, True)]
+
+    def scope(same, far):
+        out = written(_neighbours(obs, FEATS_FULL, same, far), "scope")
+        forgotten(obs.sparkSession)  # its shuffles
+        return out
+
+    steps = [lambda same=same, far=far: scope(same, far) for same in (None, "district") for far in (False, True)]
     near_full, far_full, near_cluster, far_cluster, near_selected, far_selected = side_by_side(obs.sparkSession, steps + selected)
     for name, near, far in (("full", near_full, far_full), ("selected", near_selected, far_selected), ("cluster", near_cluster, far_cluster)):
         out = out.join(_sums(near, far).withColumnsRenamed({"sum_near": f"near_{name}", "sum_far": f"far_{name}"}), "row_id", "left")
